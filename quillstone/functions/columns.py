@@ -40,12 +40,6 @@ def is_missing(column: Column, data_type: T.DataType) -> Column:
     return column.isNull()
 
 
-def finite(column: Column) -> Column:
-    """NaN and both infinities become NULL."""
-    infinity = F.lit(float("inf"))
-    bad = F.isnan(column) | (column == infinity) | (column == -infinity)
-    return F.when(~bad, column)
-
 
 def as_double(column: Column, data_type: T.DataType) -> Column:
     """Numeric column as DOUBLE, NaN as NULL."""
@@ -76,7 +70,7 @@ def as_time(column: Column, data_type: T.DataType) -> Column:
 def epoch_to_time(column: Column) -> Column:
     """Seconds since 1970-01-01 (UTC) to a timestamp without time zone."""
     micros = (column.cast("double") * 1000000).cast("long")
-    return F.timestampadd("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def whole_days(start: Column, end: Column) -> Column:
@@ -84,8 +78,13 @@ def whole_days(start: Column, end: Column) -> Column:
     return F.floor(F.timestamp_diff("MICROSECOND", start, end) / F.lit(86400000000)).cast("long")
 
 
+def strip(column: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(column, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def first_word(column: Column) -> Column:
-    return F.try_element_at(F.split(F.trim(column), r"\s+"), F.lit(1))
+    return F.try_element_at(F.split(strip(column), r"\s+"), F.lit(1))
 
 
 def short_label(column: Column, length: int) -> Column:
@@ -108,13 +107,13 @@ def age_years(column: Column) -> Column:
 
 def split_medicines(column: Column) -> Column:
     """Medicine text to an array, cut at the first separator kind that occurs."""
-    text = F.trim(column.cast("string"))
+    text = strip(column.cast("string"))
     parts = reduce(
         lambda rest, mark: F.when(text.contains(mark), F.split(text, _literal_pattern(mark))).otherwise(rest),
         reversed(MEDICINE_SEPARATORS),
         F.array(text),
     )
-    trimmed = F.transform(parts, lambda part: F.trim(part))
+    trimmed = F.transform(parts, strip)
     named = F.filter(trimmed, lambda part: ~F.lower(part).isin(*BLANK_WORDS))
     return F.when(column.isNull(), F.array().cast("array<string>")).otherwise(named)
 
@@ -125,8 +124,8 @@ def _literal_pattern(text: str) -> str:
 
 def unique_ignoring_case(array: Column) -> Column:
     """Array without repeats in other letter case; the first spelling stays."""
-    folded = F.transform(array, lambda x: F.lower(F.trim(x)))
-    return F.filter(array, lambda x, i: F.array_position(folded, F.lower(F.trim(x))) == i + 1)
+    folded = F.transform(array, lambda x: F.lower(strip(x)))
+    return F.filter(array, lambda x, i: F.array_position(folded, F.lower(strip(x))) == i + 1)
 
 
 def clip(column: Column, low, high) -> Column:

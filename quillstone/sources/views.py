@@ -92,7 +92,7 @@ def admissions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_totalprice").cast("decimal(18,2)").alias("Billing Amount"),
         (key % 400 + 101).alias("Room Number"),
         F.col("o_orderdate").alias("Date of Admission"),
-        F.timestampadd("DAY", (key % 30 + 1).cast("int"), F.col("o_orderdate")).alias("Discharge Date"),
+        F.timestamp_add("DAY", (key % 30 + 1).cast("int"), F.col("o_orderdate")).alias("Discharge Date"),
     )
 
 
