@@ -33,11 +33,14 @@ def keep_top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     return df.join(F.broadcast(top), quoted(column) == F.col("value"), "left_semi")
 
 
-def updated(df: DataFrame, column: str, changes: Sequence[tuple[Column, Column]]) -> DataFrame:
-    """Conditional updates in turn: a later one that holds wins over an earlier one."""
+def updated(df: DataFrame, column: str, changes: Sequence[tuple[Column, object]]) -> DataFrame:
+    """Conditional updates in turn: a later one that holds wins over an earlier one.
+
+    A new value is a column, or a function of the value that the updates before it left.
+    """
     value = quoted(column)
     for condition, new in changes:
-        value = F.when(condition, new).otherwise(value)
+        value = F.when(condition, new(value) if callable(new) else new).otherwise(value)
     return df.withColumn(column, value)
 
 

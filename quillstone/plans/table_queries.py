@@ -59,7 +59,7 @@ WHERE l_quantity >= 10 AND l_quantity <= 20 AND (l_discount > 0.05::DOUBLE OR l_
         lambda s, d: op.updated(
             table(s, d, "orders").select("o_orderkey", "o_totalprice", F.lit(0).alias("level")),
             "level",
-            [(F.col("o_totalprice") >= 100000, F.lit(1)), (F.col("o_totalprice") >= 300000, F.lit(2)), (F.col("o_orderkey") % 10 == 0, F.greatest("level", F.lit(1)))],
+            [(F.col("o_totalprice") >= 100000, F.lit(1)), (F.col("o_totalprice") >= 300000, F.lit(2)), (F.col("o_orderkey") % 10 == 0, lambda level: F.greatest(level, F.lit(1)))],
         ).select("o_orderkey", "level"),
         """SELECT o_orderkey, CASE WHEN o_totalprice >= 300000 THEN 2 WHEN o_totalprice >= 100000 THEN 1
   WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS level FROM orders""",
@@ -217,13 +217,13 @@ FROM customer, (SELECT quantile_cont(c_acctbal, 0.2) AS a, quantile_cont(c_acctb
             "AdmissionId",
             fn.split_medicines(
                 F.expr("CASE AdmissionId % 5 WHEN 0 THEN concat(Medication, ' & ', Name) WHEN 1 THEN concat(lower(Medication), '; ', Medication, ';nan') WHEN 2 THEN 'none' ELSE Medication END")
-            ).alias("medicines"),
+            ).alias("parts"),
         )
         .select(
             "AdmissionId",
-            F.array_join("medicines", "|").alias("medicines"),
-            F.array_join(fn.unique_ignoring_case(F.col("medicines")), "|").alias("unique_medicines"),
-            F.array_join(F.array_sort(fn.unique_ignoring_case(F.col("medicines"))), "|").alias("combination"),
+            F.array_join("parts", "|").alias("medicines"),
+            F.array_join(fn.unique_ignoring_case(F.col("parts")), "|").alias("unique_medicines"),
+            F.array_join(F.array_sort(fn.unique_ignoring_case(F.col("parts"))), "|").alias("combination"),
         ),
         on_admissions(
             """SELECT AdmissionId, array_to_string(m, '|') AS medicines, array_to_string(u, '|') AS unique_medicines, array_to_string(list_sort(u), '|') AS combination
