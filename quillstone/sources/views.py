@@ -101,6 +101,7 @@ ADMISSION_ROLES = {
     "patient": "Name",
     "age": "Age",
     "gender": "Gender",
+    "blood_type": "Blood Type",
     "condition": "Medical Condition",
     "admission_type": "Admission Type",
     "insurer": "Insurance Provider",
