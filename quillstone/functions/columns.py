@@ -115,7 +115,8 @@ def split_medicines(column: Column) -> Column:
     )
     trimmed = F.transform(parts, strip)
     named = F.filter(trimmed, lambda part: ~F.lower(part).isin(*BLANK_WORDS))
-    return F.when(column.isNull(), F.array().cast("array<string>")).otherwise(named)
+    none = F.array().cast("array<string>")
+    return F.when(column.isNull() | F.lower(text).isin(*BLANK_WORDS), none).otherwise(named)
 
 
 def _literal_pattern(text: str) -> str:
@@ -125,7 +126,8 @@ def _literal_pattern(text: str) -> str:
 def unique_ignoring_case(array: Column) -> Column:
     """Array without repeats in other letter case; the first spelling stays."""
     folded = F.transform(array, lambda x: F.lower(strip(x)))
-    return F.filter(array, lambda x, i: F.array_position(folded, F.lower(strip(x))) == i + 1)
+    first = F.filter(array, lambda x, i: F.array_position(folded, F.lower(strip(x))) == i + 1)
+    return F.when(F.size(array) < 2, array).otherwise(first)
 
 
 def clip(column: Column, low, high) -> Column:

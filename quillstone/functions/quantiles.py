@@ -1,46 +1,67 @@
 """Exact order statistics without gathering a column in one place.
 
 ``percentile`` keeps every distinct value of a group in one buffer, which does not fit for a
-large column. Here that function only sees a column, or a slice of one, that was counted
-first and is small. A larger column is narrowed: a mergeable sketch proposes two values
-around the wanted rank, a counting pass tells exactly which side the rank is on, and the
-search goes on strictly between them. The sketch decides only how fast this is, never
-the result. What reaches the driver is a few numbers per wanted rank.
+large column. Here only a column, or a slice of one, that was counted first and is small is
+put in order at once. A larger column is narrowed: a mergeable sketch proposes values on both
+sides of the wanted ranks, a counting pass tells exactly between which of them each rank
+lies, and the search goes on strictly between the two. The sketch decides only how fast this
+is, never the result. What reaches the driver is a few numbers per wanted rank.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .columns import as_double, quoted
 
-DIRECT_ROWS = 1_000_000
-SKETCH_ACCURACY = 10_000
+DIRECT_ROWS = 100_000
+# Size of a KLL sketch, and its rank error with some room: about 0.13 % at this size.
+SKETCH_SIZE = 4_000
+SKETCH_ERROR = 0.002
+# Spark generates code for a whole aggregate only up to 100 buffer fields.
+FIELDS_PER_SCAN = 90
 
 
 @dataclass
 class _Slice:
-    """The open interval (low, high) of a column that holds the value of one rank."""
+    """An open interval (low, high) of a column and the ranks whose values lie in it."""
 
     column: str
-    rank: int
     low: float | None
     high: float | None
     below: int
     size: int
+    ranks: list[int] = field(default_factory=list)
 
-    def inside(self) -> Column:
-        value = F.col(self.column)
-        held = value.isNotNull()
+    def place(self, rank: int) -> float:
+        return (rank - self.below + 0.5) / self.size
+
+    def bounds(self) -> str:
+        tests = [f"{self.column} IS NOT NULL"]
         if self.low is not None:
-            held = held & (value > F.lit(self.low))
+            tests.append(f"{self.column} > {self.low!r}D")
         if self.high is not None:
-            held = held & (value < F.lit(self.high))
-        return F.when(held, value)
+            tests.append(f"{self.column} < {self.high!r}D")
+        return " AND ".join(tests)
+
+    def values(self) -> str:
+        return self.column if self.low is None and self.high is None else f"CASE WHEN {self.bounds()} THEN {self.column} END"
+
+
+def scan(df: DataFrame, expressions: Sequence[Column], fields: int = 1) -> list:
+    """Values of many global aggregates, in as few scans as keep them in generated code.
+
+    ``fields`` is the number of buffer fields of one expression.
+    """
+    out: list = []
+    step = max(1, FIELDS_PER_SCAN // fields)
+    for start in range(0, len(expressions), step):
+        out += list(df.agg(*[e.alias(f"v{i}") for i, e in enumerate(expressions[start : start + step])]).first())
+    return out
 
 
 def _plain(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -49,33 +70,27 @@ def _plain(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _sizes(plain: DataFrame) -> list[int]:
-    row = plain.agg(*[F.count(F.col(c)).alias(c) for c in plain.columns]).first()
-    return [int(v) for v in row]
+    return [int(v) for v in scan(plain, [F.count(F.col(c)) for c in plain.columns])]
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: Mapping[str, Sequence[float]], direct_rows: int = DIRECT_ROWS
+    df: DataFrame,
+    wanted: Mapping[str, Sequence[float]],
+    direct_rows: int = DIRECT_ROWS,
+    sizes: Sequence[int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of several numeric columns, as plain numbers."""
+    """Linearly interpolated quantiles of several numeric columns, as plain numbers.
+
+    ``sizes`` are the columns' non-missing counts where the caller knows them already.
+    """
     names = list(wanted)
     if not names:
         return {}
     plain = _plain(df, names)
-    sizes = _sizes(plain)
-    if max(sizes) <= direct_rows:
-        row = plain.agg(
-            *[
-                F.percentile(F.col(f"q{i}"), F.array(*[F.lit(float(p)) for p in wanted[n]])).alias(f"q{i}")
-                for i, n in enumerate(names)
-            ]
-        ).first()
-        return {n: (list(row[i]) if row[i] is not None else [None] * len(wanted[n])) for i, n in enumerate(names)}
-
+    sizes = _sizes(plain) if sizes is None else list(sizes)
     places = {n: [(sizes[i] - 1) * p for p in wanted[n]] for i, n in enumerate(names)}
     ranks = {
-        f"q{i}": sorted({r for h in places[n] for r in (math.floor(h), math.ceil(h))})
-        for i, n in enumerate(names)
-        if sizes[i]
+        f"q{i}": [r for h in places[n] for r in (math.floor(h), math.ceil(h))] for i, n in enumerate(names) if sizes[i]
     }
     values = _find(plain, ranks, dict(zip(plain.columns, sizes)), direct_rows)
     result: dict[str, list[float | None]] = {}
@@ -91,80 +106,73 @@ def exact_quantiles(
     return result
 
 
-def value_at_rank(df: DataFrame, name: str, rank: int, direct_rows: int = DIRECT_ROWS) -> float | None:
+def value_at_rank(
+    df: DataFrame, name: str, rank: int, direct_rows: int = DIRECT_ROWS, size: int | None = None
+) -> float | None:
     """The value at a 0-based position of the sorted column."""
     plain = _plain(df, [name])
-    size = _sizes(plain)[0]
+    size = _sizes(plain)[0] if size is None else size
     if not 0 <= rank < size:
         return None
     return _find(plain, {"q0": [rank]}, {"q0": size}, direct_rows)["q0", rank]
 
 
 def _find(
-    plain: DataFrame, ranks: Mapping[str, Sequence[int]], sizes: Mapping[str, int], direct_rows: int
+    plain: DataFrame, ranks: Mapping[str, Iterable[int]], sizes: Mapping[str, int], direct_rows: int
 ) -> dict[tuple[str, int], float]:
-    open_slices = [_Slice(c, r, None, None, 0, sizes[c]) for c, rs in ranks.items() for r in rs]
+    slices = [_Slice(c, None, None, 0, sizes[c], sorted(set(rs))) for c, rs in ranks.items()]
     found: dict[tuple[str, int], float] = {}
-    while any(s.size > direct_rows for s in open_slices):
-        _narrow(plain, [s for s in open_slices if s.size > direct_rows], found)
-        open_slices = [s for s in open_slices if (s.column, s.rank) not in found]
-    if open_slices:
-        row = plain.agg(*[_at_rank(s).alias(f"v{i}") for i, s in enumerate(open_slices)]).first()
-        for i, s in enumerate(open_slices):
-            found[s.column, s.rank] = row[i]
+    while any(s.size > direct_rows for s in slices):
+        large = [s for s in slices if s.size > direct_rows]
+        slices = [s for s in slices if s.size <= direct_rows] + _narrow(plain, large, found)
+    if slices:
+        # Each list has at most direct_rows values; only the wanted ones leave the aggregate.
+        reads = []
+        for s in slices:
+            ordered = f"sort_array(collect_list({s.values()}))"
+            reads.append(F.expr("array(" + ", ".join(f"element_at({ordered}, {r - s.below + 1})" for r in s.ranks) + ")"))
+        for s, values in zip(slices, scan(plain, reads)):
+            found |= {(s.column, r): v for r, v in zip(s.ranks, values)}
     return found
 
 
-def _at_rank(s: _Slice) -> Column:
-    """Discrete percentile halfway into the wanted rank: exactly the value at that rank."""
-    place = (s.rank - s.below + 0.5) / s.size
-    bounds = [f"{s.column} IS NOT NULL"]
-    if s.low is not None:
-        bounds.append(f"{s.column} > {s.low!r}D")
-    if s.high is not None:
-        bounds.append(f"{s.column} < {s.high!r}D")
-    inside = f"CASE WHEN {' AND '.join(bounds)} THEN {s.column} END"
-    return F.expr(f"percentile_disc({place!r}D) WITHIN GROUP (ORDER BY {inside})")
-
-
-def _narrow(plain: DataFrame, slices: list[_Slice], found: dict[tuple[str, int], float]) -> None:
-    """One sketch pass and one counting pass for all slices that are still too large."""
-    margin = 2.0 / SKETCH_ACCURACY
+def _narrow(plain: DataFrame, slices: list[_Slice], found: dict[tuple[str, int], float]) -> list[_Slice]:
+    """One sketch pass and one counting pass; returns the smaller slices that are still open."""
     sketches = []
-    for i, s in enumerate(slices):
-        place = (s.rank - s.below + 0.5) / s.size
-        around = [max(0.0, place - margin), min(1.0, place + margin)]
+    for s in slices:
+        around = sorted({min(1.0, max(0.0, s.place(r) + d)) for r in s.ranks for d in (-SKETCH_ERROR, SKETCH_ERROR)})
+        # Neighbouring ranks share their proposals.
+        around = [p for i, p in enumerate(around) if not i or p - around[i - 1] > SKETCH_ERROR / 4]
+        places = ", ".join(f"{p!r}D" for p in around)
         sketches.append(
-            F.percentile_approx(s.inside(), F.array(*[F.lit(p) for p in around]), SKETCH_ACCURACY).alias(f"s{i}")
+            F.expr(f"kll_sketch_get_quantile_double(kll_sketch_agg_double({s.values()}, {SKETCH_SIZE}), array({places}))")
         )
-    proposed = plain.agg(*sketches).first()
-
-    counts = []
-    for i, s in enumerate(slices):
-        value = s.inside()
-        low, high = proposed[i]
-        for tag, test in (
-            ("below_low", value < F.lit(low)),
-            ("upto_low", value <= F.lit(low)),
-            ("below_high", value < F.lit(high)),
-            ("upto_high", value <= F.lit(high)),
-        ):
-            counts.append(F.count(F.when(test, 1)).alias(f"{tag}{i}"))
-    counted = plain.agg(*counts).first()
-
-    for i, s in enumerate(slices):
-        low, high = proposed[i]
-        place = s.rank - s.below
-        below_low, upto_low, below_high, upto_high = counted[4 * i : 4 * i + 4]
-        if place < below_low:
-            s.high, s.size = low, below_low
-        elif place < upto_low:
-            found[s.column, s.rank] = low
-        elif place < below_high:
-            s.low, s.high = low, high
-            s.below, s.size = s.below + upto_low, below_high - upto_low
-        elif place < upto_high:
-            found[s.column, s.rank] = high
-        else:
-            s.low = high
-            s.below, s.size = s.below + upto_high, s.size - upto_high
+    proposals = [sorted(set(v)) for v in scan(plain, sketches)]
+
+    counters = []
+    for s, marks in zip(slices, proposals):
+        inside = s.bounds()
+        for mark in marks:
+            for sign in ("<", "<="):
+                counters.append(F.expr(f"count(CASE WHEN {inside} AND {s.column} {sign} {mark!r}D THEN 1 END)"))
+    counted = iter(scan(plain, counters))
+
+    opened: dict[tuple, _Slice] = {}
+    for s, marks in zip(slices, proposals):
+        steps = [(mark, next(counted), next(counted)) for mark in marks]
+        for rank in s.ranks:
+            place = rank - s.below
+            low, below, high, upto = s.low, 0, s.high, s.size
+            for mark, less, not_more in steps:
+                if place >= not_more:
+                    low, below = mark, not_more
+                elif place >= less:
+                    found[s.column, rank] = mark
+                    break
+                else:
+                    high, upto = mark, less
+                    break
+            if (s.column, rank) not in found:
+                key = (s.column, low, high)
+                opened.setdefault(key, _Slice(s.column, low, high, s.below + below, upto - below)).ranks.append(rank)
+    return list(opened.values())

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, quoted
 from ..functions.quantiles import exact_quantiles
-from ..session import stage
+from ..session import spread_out, stage
 
 TREES = 100
 TREE_ROWS = 256
 CONTAMINATION = 0.1
 SEED = 42
-NODE = "tree int, node int, feature int, cut double, left int, right int, depth double"
+TREE = "tree int, node int, feature int, cut double, depth double"
 # Bounds of the score ranges.
 SCORE_RANGES = (("Very Low (< -0.5)", None, -0.5), ("Low (-0.5 to -0.2)", -0.5, -0.2), ("Medium (-0.2 to 0)", -0.2, 0.0), ("High (0 to 0.2)", 0.0, 0.2), ("Very High (> 0.2)", 0.2, None))
 
@@ -35,37 +35,43 @@ def _mean_path(rows: int) -> float:
     return 2.0 * (np.log(rows - 1.0) + np.euler_gamma) - 2.0 * (rows - 1.0) / rows
 
 
-def _grow(sample: np.ndarray, draw: np.random.RandomState, limit: int) -> list[list[float]]:
-    """One tree as a list of (feature, cut, left, right, path length at a leaf)."""
-    nodes: list[list[float]] = [[-1, 0.0, -1, -1, 0.0]]
+def _grow(sample: np.ndarray, draw: np.random.RandomState, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One tree in the layout of a full binary tree: children of node i are 2i + 1 and 2i + 2.
+
+    A leaf above the last level sends every value to its left child, down to the last level,
+    so that scoring takes the same number of steps for all rows.
+    """
+    nodes = 2 ** (limit + 1) - 1
+    feature, cut, depth = np.zeros(nodes, dtype="int32"), np.full(nodes, np.inf), np.zeros(nodes)
     waiting = [(0, sample, 0)]
     while waiting:
-        place, rows, depth = waiting.pop()
+        node, rows, level = waiting.pop()
         low, high = rows.min(axis=0), rows.max(axis=0)
-        open_features = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(open_features):
-            nodes[place][4] = depth + _mean_path(len(rows))
+        varied = np.flatnonzero(high > low)
+        if level >= limit or len(rows) <= 1 or not len(varied):
+            last = node
+            while 2 * last + 1 < nodes:
+                last = 2 * last + 1
+            depth[last] = level + _mean_path(len(rows))
             continue
-        feature = int(draw.choice(open_features))
-        cut = draw.uniform(low[feature], high[feature])
-        below = rows[:, feature] <= cut
-        left, right = len(nodes), len(nodes) + 1
-        nodes[place][:4] = [feature, cut, left, right]
-        nodes += [[-1, 0.0, -1, -1, 0.0], [-1, 0.0, -1, -1, 0.0]]
-        waiting += [(left, rows[below], depth + 1), (right, rows[~below], depth + 1)]
-    return nodes
+        feature[node] = draw.choice(varied)
+        cut[node] = draw.uniform(low[feature[node]], high[feature[node]])
+        below = rows[:, feature[node]] <= cut[node]
+        waiting += [(2 * node + 1, rows[below], level + 1), (2 * node + 2, rows[~below], level + 1)]
+    return feature, cut, depth
 
 
 def isolation_scores(df: DataFrame, features: Sequence[str], keys: Sequence[str], contamination: float = CONTAMINATION) -> DataFrame:
     """Features with a ``score`` (below 0 is anomalous) and an ``anomaly`` flag, staged."""
     spark = df.sparkSession
-    numbers = df.select(
+    made = df.select(
         *[F.coalesce(as_double(quoted(c), df.schema[c].dataType), F.lit(0.0)).alias(c) for c in features],
         F.xxhash64(*[quoted(k) for k in keys], F.lit(SEED)).alias("_draw"),
     )
+    numbers = spread_out(stage(made))
     # At most TREES * TREE_ROWS rows reach the driver.
-    drawn = numbers.orderBy("_draw", *[quoted(c) for c in features]).limit(TREES * TREE_ROWS).select(*[quoted(c) for c in features])
-    sample = drawn.toPandas().to_numpy(dtype="float64")
+    drawn = numbers.orderBy("_draw", *[quoted(c) for c in features]).limit(TREES * TREE_ROWS)
+    sample = drawn.select(*[quoted(c) for c in features]).toPandas().to_numpy(dtype="float64")
     plain = numbers.drop("_draw")
     if not len(sample):
         return plain.select("*", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("anomaly"))
@@ -77,42 +83,27 @@ def isolation_scores(df: DataFrame, features: Sequence[str], keys: Sequence[str]
             for tree in batch["id"]:
                 draw = np.random.RandomState(SEED + int(tree))
                 rows = sample[draw.choice(len(sample), size, replace=False)]
-                nodes = np.array(_grow(rows, draw, limit))
+                feature, cut, depth = _grow(rows, draw, limit)
                 yield pd.DataFrame(
-                    {
-                        "tree": np.full(len(nodes), tree, dtype="int32"),
-                        "node": np.arange(len(nodes), dtype="int32"),
-                        "feature": nodes[:, 0].astype("int32"),
-                        "cut": nodes[:, 1],
-                        "left": nodes[:, 2].astype("int32"),
-                        "right": nodes[:, 3].astype("int32"),
-                        "depth": nodes[:, 4],
-                    }
-                )
+                    {"tree": int(tree), "node": np.arange(len(cut)), "feature": feature, "cut": cut, "depth": depth}
+                ).astype({"tree": "int32", "node": "int32"})
 
     # At most TREES * 511 nodes.
-    grown = spark.range(TREES).mapInPandas(grow, NODE).toPandas().sort_values(["tree", "node"])
-    forest = [
-        tuple(g[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")) for _, g in grown.groupby("tree", sort=True)
-    ]
-    scale = _mean_path(size)
+    grown = spark.range(TREES).mapInPandas(grow, TREE).toPandas().sort_values(["tree", "node"])
+    forest = [tuple(g[c].to_numpy() for c in ("feature", "cut", "depth")) for _, g in grown.groupby("tree", sort=True)]
+    scale = max(_mean_path(size), 1e-12)
 
     @F.pandas_udf("double")
     def normality(*columns: pd.Series) -> pd.Series:
-        rows = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-        total = np.zeros(len(rows))
-        every = np.arange(len(rows))
-        for feature, cut, left, right, depth in forest:
-            at = np.zeros(len(rows), dtype="int64")
+        rows = np.column_stack([c.to_numpy(dtype="float64") for c in columns]).ravel()
+        starts = np.arange(len(columns[0])) * len(columns)
+        total = np.zeros(len(starts))
+        for feature, cut, depth in forest:
+            at = np.zeros(len(starts), dtype="int64")
             for _ in range(limit):
-                split = feature[at]
-                inner = split >= 0
-                if not inner.any():
-                    break
-                below = rows[every, np.maximum(split, 0)] <= cut[at]
-                at = np.where(inner, np.where(below, left[at], right[at]), at)
+                at = 2 * at + 1 + (rows[starts + feature[at]] > cut[at])
             total += depth[at]
-        return pd.Series(-np.power(2.0, -total / (len(forest) * max(scale, 1e-12))))
+        return pd.Series(-np.power(2.0, -total / (len(forest) * scale)))
 
     raw = stage(plain.withColumn("_normality", normality(*[quoted(c) for c in features])))
     cut = exact_quantiles(raw, {"_normality": [contamination]})["_normality"][0]

@@ -366,27 +366,39 @@ def medication_adherence(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _medicine_sets(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    together = F.concat(*[split_medicines(quoted(c)) for c in columns])
-    return df.select(F.array_sort(unique_ignoring_case(together)).alias("medicines"))
+    """(medicines, n): the set of medicines in a row and how many rows hold it.
+
+    Equal texts are counted first, so each different text is cut into medicines only once.
+    """
+    texts = df.groupBy(*[quoted(c).cast("string").alias(f"t{i}") for i, c in enumerate(columns)]).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    together = F.concat(*[split_medicines(F.col(f"t{i}")) for i in range(len(columns))])
+    parsed = texts.select(together.alias("_all"), "n")
+    return parsed.select(F.array_sort(unique_ignoring_case(F.col("_all"))).alias("medicines"), "n")
 
 
 def drug_combinations(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
     """The most frequent sets of two or more medicines of one row."""
     sets = _medicine_sets(df, columns).filter(F.size("medicines") > 1)
-    counts = sets.groupBy(F.array_join("medicines", " + ").alias("combination")).agg(F.count(F.lit(1)).alias("n"))
+    counts = sets.groupBy(F.array_join("medicines", " + ").alias("combination")).agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "combination").limit(k)
 
 
 def drug_risk(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows by number of different medicines (up to 1, 2 to 3, more) and the share with several."""
     size = F.col("size")
-    row = _medicine_sets(df, columns).select(F.size("medicines").alias("size")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count(F.when(size > 1, 1)).alias("potential_interactions"),
-        F.count(F.when(size <= 1, 1)).alias("low_risk"),
-        F.count(F.when((size >= 2) & (size <= 3), 1)).alias("medium_risk"),
-        F.count(F.when(size > 3, 1)).alias("high_risk"),
-        F.count(F.when(size > 0, 1)).alias("patients_with_medicines"),
+
+    def rows(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
+    row = _medicine_sets(df, columns).select(F.size("medicines").alias("size"), "n").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        rows(size > 1).alias("potential_interactions"),
+        rows(size <= 1).alias("low_risk"),
+        rows((size >= 2) & (size <= 3)).alias("medium_risk"),
+        rows(size > 3).alias("high_risk"),
+        rows(size > 0).alias("patients_with_medicines"),
     )
     rate = F.coalesce(F.try_divide("potential_interactions", "rows") * 100, F.lit(0.0))
     return row.withColumn("interaction_rate", F.round(rate, 1)).drop("rows")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import chance, date_parts, quoted
 from ..functions.grouping import distinct_sizes, pair_products, top_per, with_codes
-from ..session import shared_folder, stage
+from ..session import shared_folder, spread_out, stage
 from . import labels
 from .sales import Roles, _date_of, popular_products
 
@@ -121,12 +121,6 @@ def feature_table(
     return spread_out(stage(out)), names
 
 
-def spread_out(table: DataFrame) -> DataFrame:
-    """Give a small staged table as many partitions as there are cores, since each fit reads it often."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return stage(table.repartition(cores)) if table.rdd.getNumPartitions() < cores else table
-
-
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
@@ -147,7 +141,7 @@ def _importances(table: DataFrame, model, features: Sequence[str]) -> DataFrame:
 
 def _forest(kind, **extra):
     return kind(
-        labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=1024, **extra
+        labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=1024, cacheNodeIds=True, **extra
     )
 
 

@@ -1,8 +1,8 @@
 """Profiling and data-quality jobs over any table.
 
-Every statistic that merges is computed for all columns in one aggregate: one scan, one small
-row per partition. That row is then turned into one row per column. Quantiles come first, as
-plain numbers, because outlier fences need them.
+Every statistic that merges is computed for all columns together: one scan, one small row per
+partition. Means and quantiles come first, as plain numbers, because moments are taken around
+the mean and outlier fences around the quartiles.
 """
 
 from __future__ import annotations
@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import as_double, as_time, is_missing, quoted
 from ..functions.grouping import numeric_columns, text_columns, top_per, value_counts
 from ..functions.ordering import rolling_std, row_index
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, scan
 
 # How many columns the reports look at by default.
 NUMERIC_LIMIT = 10
 TEXT_LIMIT = 10
 PAIR_LIMIT = 5
 DATE_LIMIT = 3
-PAIRS_PER_SCAN = 400
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -135,43 +134,80 @@ def completeness(df: DataFrame) -> float:
 
 # ---- numeric columns -------------------------------------------------------------------------
 
-_SIMPLE = {
-    "n": F.count,
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "lo": F.min,
-    "hi": F.max,
-    "var": F.var_samp,
-    "skew": F.skewness,
-    "kurt": F.kurtosis,
-}
+
+
+def _moments(n: Column, sums: Sequence[Column]) -> tuple[Column, Column, Column]:
+    """Second to fourth central moment sums from power sums of values shifted near their mean."""
+    s1, s2, s3, s4 = sums
+    d = F.try_divide(s1, n)
+    second = F.greatest(F.lit(0.0), s2 - n * d * d)
+    third = s3 - 3 * d * s2 + 2 * n * d * d * d
+    fourth = s4 - 4 * d * s3 + 6 * d * d * s2 - 3 * n * d * d * d * d
+    return second, third, fourth
 
 
 def numeric_summary(
     df: DataFrame, names: Sequence[str], quantiles: Sequence[float] = (0.25, 0.5, 0.75), outliers: bool = False
 ) -> DataFrame:
-    """One row per column: count, mean, deviation, extremes, quantiles, moments, missing, outliers."""
-    found = exact_quantiles(df, {n: quantiles for n in names})
-    measured = [F.count(F.lit(1)).alias("rows")]
+    """One row per column: count, mean, deviation, extremes, quantiles, moments, missing, outliers.
+
+    Moments are sums of powers of values shifted by the mean, which a first pass finds. Such
+    plain sums stay in generated code, where several moment functions per column do not.
+    """
+    # Evaluated once per row; the aggregates below then only see plain columns.
+    plain = df.select(*[_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    values = {n: F.col(f"v{i}") for i, n in enumerate(names)}
+    rows, *first = scan(plain, [F.count(F.lit(1)), *[f(v) for v in values.values() for f in (F.count, F.avg)]], 2)
+    sizes, means = first[0::2], first[1::2]
+    found = exact_quantiles(df, {n: quantiles for n in names}, sizes=sizes)
+    moved = plain.select("*", *[(v - F.lit(m or 0.0)).alias(f"d{i}") for i, (v, m) in enumerate(zip(values.values(), means))])
+    fields = ["n", "lo", "hi", "s1", "s2", "s3", "s4", "out"]
+    measured = []
     for i, name in enumerate(names):
-        value = _number(df, name)
-        measured += [make(value).alias(f"{field}{i}") for field, make in _SIMPLE.items()]
-        if outliers:
-            low, _, high = found[name]
-            fence = 1.5 * (high - low) if low is not None else None
-            beyond = (value < F.lit(low - fence)) | (value > F.lit(high + fence)) if low is not None else F.lit(False)
-            measured.append(F.count(F.when(beyond, 1)).alias(f"out{i}"))
-    row = df.agg(*measured)
-    tall = _tall(
-        row,
-        names,
-        {**{f: f for f in _SIMPLE}, **({"outliers": "out"} if outliers else {}), "rows": F.col("rows")},
+        value, shifted = values[name], F.col(f"d{i}")
+        square = shifted * shifted
+        beyond = F.lit(False)
+        if outliers and found[name][0] is not None:
+            fence = 1.5 * (found[name][2] - found[name][0])
+            beyond = (value < F.lit(found[name][0] - fence)) | (value > F.lit(found[name][2] + fence))
+        measured += [
+            F.count(value),
+            F.min(value),
+            F.max(value),
+            F.sum(shifted),
+            F.sum(square),
+            F.sum(square * shifted),
+            F.sum(square * square),
+            F.count(F.when(beyond, 1)),
+        ]
+    flat = scan(moved, measured)
+    known = []
+    for i, name in enumerate(names):
+        known.append((name, means[i], *flat[len(fields) * i : len(fields) * (i + 1)], *found[name], rows))
+    labels = [f"q{int(round(q * 100))}" for q in quantiles]
+    kinds = {"n": "long", "out": "long"}
+    schema = ["column string", "mean double", *[f"{f} {kinds.get(f, 'double')}" for f in fields], *[f"{q} double" for q in labels]]
+    # One short row per column; all of it is already known here.
+    tall = df.sparkSession.createDataFrame(known, ", ".join([*schema, "rows long"]))
+    n = F.col("n").cast("double")
+    second, third, fourth = _moments(n, [F.col(f"s{k}") for k in (1, 2, 3, 4)])
+    spread = F.when(second > 0, second)
+    variance = F.when(n > 1, second / (n - 1))
+    return tall.select(
+        "column",
+        "n",
+        "mean",
+        F.sqrt(variance).alias("std"),
+        "lo",
+        "hi",
+        variance.alias("var"),
+        (F.sqrt(n) * third / F.pow(spread, F.lit(1.5))).alias("skew"),
+        (n * fourth / (spread * spread) - 3).alias("kurt"),
+        F.col("out").alias("outliers"),
+        "rows",
+        *labels,
+        (F.col("rows") - F.col("n")).alias("missing"),
     )
-    position = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    for j, q in enumerate(quantiles):
-        values = F.array(*[F.lit(found[n][j]).cast("double") for n in names])
-        tall = tall.withColumn(f"q{int(round(q * 100))}", F.element_at(values, position[F.col("column")] + 1))
-    return tall.withColumn("missing", F.col("rows") - F.col("n"))
 
 
 def profile_file(df: DataFrame) -> DataFrame:
@@ -362,31 +398,59 @@ def eda_categorical_top(df: DataFrame, limit: int = TEXT_LIMIT, k: int = 5) -> D
 def pair_statistics(df: DataFrame, pairs: Sequence[tuple[str, str]], full: bool = False) -> DataFrame:
     """Pairwise-complete Pearson correlation; with ``full`` also counts, means and deviations.
 
-    All pairs share one aggregate; only very wide tables take more than one scan.
+    Sums of products of values shifted by their means stay in generated code. Columns without
+    missing cells share their sums; only pairs with a gap need sums of their own.
     """
-    result = None
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        chunk = pairs[start : start + PAIRS_PER_SCAN]
-        measured = []
-        for i, (a, b) in enumerate(chunk):
-            x, y = _number(df, a), _number(df, b)
-            measured.append(F.corr(x, y).alias(f"r{i}"))
-            if full:
-                both = x.isNotNull() & y.isNotNull()
-                measured.append(F.count(F.when(both, 1)).alias(f"n{i}"))
-                measured += [F.avg(F.when(both, x)).alias(f"xm{i}"), F.avg(F.when(both, y)).alias(f"ym{i}")]
-                measured += [F.stddev_samp(F.when(both, x)).alias(f"xs{i}"), F.stddev_samp(F.when(both, y)).alias(f"ys{i}")]
-        row = df.agg(*measured)
-        fields = {"correlation": "r"}
-        if full:
-            fields |= {"points": "n", "x_mean": "xm", "y_mean": "ym", "x_std": "xs", "y_std": "ys"}
-        cells = []
-        for i, (a, b) in enumerate(chunk):
-            values = [F.lit(a).alias("x"), F.lit(b).alias("y")]
-            cells.append(F.struct(*values, *[F.col(f"{p}{i}").alias(f) for f, p in fields.items()]))
-        part = row.select(F.inline(F.array(*cells)))
-        result = part if result is None else result.unionByName(part)
-    return result
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    plain = df.select(*[_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
+    rows, *first = scan(plain, [F.count(F.lit(1)), *[f(c) for c in plain.columns for f in (F.count, F.avg)]], 2)
+    whole = {n for i, n in enumerate(names) if first[2 * i] == rows}
+    means = {n: first[2 * i + 1] or 0.0 for i, n in enumerate(names)}
+    # Evaluated once per row; the sums below then only see plain columns.
+    moved = plain.select(*[(F.col(f"v{i}") - F.lit(means[n])).alias(f"d{i}") for i, n in enumerate(names)])
+    shifted = {n: F.col(f"d{i}") for i, n in enumerate(names)}
+
+    wanted: dict[tuple, Column] = {}
+    for a, b in pairs:
+        if a in whole and b in whole:
+            wanted |= {(a,): F.sum(shifted[a]), (b,): F.sum(shifted[b])}
+            wanted |= {tuple(sorted(p)): F.sum(shifted[p[0]] * shifted[p[1]]) for p in ((a, a), (b, b), (a, b))}
+            continue
+        # A product with a missing factor is missing, so these sums only see complete pairs.
+        x, y = shifted[a], shifted[b]
+        ones = F.when(x.isNotNull() & y.isNotNull(), 1)
+        wanted |= {
+            (a, b, "n"): F.count(ones),
+            (a, b, "x"): F.sum(F.when(ones == 1, x)),
+            (a, b, "y"): F.sum(F.when(ones == 1, y)),
+            (a, b, "xx"): F.sum(F.when(ones == 1, x * x)),
+            (a, b, "yy"): F.sum(F.when(ones == 1, y * y)),
+            (a, b, "xy"): F.sum(x * y),
+        }
+    sums = dict(zip(wanted, scan(moved, list(wanted.values()))))
+
+    known = []
+    for a, b in pairs:
+        if a in whole and b in whole:
+            n, sx, sy = rows, sums[a,], sums[b,]
+            sxx, syy, sxy = sums[a, a], sums[b, b], sums[tuple(sorted((a, b)))]
+            mx, my = means[a], means[b]
+        else:
+            n, sx, sy, sxx, syy, sxy = (sums[a, b, k] for k in ("n", "x", "y", "xx", "yy", "xy"))
+            mx, my = (means[a] + sx / n, means[b] + sy / n) if n else (None, None)
+        known.append((a, b, n, mx, my, *[float(v) if v is not None else None for v in (sx, sy, sxx, syy, sxy)]))
+    schema = "x string, y string, points long, x_mean double, y_mean double, sx double, sy double, sxx double, syy double, sxy double"
+    # One short row per pair; all of it is already known here.
+    tall = df.sparkSession.createDataFrame(known, schema)
+    n = F.col("points").cast("double")
+    dx, dy = F.try_divide(F.col("sx"), n), F.try_divide(F.col("sy"), n)
+    vx, vy = F.col("sxx") - n * dx * dx, F.col("syy") - n * dy * dy
+    r = F.when((vx > 0) & (vy > 0), (F.col("sxy") - n * dx * dy) / (F.sqrt(vx) * F.sqrt(vy)))
+    out = ["x", "y", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("correlation")]
+    if full:
+        out += ["points", "x_mean", "y_mean"]
+        out += [F.sqrt(F.try_divide(v, n - 1)).alias(f"{k}_std") for k, v in (("x", vx), ("y", vy))]
+    return tall.select(*out)
 
 
 def eda_correlation(df: DataFrame) -> DataFrame:

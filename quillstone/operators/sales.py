@@ -176,7 +176,7 @@ def half_trend(df: DataFrame, roles: Roles, ties: Sequence[str] = ()) -> DataFra
     ).filter(F.col("date").isNotNull())
     stamps = facts.withColumn("stamp", F.unix_micros(F.col("date").cast("timestamp")))
     rows = facts.count()
-    middle = value_at_rank(stamps, "stamp", rows // 2)
+    middle = value_at_rank(stamps, "stamp", rows // 2, size=rows)
     amount, stamp = F.col("revenue"), F.col("stamp")
     if middle is None:
         before = stamps.limit(0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import clinical_columns
 from ..operators import clinical as job
-from ..sources.views import ADMISSION_ROLES as ROLES, admissions, table
+from ..sources.views import ADMISSION_ROLES as ROLES, admissions, staged_admissions, table
 from .registry import Query, on_admissions
 
 _DIAGNOSES = ["Medical Condition"]
@@ -114,11 +114,11 @@ SELECT (['0-18','19-35','36-50','51-65','65+'])[i] AS age_group, count(c_acctbal
 LEFT JOIN customer ON c_acctbal >= lo + (i - 1) * w AND c_acctbal < lo + i * w GROUP BY 1""",
     ),
     "risk_factors": Query(
-        lambda s, d: job.risk_factors(admissions(s, d), "Age", _DIAGNOSES, _MEDICINES, _LABS, _VITALS),
+        lambda s, d: job.risk_factors(staged_admissions(s, d), "Age", _DIAGNOSES, _MEDICINES, _LABS, _VITALS),
         on_admissions("SELECT * FROM factors", _FACTORS),
     ),
     "risk_sizes": Query(
-        lambda s, d: job.risk_sizes(job.risk_factors(admissions(s, d), "Age", _DIAGNOSES, _MEDICINES, _LABS, _VITALS)),
+        lambda s, d: job.risk_sizes(job.risk_factors(staged_admissions(s, d), "Age", _DIAGNOSES, _MEDICINES, _LABS, _VITALS)),
         on_admissions(
             """SELECT high_risk, medium_risk, rows - high_risk - medium_risk AS low_risk FROM (SELECT max(rows) AS rows,
   CAST(trunc(max(rows) * (avg(score) / 100) * 0.3::DOUBLE) AS BIGINT) AS high_risk,
@@ -127,7 +127,7 @@ LEFT JOIN customer ON c_acctbal >= lo + (i - 1) * w AND c_acctbal < lo + i * w G
         ),
     ),
     "vital_signs": Query(
-        lambda s, d: job.vital_signs(admissions(s, d), _VITALS),
+        lambda s, d: job.vital_signs(staged_admissions(s, d), _VITALS),
         on_admissions(
             "\nUNION ALL ".join(
                 [_numeric_reading("Age", 1, 2), _numeric_reading("Room Number", 1, 2)]
@@ -136,7 +136,7 @@ LEFT JOIN customer ON c_acctbal >= lo + (i - 1) * w AND c_acctbal < lo + i * w G
         ),
     ),
     "vital_signs_overlapping": Query(
-        lambda s, d: job.vital_signs(admissions(s, d), ["Blood Type", "Test Results", "Admission Type"], compat=True),
+        lambda s, d: job.vital_signs(staged_admissions(s, d), ["Blood Type", "Test Results", "Admission Type"], compat=True),
         on_admissions(
             "\nUNION ALL ".join(
                 _overlapping_reading(c, job.VITAL_NORMAL, job.VITAL_ABNORMAL, job.VITAL_CRITICAL)
@@ -260,15 +260,15 @@ ORDER BY {'1' if compat else '2 DESC, 1'} LIMIT 10"""
         ),
     ),
     "treatment_costs": Query(
-        lambda s, d: job.treatment_costs(admissions(s, d), _COSTS, "Medication", "Admission Type"),
+        lambda s, d: job.treatment_costs(staged_admissions(s, d), _COSTS, "Medication", "Admission Type"),
         on_admissions(_by("Medication", "Medication", 8, "cost")),
     ),
     "treatment_costs_by_type": Query(
-        lambda s, d: job.treatment_costs(admissions(s, d), _COSTS, "Gender", "Admission Type"),
+        lambda s, d: job.treatment_costs(staged_admissions(s, d), _COSTS, "Gender", "Admission Type"),
         on_admissions(_by("Gender", "Medication", 8, "cost") + "\nUNION ALL " + _by("Admission Type", "Admission", 3, "cost")),
     ),
     "treatment_costs_by_third": Query(
-        lambda s, d: job.treatment_costs(admissions(s, d), _COSTS),
+        lambda s, d: job.treatment_costs(staged_admissions(s, d), _COSTS),
         on_admissions(
             _bands(
                 ("Low Cost Treatments (0-33rd percentile)", "Medium Cost Treatments (33-66th percentile)", "High Cost Treatments (66-100th percentile)"),
@@ -310,19 +310,19 @@ FROM admissions GROUP BY 1"""
         ),
     ),
     "budget_allocation": Query(
-        lambda s, d: job.budget_allocation(admissions(s, d), _COSTS, ["Medical Condition", "Test Results"], _MEDICINES),
+        lambda s, d: job.budget_allocation(staged_admissions(s, d), _COSTS, ["Medical Condition", "Test Results"], _MEDICINES),
         on_admissions(
             _by("Medical Condition", "Medical Condition", 5, "amount") + "\nUNION ALL " + _by("Test Results", "Test Results", 5, "amount")
         ),
     ),
     "budget_by_treatment": Query(
-        lambda s, d: job.budget_allocation(admissions(s, d), _COSTS, [], ["Medication", "Admission Type"]),
+        lambda s, d: job.budget_allocation(staged_admissions(s, d), _COSTS, [], ["Medication", "Admission Type"]),
         on_admissions(
             _by("Medication", "Medication", 4, "amount") + "\nUNION ALL " + _by("Admission Type", "Admission Type", 4, "amount")
         ),
     ),
     "budget_by_quarter": Query(
-        lambda s, d: job.budget_allocation(admissions(s, d), _COSTS),
+        lambda s, d: job.budget_allocation(staged_admissions(s, d), _COSTS),
         on_admissions(
             _bands(
                 (
@@ -337,7 +337,7 @@ FROM admissions GROUP BY 1"""
         ),
     ),
     "budget_totals": Query(
-        lambda s, d: job.budget_totals(admissions(s, d), _COSTS),
+        lambda s, d: job.budget_totals(staged_admissions(s, d), _COSTS),
         on_admissions(
             'SELECT CAST(trunc(sum("Billing Amount")) AS BIGINT) AS total_budget, CAST(95 AS BIGINT) AS utilization_rate FROM admissions'
         ),
@@ -377,7 +377,7 @@ FROM admissions GROUP BY 1"""
         ),
     ),
     "healthcare_overview": Query(
-        lambda s, d: (lambda a: job.healthcare_overview(a, clinical_columns(a), "Age", "Date of Admission"))(admissions(s, d)),
+        lambda s, d: (lambda a: job.healthcare_overview(a, clinical_columns(a), "Age", "Date of Admission"))(staged_admissions(s, d)),
         on_admissions(
             """SELECT 'total' AS section, 'records' AS key, CAST(count(*) AS DOUBLE) AS value FROM admissions
 UNION ALL SELECT * FROM (VALUES ('columns', 'patient', 3.0::DOUBLE), ('columns', 'vital', 2), ('columns', 'diagnosis', 1), ('columns', 'treatment', 1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, labels, models
-from ..sources.views import ADMISSION_ROLES as ROLES, SALES_ROLES, admissions, sales, table
+from ..sources.views import ADMISSION_ROLES as ROLES, SALES_ROLES, admissions, sales, staged_admissions, staged_sales, table
 from .registry import Query, on_admissions, on_sales
 
 _CUSTOMER = ["CustomerNo", "Date", "Total_Revenue", "Quantity"]
@@ -47,7 +47,7 @@ def _rounded(df):
 
 
 def _model(name):
-    return Query(lambda s, d: _rounded(models.MODELS[name](admissions(s, d), ROLES).report))
+    return Query(lambda s, d: _rounded(models.MODELS[name](staged_admissions(s, d), ROLES).report))
 
 
 QUERIES = {
@@ -86,7 +86,7 @@ QUERIES = {
         ),
     ),
     "item_similarity": Query(
-        lambda s, d: models.item_similarity(sales(s, d, ["CustomerNo", "ProductName"]), SALES_ROLES),
+        lambda s, d: models.item_similarity(staged_sales(s, d, ["CustomerNo", "ProductName"]), SALES_ROLES),
         on_sales(
             """SELECT product, CAST(place AS INTEGER) AS rank, similar_product, similarity FROM (SELECT *,
   row_number() OVER (PARTITION BY product ORDER BY similarity DESC, similar_product) AS place FROM pairs) WHERE place <= 5""",
@@ -106,7 +106,7 @@ QUERIES = {
         ),
     ),
     "risk_label": Query(
-        lambda s, d: labels.risk_label(admissions(s, d), ROLES).select("AdmissionId", "risk_level"),
+        lambda s, d: labels.risk_label(staged_admissions(s, d), ROLES).select("AdmissionId", "risk_level"),
         on_admissions(
             """SELECT AdmissionId, CAST(CASE WHEN n < (SELECT quantile_cont(CAST(n AS DOUBLE), 0.3) FROM common) THEN greatest(level, 1) ELSE level END AS INTEGER) AS risk_level
 FROM (SELECT *, CASE WHEN "Billing Amount"::DOUBLE >= c75 THEN 2 WHEN Age >= a75 THEN 2 WHEN Age >= a25 THEN 1 ELSE 0 END AS level
@@ -116,7 +116,7 @@ FROM (SELECT *, CASE WHEN "Billing Amount"::DOUBLE >= c75 THEN 2 WHEN Age >= a75
         ),
     ),
     "discharge_label": Query(
-        lambda s, d: labels.discharge_label(admissions(s, d), ROLES).select("AdmissionId", "care_level"),
+        lambda s, d: labels.discharge_label(staged_admissions(s, d), ROLES).select("AdmissionId", "care_level"),
         on_admissions(
             """SELECT AdmissionId, CASE WHEN n >= (SELECT quantile_cont(CAST(n AS DOUBLE), 0.5) FROM common) THEN 0
   WHEN "Billing Amount"::DOUBLE >= c75 OR Age >= a75 THEN 2 ELSE 1 END AS care_level FROM admissions JOIN common ON c = "Medical Condition", cuts""",
@@ -125,7 +125,7 @@ FROM (SELECT *, CASE WHEN "Billing Amount"::DOUBLE >= c75 THEN 2 WHEN Age >= a75
         ),
     ),
     "outcome_label": Query(
-        lambda s, d: labels.outcome_label(admissions(s, d), ROLES).select("AdmissionId", "outcome"),
+        lambda s, d: labels.outcome_label(staged_admissions(s, d), ROLES).select("AdmissionId", "outcome"),
         on_admissions(
             """SELECT AdmissionId, CASE WHEN "Billing Amount"::DOUBLE > mean_cost * 1.5::DOUBLE
   OR date_diff('day', "Date of Admission", "Discharge Date") >= s75 THEN 0 ELSE 1 END AS outcome FROM admissions JOIN common ON c = "Medical Condition", cuts""",
@@ -140,7 +140,7 @@ FROM (SELECT *, CASE WHEN "Billing Amount"::DOUBLE >= c75 THEN 2 WHEN Age >= a75
         ),
     ),
     "los_label": Query(
-        lambda s, d: labels.without_outliers(labels.los_label(admissions(s, d), ROLES), "stay_days").select("AdmissionId", "stay_days"),
+        lambda s, d: labels.without_outliers(labels.los_label(staged_admissions(s, d), ROLES), "stay_days").select("AdmissionId", "stay_days"),
         on_admissions(
             """SELECT AdmissionId, d AS stay_days FROM t, (SELECT avg(d) AS m, stddev_samp(d) AS s FROM t) WHERE d BETWEEN m - 3 * s AND m + 3 * s""",
             """t AS (SELECT AdmissionId, CAST(date_diff('day', "Date of Admission", "Discharge Date") AS DOUBLE) AS d FROM admissions)""",

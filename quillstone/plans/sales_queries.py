@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import sales as job
-from ..sources.views import SALES_ROLES as ROLES, sales
+from ..sources.views import SALES_ROLES as ROLES, sales, staged_sales
 from .registry import Query, on_sales
 
 _PERIOD = {
@@ -95,11 +95,11 @@ def _figures() -> str:
 
 QUERIES = {
     "revenue_total": Query(
-        lambda s, d: job.revenue_total(sales(s, d, ["CustomerNo", "Date", "Total_Revenue", "Profit"]), ROLES),
+        lambda s, d: job.revenue_total(staged_sales(s, d, ["CustomerNo", "Date", "Total_Revenue", "Profit"]), ROLES),
         on_sales(_figures(), _periods("month")),
     ),
     "half_trend": Query(
-        lambda s, d: job.half_trend(sales(s, d, _MONEY), ROLES, _TIES),
+        lambda s, d: job.half_trend(staged_sales(s, d, _MONEY), ROLES, _TIES),
         on_sales(
             """SELECT round(CAST(a AS DOUBLE) / na, 4) AS first_half, round(CAST(b AS DOUBLE) / nb, 4) AS second_half,
   CASE WHEN CAST(b AS DOUBLE) / nb > CAST(a AS DOUBLE) / na * 1.05::DOUBLE THEN 'Increasing'
@@ -120,7 +120,7 @@ FROM (SELECT sum(Total_Revenue) FILTER (place <= half) AS a, count(*) FILTER (pl
         for p in ("day", "week", "month")
     },
     "revenue_trends": Query(
-        lambda s, d: job.trend_figures(sales(s, d, ["Date", "Total_Revenue"]), ROLES),
+        lambda s, d: job.trend_figures(staged_sales(s, d, ["Date", "Total_Revenue"]), ROLES),
         on_sales(
             " UNION ALL ".join(
                 f"SELECT '{p}' AS period, count(*) AS periods, round(avg(growth) * 100, 4) AS growth_rate, "
@@ -186,11 +186,11 @@ FROM sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
         ),
     ),
     "cross_sell": Query(
-        lambda s, d: job.cross_sell(sales(s, d, ["CustomerNo", "ProductName"]), ROLES),
+        lambda s, d: job.cross_sell(staged_sales(s, d, ["CustomerNo", "ProductName"]), ROLES),
         on_sales("SELECT * FROM pairs ORDER BY co_purchases DESC, product_a, product_b LIMIT 50", _top_bought(200), _PAIRS),
     ),
     "co_purchases": Query(
-        lambda s, d: job.co_purchases(sales(s, d, ["CustomerNo", "ProductName"]), ROLES),
+        lambda s, d: job.co_purchases(staged_sales(s, d, ["CustomerNo", "ProductName"]), ROLES),
         on_sales("SELECT * FROM pairs", _top_bought(200), _PAIRS),
     ),
     "geo_revenue": Query(
@@ -239,7 +239,7 @@ FROM sales GROUP BY 1"""
         ),
     ),
     "sales_summary": Query(
-        lambda s, d: job.sales_summary(sales(s, d, ["Price", "Quantity", "ProductName", "Country"]), ROLES),
+        lambda s, d: job.sales_summary(staged_sales(s, d, ["Price", "Quantity", "ProductName", "Country"]), ROLES),
         on_sales(
             """SELECT 'overall' AS section, 'total_revenue' AS key, round(sum(v), 2) AS value FROM t
 UNION ALL SELECT 'overall', 'average_order_value', round(avg(v), 2) FROM t

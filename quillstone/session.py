@@ -8,6 +8,7 @@ executor never changes or loses them.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,21 @@ def stage(df: DataFrame) -> DataFrame:
     """Evaluate ``df`` once into the shared folder; partitions and their order are kept."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back.
+
+    For a joined table that a job will pass over several times: later passes read only the
+    columns they need instead of joining again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread_out(staged: DataFrame) -> DataFrame:
+    """Give a small staged table as many partitions as there are cores, for costly work per row."""
+    cores = staged.sparkSession.sparkContext.defaultParallelism
+    return stage(staged.repartition(cores)) if staged.rdd.getNumPartitions() < cores else staged

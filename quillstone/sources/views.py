@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import stage_table
+
 SALES_ROLES = {
     "date": "Date",
     "customer": "CustomerNo",
@@ -61,6 +63,11 @@ def sales(spark: SparkSession, folder: str, columns: Sequence[str] | None = None
     return joined.select(*[sources[c][1].alias(c) for c in wanted])
 
 
+def staged_sales(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
+    """The wanted columns of ``sales`` written out once, for jobs that pass over them several times."""
+    return stage_table(sales(spark, folder, columns))
+
+
 def _choice(column: Column, values: Sequence[str]) -> Column:
     number = (column % len(values)).cast("int") + 1
     return F.element_at(F.array(*[F.lit(v) for v in values]), number)
@@ -112,3 +119,8 @@ ADMISSION_ROLES = {
     "admitted": "Date of Admission",
     "discharged": "Discharge Date",
 }
+
+
+def staged_admissions(spark: SparkSession, folder: str) -> DataFrame:
+    """``admissions`` written out once, for jobs that pass over it several times."""
+    return stage_table(admissions(spark, folder))
