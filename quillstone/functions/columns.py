@@ -131,7 +131,8 @@ def unique_ignoring_case(array: Column) -> Column:
 
 
 def clip(column: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), column))
+    """Within bounds; NULL stays NULL, although ``least`` and ``greatest`` skip it."""
+    return F.when(column.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), column)))
 
 
 def scaled(column: Column, low, span) -> Column:

@@ -420,12 +420,12 @@ def length_of_stay(df: DataFrame, roles: Mapping[str, str]) -> Trained:
 def medication(df: DataFrame, roles: Mapping[str, str], classes: int = 10, k: int = 3) -> Trained:
     """Medicine from the profile; recommendations are the mean class probabilities per condition."""
     medicine = quoted(roles["medication"])
-    top = df.filter(medicine.isNotNull()).groupBy(medicine.alias("medicine")).agg(F.count(F.lit(1)).alias("n"))
-    top = stage(top.orderBy(F.desc("n"), "medicine").limit(classes))
+    top = df.filter(medicine.isNotNull()).groupBy(medicine.alias("_medicine")).agg(F.count(F.lit(1)).alias("_n"))
+    top = stage(top.orderBy(F.desc("_n"), "_medicine").limit(classes))
     # At most ten rows.
-    numbered = top.withColumn("_class", F.row_number().over(Window.orderBy(F.desc("n"), "medicine")) - 1)
-    labelled = df.join(F.broadcast(numbered.select("medicine", "_class")), medicine == F.col("medicine"))
-    names_of = [r["medicine"] for r in numbered.orderBy("_class").select("medicine").collect()]
+    numbered = top.withColumn("_class", F.row_number().over(Window.orderBy(F.desc("_n"), "_medicine")) - 1)
+    labelled = df.join(F.broadcast(numbered.select("_medicine", "_class")), medicine == F.col("_medicine"))
+    names_of = [r["_medicine"] for r in numbered.orderBy("_class").select("_medicine").collect()]
     chosen = _categories(roles, ("gender", "blood_type", "condition"))
     keep = [roles["condition"]] if "condition" in roles else []
     table, names = feature_table(labelled, [roles["id"]], "_class", _numbers(df, roles, ("age", "cost")), chosen, keep)

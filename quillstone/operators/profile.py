@@ -13,7 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_double, as_time, is_missing, quoted
+from ..functions.columns import as_double, as_time, clip, is_missing, quoted
 from ..functions.grouping import numeric_columns, text_columns, top_per, value_counts
 from ..functions.ordering import rolling_std, row_index
 from ..functions.quantiles import exact_quantiles, scan
@@ -446,7 +446,7 @@ def pair_statistics(df: DataFrame, pairs: Sequence[tuple[str, str]], full: bool
     dx, dy = F.try_divide(F.col("sx"), n), F.try_divide(F.col("sy"), n)
     vx, vy = F.col("sxx") - n * dx * dx, F.col("syy") - n * dy * dy
     r = F.when((vx > 0) & (vy > 0), (F.col("sxy") - n * dx * dy) / (F.sqrt(vx) * F.sqrt(vy)))
-    out = ["x", "y", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("correlation")]
+    out = ["x", "y", clip(r, -1.0, 1.0).alias("correlation")]
     if full:
         out += ["points", "x_mean", "y_mean"]
         out += [F.sqrt(F.try_divide(v, n - 1)).alias(f"{k}_std") for k, v in (("x", vx), ("y", vy))]

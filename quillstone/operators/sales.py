@@ -171,8 +171,11 @@ def half_trend(df: DataFrame, roles: Roles, ties: Sequence[str] = ()) -> DataFra
 
     The date at the middle is found exactly; only rows of that one date are put in order.
     """
+    tied = [f"_tie{i}" for i in range(len(ties))]
     facts = df.select(
-        _date_of(df, roles).alias("date"), revenue_of(roles).alias("revenue"), *[quoted(t).alias(t) for t in ties]
+        _date_of(df, roles).alias("date"),
+        revenue_of(roles).alias("revenue"),
+        *[quoted(t).alias(name) for t, name in zip(ties, tied)],
     ).filter(F.col("date").isNotNull())
     stamps = facts.withColumn("stamp", F.unix_micros(F.col("date").cast("timestamp")))
     rows = facts.count()
@@ -186,10 +189,8 @@ def half_trend(df: DataFrame, roles: Roles, ties: Sequence[str] = ()) -> DataFra
         cut = rows // 2 - before.count()
     early = before.select("revenue")
     if cut > 0:
-        same_day = stamps.filter(stamp == F.lit(int(middle))).select(*ties, "revenue")
-        early = early.unionByName(
-            row_index(same_day, list(ties), "place").filter(F.col("place") < cut).select("revenue")
-        )
+        same_day = stamps.filter(stamp == F.lit(int(middle))).select(*tied, "revenue")
+        early = early.unionByName(row_index(same_day, tied, "place").filter(F.col("place") < cut).select("revenue"))
     # Sums of both halves in one aggregate: the later half is all rows minus the earlier ones.
     sums = early.select(amount.alias("early"), F.lit(None).cast(facts.schema["revenue"].dataType).alias("every")).unionByName(
         facts.select(F.lit(None).cast(facts.schema["revenue"].dataType).alias("early"), amount.alias("every"))

@@ -29,8 +29,8 @@ def counted(df: DataFrame, column: str) -> DataFrame:
 
 def keep_top_values(df: DataFrame, column: str, k: int) -> DataFrame:
     """Rows whose value is among the k most frequent. The list has at most k rows."""
-    top = counted(df, column).orderBy(F.desc("n"), "value").limit(k).select("value")
-    return df.join(F.broadcast(top), quoted(column) == F.col("value"), "left_semi")
+    top = counted(df, column).orderBy(F.desc("n"), "value").limit(k).select(F.col("value").alias("_top"))
+    return df.join(F.broadcast(top), quoted(column) == F.col("_top"), "left_semi")
 
 
 def updated(df: DataFrame, column: str, changes: Sequence[tuple[Column, object]]) -> DataFrame:
