@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import as_double, quoted
 from ..functions.quantiles import exact_quantiles
 from ..session import spread_out, stage
+from ..sources.files import stable_sample
 
 TREES = 100
 TREE_ROWS = 256
@@ -66,13 +67,13 @@ def isolation_scores(df: DataFrame, features: Sequence[str], keys: Sequence[str]
     spark = df.sparkSession
     made = df.select(
         *[F.coalesce(as_double(quoted(c), df.schema[c].dataType), F.lit(0.0)).alias(c) for c in features],
-        F.xxhash64(*[quoted(k) for k in keys], F.lit(SEED)).alias("_draw"),
+        F.xxhash64(*[quoted(k) for k in keys]).alias("_key"),
     )
     numbers = spread_out(stage(made))
     # At most TREES * TREE_ROWS rows reach the driver.
-    drawn = numbers.orderBy("_draw", *[quoted(c) for c in features]).limit(TREES * TREE_ROWS)
+    drawn = stable_sample(numbers, ["_key", *features], TREES * TREE_ROWS, SEED)
     sample = drawn.select(*[quoted(c) for c in features]).toPandas().to_numpy(dtype="float64")
-    plain = numbers.drop("_draw")
+    plain = numbers.drop("_key")
     if not len(sample):
         return plain.select("*", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("anomaly"))
     size = min(TREE_ROWS, len(sample))

@@ -26,7 +26,7 @@ from ..functions.grouping import distinct_sizes, long_values, numeric_columns, t
 from ..functions.quantiles import exact_quantiles
 from ..functions.roles import clinical_columns
 from ..session import stage
-from . import profile
+from . import models, profile
 from .tables import counted, equal_width_histogram
 
 # Age bands as (label, first age, first age beyond).
@@ -678,6 +678,8 @@ def analyses(df: DataFrame, found: Mapping[str, Sequence[str]], roles: Mapping[s
         "correlation-analysis": lambda: profile.correlation_bands(df),
         "trend-analysis": lambda: profile.record_trend(df, roles["admitted"])["summary"],
         "statistical-summary": lambda: profile.statistical_summary(df),
+        **{f"ml-{name}": lambda fit=fit: fit(df, roles).report for name, fit in models.MODELS.items()},
+        "ml-all": lambda: models.train(df, roles),
     }
 
 

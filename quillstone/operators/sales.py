@@ -419,18 +419,20 @@ def geo_revenue(df: DataFrame, roles: Roles) -> DataFrame:
     else:
         facts = facts.select("country", "revenue", F.when(F.col("revenue").isNotNull(), 1).otherwise(0).alias("n"))
         customers = F.lit(0).cast("long")
-    countries = facts.groupBy("country").agg(
-        F.sum("revenue").alias("revenue"), F.sum("n").alias("transactions"), customers.alias("customers")
+    countries = stage(
+        facts.groupBy("country").agg(
+            F.sum("revenue").alias("revenue"), F.sum("n").alias("transactions"), customers.alias("customers")
+        )
     )
-    everywhere = Window.partitionBy()
+    revenue, held = countries.agg(_double(F.sum("revenue")), _double(F.sum("customers"))).first()
     return countries.select(
         "country",
         F.round(_double(F.col("revenue")), 2).alias("total_revenue"),
         F.round(F.try_divide(_double(F.col("revenue")), F.col("transactions")), 2).alias("avg_revenue"),
         F.col("transactions").alias("transaction_count"),
         F.col("customers").alias("unique_customers"),
-        share(F.col("revenue"), F.sum("revenue").over(everywhere)).alias("market_share"),
-        share(F.col("customers"), F.sum("customers").over(everywhere)).alias("customer_share"),
+        share(F.col("revenue"), F.lit(revenue)).alias("market_share"),
+        share(F.col("customers"), F.lit(held)).alias("customer_share"),
     )
 
 
@@ -478,8 +480,9 @@ def dashboard_top(df: DataFrame, roles: Roles, k: int = 5) -> DataFrame:
 def dashboard_geo(df: DataFrame, roles: Roles) -> DataFrame:
     """Share of rows by country, one decimal."""
     counts = df.select(quoted(roles["country"]).alias("country")).filter(F.col("country").isNotNull())
-    counts = counts.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("country", share(F.col("n"), F.sum("n").over(Window.partitionBy()), 1).alias("row_share"))
+    counts = stage(counts.groupBy("country").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0]
+    return counts.select("country", share(F.col("n"), F.lit(total), 1).alias("row_share"))
 
 
 def dashboard_monthly(df: DataFrame, roles: Roles) -> DataFrame:

@@ -112,9 +112,20 @@ def export_text(df: DataFrame, blank: str = "N/A") -> DataFrame:
 
 
 def stable_sample(df: DataFrame, keys: Sequence[str], rows: int = ML_SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """A fixed number of rows drawn by the hash of their keys: the same rows on every run."""
-    draw = F.xxhash64(*[quoted(k) for k in keys], F.lit(seed))
-    return df.orderBy(draw, *[quoted(k) for k in keys]).limit(rows)
+    """A fixed number of rows drawn by the hash of their keys: the same rows on every run.
+
+    In a large table only rows with a low hash are put in order, about twice as many as wanted.
+    """
+    columns = [quoted(k) for k in keys]
+    draw = F.xxhash64(*columns, F.lit(seed))
+    pool = df
+    total = df.count()
+    if total > 4 * rows:
+        low = -(1 << 63)
+        near = df.filter(draw < F.lit(low + int((1 << 64) * (2.0 * rows / total))))
+        # Keys that repeat a lot may leave too few rows below the bound.
+        pool = near if near.count() >= rows else df
+    return pool.orderBy(draw, *columns).limit(rows)
 
 
 def catalogue_search(df: DataFrame, query: str, texts: Sequence[str], keywords: str | None = None) -> DataFrame:

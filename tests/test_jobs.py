@@ -454,6 +454,19 @@ def test_first_rows_and_pages(spark):
     assert sample.exceptAll(files.stable_sample(df.repartition(4), ["id"], 20)).count() == 0
 
 
+def test_sample_of_a_large_table(spark):
+    df = spark.range(5000).withColumn("same", F.lit(1))
+    picked = files.stable_sample(df, ["id"], 50)
+    want = df.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(50)
+    assert picked.exceptAll(want).count() == 0 and picked.count() == 50
+    assert files.stable_sample(df, ["same"], 50).count() == 50
+
+
+def test_columns_of_a_kind(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "a int, b string, c double")
+    assert tables.of_kind(df, lambda t: isinstance(t, T.NumericType)).columns == ["a", "c"]
+
+
 def test_catalogue(spark):
     df = spark.createDataFrame([("sales_Report-2024.csv", "Sales", ["retail", "shop"]), ("x.csv", "Other", [])], "filename string, name string, keywords array<string>")
     assert files.catalogue_search(df, " RETAIL ", ["filename", "name"], "keywords").count() == 1
