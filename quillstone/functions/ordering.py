@@ -1,8 +1,8 @@
 """Row positions, fills and rolling windows over one global order.
 
-The order is made by one distributed sort whose result is checkpointed. Positions then come
-from the row's place inside its partition plus the sizes of the partitions before it, so no
-window ever runs over the whole table in a single task.
+The order is made by one distributed sort whose result is written out. Positions then come from
+the row's place inside its file plus the sizes of the files before it, so no window ever runs
+over the whole table in a single task.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import stage_table
 from .columns import quoted
 
 COPIES_PER_TASK = 1_000_000
 ROLLING_BLOCK = 100_000
-_MARK, _PART = "_mark", "_part"
+_PLACE, _PART = "_place", "_part"
 
 
 def number_copies(df: DataFrame, name: str = "_copy") -> DataFrame:
@@ -41,19 +41,18 @@ def number_copies(df: DataFrame, name: str = "_copy") -> DataFrame:
 
 
 def _in_order(df: DataFrame, order_by: Sequence[str | Column], unique: bool) -> DataFrame:
-    """Sorted, checkpointed rows with the partition number and the place inside it."""
+    """Sorted rows, written out, with the number of their file and the place inside it."""
     first = [quoted(c) if isinstance(c, str) else c for c in order_by]
     if unique:
         ordered = df.orderBy(*first)
     else:
         numbered = number_copies(df)
         ordered = numbered.orderBy(*first, *[quoted(c) for c in df.columns], F.col("_copy")).drop("_copy")
-    marked = stage(ordered).withColumn(_MARK, F.monotonically_increasing_id())
-    return marked.withColumn(_PART, F.shiftrightunsigned(F.col(_MARK), 33))
-
-
-def _place() -> Column:
-    return F.col(_MARK).bitwiseAND(F.lit((1 << 33) - 1))
+    # File names look like part-00012-…-c000.parquet: the sorted partition, then a counter inside it.
+    name = F.col("_metadata.file_name")
+    number = lambda pattern: F.regexp_extract(name, pattern, 1).cast("long")
+    part = number(r"^part-(\d+)-") * 1_000_000 + number(r"-c(\d+)\.")
+    return stage_table(ordered).select("*", part.alias(_PART), F.col("_metadata.row_index").alias(_PLACE))
 
 
 def row_index(
@@ -66,10 +65,10 @@ def row_index(
     marked = _in_order(df, order_by, unique)
     sizes = marked.groupBy(_PART).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition of the sort, so the window and the broadcast are small.
+    # One row per file of the sort, so the window and the broadcast are small.
     starts = sizes.select(_PART, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return marked.join(F.broadcast(starts), _PART).withColumn(name, F.col("_start") + _place()).drop(
-        _PART, _MARK, "_start"
+    return marked.join(F.broadcast(starts), _PART).withColumn(name, F.col("_start") + F.col(_PLACE)).drop(
+        _PART, _PLACE, "_start"
     )
 
 
@@ -78,15 +77,15 @@ def fill_missing(
 ) -> DataFrame:
     """Fill NULLs with the last (or next) value in the given order.
 
-    Each partition of the sort fills itself; what comes from outside it is one carried value
-    per column and partition.
+    Each file of the sort fills itself; what comes from outside it is one carried value per
+    column and file.
     """
     if not columns:
         return df
     marked = _in_order(df, order_by, unique)
     pick = F.max_by if forward else F.min_by
     edges = marked.groupBy(_PART).agg(
-        *[pick(quoted(c), F.when(quoted(c).isNotNull(), F.col(_MARK))).alias(f"_edge{i}") for i, c in enumerate(columns)]
+        *[pick(quoted(c), F.when(quoted(c).isNotNull(), F.col(_PLACE))).alias(f"_edge{i}") for i, c in enumerate(columns)]
     )
     parts = Window.orderBy(F.col(_PART).asc() if forward else F.col(_PART).desc())
     outside = parts.rowsBetween(Window.unboundedPreceding, -1)
@@ -95,7 +94,7 @@ def fill_missing(
     )
     inside = (
         Window.partitionBy(_PART)
-        .orderBy(F.col(_MARK).asc() if forward else F.col(_MARK).desc())
+        .orderBy(F.col(_PLACE).asc() if forward else F.col(_PLACE).desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     filled = marked.join(F.broadcast(carried), _PART)

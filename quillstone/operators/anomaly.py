@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, quoted
 from ..functions.quantiles import exact_quantiles
-from ..session import spread_out, stage
+from ..session import spread_out, stage_table
 from ..sources.files import stable_sample
 
 TREES = 100
@@ -69,7 +69,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], keys: Sequence[str]
         *[F.coalesce(as_double(quoted(c), df.schema[c].dataType), F.lit(0.0)).alias(c) for c in features],
         F.xxhash64(*[quoted(k) for k in keys]).alias("_key"),
     )
-    numbers = spread_out(stage(made))
+    numbers = spread_out(stage_table(made))
     # At most TREES * TREE_ROWS rows reach the driver.
     drawn = stable_sample(numbers, ["_key", *features], TREES * TREE_ROWS, SEED)
     sample = drawn.select(*[quoted(c) for c in features]).toPandas().to_numpy(dtype="float64")
@@ -106,7 +106,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], keys: Sequence[str]
             total += depth[at]
         return pd.Series(-np.power(2.0, -total / (len(forest) * scale)))
 
-    raw = stage(plain.withColumn("_normality", normality(*[quoted(c) for c in features])))
+    raw = stage_table(plain.withColumn("_normality", normality(*[quoted(c) for c in features])))
     cut = exact_quantiles(raw, {"_normality": [contamination]})["_normality"][0]
     score = F.col("_normality") - F.lit(cut)
     return raw.select(*[quoted(c) for c in features], score.alias("score"), (score < 0).alias("anomaly"))

@@ -25,7 +25,7 @@ from ..functions.columns import (
 from ..functions.grouping import distinct_sizes, long_values, numeric_columns, text_columns
 from ..functions.quantiles import exact_quantiles
 from ..functions.roles import clinical_columns
-from ..session import stage
+from ..session import stage_table
 from . import models, profile
 from .tables import counted, equal_width_histogram
 
@@ -380,9 +380,11 @@ def _medicine_sets(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def drug_combinations(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
     """The most frequent sets of two or more medicines of one row."""
-    sets = _medicine_sets(df, columns).filter(F.size("medicines") > 1)
-    counts = sets.groupBy(F.array_join("medicines", " + ").alias("combination")).agg(F.sum("n").alias("n"))
-    return counts.orderBy(F.desc("n"), "combination").limit(k)
+    counts = _medicine_sets(df, columns).groupBy(F.array_join("medicines", " + ").alias("combination")).agg(
+        F.sum("n").alias("n"), F.max(F.size("medicines")).alias("_size")
+    )
+    # The size is tested after the grouping; before it, Spark would parse every row to filter early.
+    return counts.filter(F.col("_size") > 1).select("combination", "n").orderBy(F.desc("n"), "combination").limit(k)
 
 
 def drug_risk(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -687,7 +689,7 @@ def analysis_batch(
     df: DataFrame, names: Sequence[str], roles: Mapping[str, str], found: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
     """Run named analyses on one table, evaluated once; each result row is one JSON text."""
-    table = stage(df)
+    table = stage_table(df)
     known = analyses(table, clinical_columns(table) if found is None else found, roles)
     unknown = [n for n in names if n not in known]
     if unknown:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import age_years, as_double, as_time, flipped, is_numeric, quoted, shifted, to_number, whole_days
 from ..functions.grouping import top_per, with_group_value
 from ..functions.quantiles import exact_quantiles
-from ..session import stage
+from ..session import stage_table
 from .sales import Roles, _date_of, _double, _mean, revenue_of
 
 # Fixed values of the target rules.
@@ -40,7 +40,7 @@ def churn_features(df: DataFrame, roles: Roles) -> DataFrame:
         revenue_of(roles).alias("revenue"),
         (quoted(roles["quantity"]) if "quantity" in roles else F.lit(0.0)).alias("quantity"),
     ).filter(F.col("date").isNotNull() & F.col("customer").isNotNull())
-    customers = stage(
+    customers = stage_table(
         facts.groupBy("customer").agg(
             F.min("date").alias("first_purchase"),
             F.max("date").alias("last_purchase"),
@@ -65,7 +65,7 @@ def segment_features(df: DataFrame, roles: Roles) -> DataFrame:
         revenue_of(roles).alias("revenue"),
         (quoted(roles["quantity"]) if "quantity" in roles else F.lit(0.0)).alias("quantity"),
     ).filter(F.col("customer").isNotNull())
-    customers = stage(
+    customers = stage_table(
         facts.groupBy("customer").agg(
             _double(F.sum("revenue")).alias("monetary"),
             F.count("date").alias("frequency"),

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import chance, date_parts, quoted
 from ..functions.grouping import distinct_sizes, pair_products, top_per, with_codes
-from ..session import shared_folder, spread_out, stage
+from ..session import shared_folder, spread_out, stage, stage_table
 from . import labels
 from .sales import Roles, _date_of, popular_products
 
@@ -118,7 +118,7 @@ def feature_table(
     out = coded.select(
         *columns, "label", *[quoted(n).cast("double").alias(n) for n in names], *[quoted(k) for k in keep], held.alias("held_out")
     )
-    return spread_out(stage(out)), names
+    return spread_out(stage_table(out)), names
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -252,7 +252,7 @@ def churn(df: DataFrame, roles: Roles) -> Trained:
 
 def segments(df: DataFrame, roles: Roles) -> Trained:
     """K-means over standardised money, frequency, quantity and recency."""
-    features = stage(labels.segment_features(df, roles))
+    features = stage_table(labels.segment_features(df, roles))
     names = ["monetary", "frequency", "quantity", "recency"]
     rows = features.count()
     clusters = max(2, min(5, rows // 10))
@@ -280,7 +280,7 @@ def item_similarity(df: DataFrame, roles: Roles, products: int = SIMILAR_PRODUCT
     """
     names = stage(popular_products(df, roles, products))
     facts = df.select(quoted(roles["customer"]).alias("customer"), quoted(roles["product"]).alias("product"))
-    counts = stage(
+    counts = stage_table(
         facts.filter(F.col("customer").isNotNull())
         .join(F.broadcast(names.select("product", "slot")), "product")
         .groupBy("customer", "slot")
@@ -366,7 +366,7 @@ def cost(df: DataFrame, roles: Mapping[str, str]) -> Trained:
 
 def risk(df: DataFrame, roles: Mapping[str, str]) -> Trained:
     """Risk level in three classes; inputs that mostly decide the label are left out."""
-    labelled = stage(labels.risk_label(df, roles, noise=labels.LEVEL_NOISE))
+    labelled = stage_table(labels.risk_label(df, roles, noise=labels.LEVEL_NOISE))
     counts = labelled.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n")).collect()
     total = sum(r["n"] for r in counts)
     raised = sum(r["n"] for r in counts if r["risk_level"] > 0)
@@ -473,7 +473,7 @@ MODELS: dict[str, Callable[[DataFrame, Mapping[str, str]], Trained]] = {
 
 def train(df: DataFrame, roles: Mapping[str, str], names: Sequence[str] = tuple(MODELS)) -> DataFrame:
     """Reports of several models on one table, which is evaluated once."""
-    table = stage(df)
+    table = stage_table(df)
     result = None
     for name in names:
         if name not in MODELS:

@@ -14,7 +14,7 @@ from ..functions.columns import as_time, bucket_number, first_match, first_word,
 from ..functions.grouping import pair_products
 from ..functions.ordering import row_index
 from ..functions.quantiles import exact_quantiles, value_at_rank
-from ..session import stage
+from ..session import stage, stage_table
 
 Roles = Mapping[str, str]
 
@@ -255,7 +255,7 @@ def rfm_scores(df: DataFrame, roles: Roles) -> DataFrame:
     Quintiles follow value edges: equal values share a score. Repeated edges leave scores unused.
     """
     facts = _facts(df, roles, "customer", "date", "revenue").na.drop()
-    customers = stage(
+    customers = stage_table(
         facts.groupBy("customer").agg(
             F.max("date").alias("last"), F.count(F.lit(1)).alias("frequency"), F.sum("revenue").alias("monetary")
         )
@@ -356,7 +356,7 @@ def top_products(df: DataFrame, roles: Roles, k: int = 20) -> DataFrame:
 
 def product_bands(df: DataFrame, roles: Roles) -> DataFrame:
     """How many products lie above the 80 % value, between, and below the 20 % value of revenue."""
-    totals = stage(product_performance(df, roles).select("total_revenue"))
+    totals = stage_table(product_performance(df, roles).select("total_revenue"))
     low, high = exact_quantiles(totals, {"total_revenue": [0.2, 0.8]})["total_revenue"]
     value = F.col("total_revenue")
     return totals.agg(
@@ -419,7 +419,7 @@ def geo_revenue(df: DataFrame, roles: Roles) -> DataFrame:
     else:
         facts = facts.select("country", "revenue", F.when(F.col("revenue").isNotNull(), 1).otherwise(0).alias("n"))
         customers = F.lit(0).cast("long")
-    countries = stage(
+    countries = stage_table(
         facts.groupBy("country").agg(
             F.sum("revenue").alias("revenue"), F.sum("n").alias("transactions"), customers.alias("customers")
         )
@@ -480,7 +480,7 @@ def dashboard_top(df: DataFrame, roles: Roles, k: int = 5) -> DataFrame:
 def dashboard_geo(df: DataFrame, roles: Roles) -> DataFrame:
     """Share of rows by country, one decimal."""
     counts = df.select(quoted(roles["country"]).alias("country")).filter(F.col("country").isNotNull())
-    counts = stage(counts.groupBy("country").agg(F.count(F.lit(1)).alias("n")))
+    counts = stage_table(counts.groupBy("country").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0]
     return counts.select("country", share(F.col("n"), F.lit(total), 1).alias("row_share"))
 

@@ -8,6 +8,7 @@ from ..functions import columns as fn
 from ..functions.grouping import with_group_value
 from ..functions.ordering import rolling_std, row_index
 from ..operators import tables as op, transform
+from ..operators.sales import with_revenue
 from ..sources.views import admissions, sales, table
 from .profile_queries import _LINES, lines
 from .registry import Query, on_admissions, on_sales
@@ -194,6 +195,14 @@ FROM customer, (SELECT quantile_cont(c_acctbal, 0.2) AS a, quantile_cont(c_acctb
         lambda s, d: op.pooled_counts(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"]),
         """SELECT value, count(*) AS n FROM (SELECT l_returnflag AS value FROM lineitem UNION ALL SELECT l_linestatus FROM lineitem) GROUP BY 1""",
     ),
+    "resolved_revenue": Query(
+        lambda s, d: with_revenue(
+            with_revenue(sales(s, d, ["TransactionNo", "LineNo", "ProductNo", "Price", "Quantity"]), {"price": "Price", "quantity": "Quantity"}),
+            {"price": "Price"},
+            "price_only",
+        ).select("TransactionNo", "LineNo", "ProductNo", F.round("revenue", 2).alias("revenue"), F.round("price_only", 8).alias("price_only")),
+        on_sales("SELECT TransactionNo, LineNo, ProductNo, round(Price * Quantity, 2) AS revenue, round(Price, 8) AS price_only FROM sales"),
+    ),
     # scalar functions
     "text_functions": Query(
         lambda s, d: table(s, d, "part").select(

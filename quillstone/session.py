@@ -1,8 +1,9 @@
 """Where intermediate tables go.
 
 Some jobs need one evaluation of a plan to be final: row positions after a sort, scores that
-are read twice. Such results are checkpointed to storage that all executors share, so a lost
-executor never changes or loses them.
+are read twice. Such results go to storage that all executors share, so a lost executor never
+changes or loses them. Tables are written as Parquet, so that later passes read only the columns
+they need; short lists are checkpointed.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Evaluate ``df`` once into the shared folder; partitions and their order are kept."""
+    """Evaluate a short result once into the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -44,8 +45,7 @@ def stage(df: DataFrame) -> DataFrame:
 def stage_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
-    For a joined table that a job will pass over several times: later passes read only the
-    columns they need instead of joining again.
+    Each partition of ``df`` is a file whose name holds the partition's number.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
@@ -56,4 +56,4 @@ def stage_table(df: DataFrame) -> DataFrame:
 def spread_out(staged: DataFrame) -> DataFrame:
     """Give a small staged table as many partitions as there are cores, for costly work per row."""
     cores = staged.sparkSession.sparkContext.defaultParallelism
-    return stage(staged.repartition(cores)) if staged.rdd.getNumPartitions() < cores else staged
+    return stage_table(staged.repartition(cores)) if staged.rdd.getNumPartitions() < cores else staged

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from quillstone.functions import roles
 from quillstone.operators import anomaly, clean, clinical, labels, models, profile, sales, tables, transform
+from quillstone.session import shared_folder
 from quillstone.sources import files
 from quillstone.streaming.daily import daily_revenue_stream
 
@@ -265,6 +266,11 @@ def test_date_roles(spark):
     assert read["epoch"].year == 2023 and read["day"].year == 2024
 
 
+def test_dates_after_empty_rows(spark):
+    df = spark.createDataFrame([(None,)] * 300 + [("2024-01-05",)] * 20, "late string").coalesce(1)
+    assert roles.date_share(df, ["late"], 100) == {"late": 1.0}
+
+
 def test_categorical_columns(spark):
     df = spark.createDataFrame([(i, i % 4, "a") for i in range(100)], "id int, few int, t string")
     assert roles.categorical_columns(df) == {"few": 4, "t": 1}
@@ -416,6 +422,33 @@ def test_isolation_finds_outliers(spark):
     assert again.agg(F.round(F.sum("score"), 6)).first() == scores.agg(F.round(F.sum("score"), 6)).first()
 
 
+# ---- shared folder ----
+
+
+class _Cluster:
+    """A session on a cluster, as far as the choice of the folder looks at it."""
+
+    def __init__(self, named=None, current=None):
+        self.made = current
+        self.conf = {"spark.checkpoint.dir": named}
+        self.sparkContext = self
+        self.master = "spark://host:7077"
+
+    def getCheckpointDir(self):
+        return self.made
+
+    def setCheckpointDir(self, folder):
+        self.made = folder
+
+
+def test_shared_folder_of_a_cluster():
+    named = _Cluster(named="hdfs:///stage")
+    assert shared_folder(named) == "hdfs:///stage" and named.made == "hdfs:///stage"
+    assert shared_folder(_Cluster(current="hdfs:///other")) == "hdfs:///other"
+    with pytest.raises(ValueError):
+        shared_folder(_Cluster())
+
+
 # ---- files and stream ------------------------------------------------------------------------------------------
 
 
