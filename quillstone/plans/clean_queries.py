@@ -247,9 +247,9 @@ FROM orders""",
     ),
     "encode_business": Query(
         lambda s, d: transform.encode_business(
-            lines(s, d).select(*_KEYS, "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
+            lines(s, d).select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
         ),
-        f"""WITH {_LINES}, t AS (SELECT {_KEY}, l_quantity, l_discount, coalesce(l_returnflag, 'Unknown') AS l_returnflag, l_linestatus FROM lines)
+        f"""WITH {_LINES}, t AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_discount, coalesce(l_returnflag, 'Unknown') AS l_returnflag, l_linestatus FROM lines)
 SELECT t.*, coalesce(n.code, 0)::INTEGER AS "l_linenumber_Encoded", coalesce(x.code, (SELECT count(DISTINCT l_discount) FROM t))::INTEGER AS "l_discount_Encoded",
   f.code::INTEGER AS "l_returnflag_Encoded", g.code::INTEGER AS "l_linestatus_Encoded"
 FROM t LEFT JOIN ({_codes('l_linenumber', 't')}) n ON n.v = t.l_linenumber LEFT JOIN ({_codes('l_discount', 't')}) x ON x.v = t.l_discount
