@@ -24,6 +24,8 @@ SKETCH_SIZE = 4_000
 SKETCH_ERROR = 0.002
 # Spark generates code for a whole aggregate only up to 100 buffer fields.
 FIELDS_PER_SCAN = 90
+# A list of values counts for several fields, which bounds how many lists one scan holds.
+LIST_FIELDS = 5
 
 
 @dataclass
@@ -43,15 +45,22 @@ class _Slice:
     def bounds(self) -> str:
         tests = [f"{self.column} IS NOT NULL"]
         if self.low is not None:
-            tests.append(f"{self.column} > {self.low!r}D")
+            tests.append(f"{self.column} > {_sql(self.low)}")
         if self.high is not None:
-            tests.append(f"{self.column} < {self.high!r}D")
+            tests.append(f"{self.column} < {_sql(self.high)}")
         return " AND ".join(tests)
 
     def values(self) -> str:
         return self.column if self.low is None and self.high is None else f"CASE WHEN {self.bounds()} THEN {self.column} END"
 
 
+def _sql(number: float) -> str:
+    """A double as an exact SQL literal."""
+    if math.isinf(number):
+        return f"CAST('{'-' if number < 0 else ''}Infinity' AS DOUBLE)"
+    return f"{number!r}D"
+
+
 def scan(df: DataFrame, expressions: Sequence[Column], fields: int = 1) -> list:
     """Values of many global aggregates, in as few scans as keep them in generated code.
 
@@ -131,7 +140,7 @@ def _find(
         for s in slices:
             ordered = f"sort_array(collect_list({s.values()}))"
             reads.append(F.expr("array(" + ", ".join(f"element_at({ordered}, {r - s.below + 1})" for r in s.ranks) + ")"))
-        for s, values in zip(slices, scan(plain, reads)):
+        for s, values in zip(slices, scan(plain, reads, LIST_FIELDS)):
             found |= {(s.column, r): v for r, v in zip(s.ranks, values)}
     return found
 
@@ -154,7 +163,7 @@ def _narrow(plain: DataFrame, slices: list[_Slice], found: dict[tuple[str, int],
         inside = s.bounds()
         for mark in marks:
             for sign in ("<", "<="):
-                counters.append(F.expr(f"count(CASE WHEN {inside} AND {s.column} {sign} {mark!r}D THEN 1 END)"))
+                counters.append(F.expr(f"count(CASE WHEN {inside} AND {s.column} {sign} {_sql(mark)} THEN 1 END)"))
     counted = iter(scan(plain, counters))
 
     opened: dict[tuple, _Slice] = {}

@@ -135,7 +135,7 @@ _CUSTOMER_TEXT = "CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nation
 QUERIES = {
     # sources and sinks
     "csv_round_trip": Query(
-        _csv_customers, "SELECT c_custkey::INTEGER AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+        _csv_customers, "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
     ),
     "json_round_trip": Query(
         _json_customers, "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"

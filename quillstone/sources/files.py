@@ -7,21 +7,53 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.columns import quoted
+from ..functions.columns import NUMBER_PATTERN, quoted
 
 PREVIEW_ROWS = 50
 MERGE_FILES = 10
+# CSV fields that mean "missing".
+MISSING_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 ML_SAMPLE_ROWS = 100_000
 # Words in a file name that decide its category, tried in order.
 CATEGORY_WORDS = (("healthcare", ("healthcare", "health", "medical")), ("finance", ("finance", "financial")))
 DEFAULT_CATEGORY = "business"
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header. Give a schema for large files: inferring one reads them twice."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(paths if isinstance(paths, str) else list(paths))
+def read_csv(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header; quotes are doubled inside quoted fields, usual words for "missing" are NULL.
+
+    Without a schema each column becomes the narrowest of whole number, number, truth value and
+    text that fits all its values, which takes one more pass. ``multi_line`` allows line breaks
+    inside quoted fields, but then a file cannot be split over tasks.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    raw = reader.csv(paths if isinstance(paths, str) else list(paths))
+    held = raw.select(*[F.when(~quoted(c).isin(*MISSING_WORDS), quoted(c)).alias(c) for c in raw.columns])
+    if schema is not None:
+        fields = schema.fields if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema).fields
+        return held.select(*[quoted(c).try_cast(f.dataType).alias(f.name) for c, f in zip(held.columns, fields)])
+    kinds = _narrowest(held)
+    return held.select(*[(F.trim(quoted(c)).try_cast(k) if k != "string" else quoted(c)).alias(c) for c, k in kinds.items()])
+
+
+def _narrowest(held: DataFrame) -> dict[str, str]:
+    """The type that fits all texts of each column, from one aggregate."""
+    tests = []
+    for c in held.columns:
+        for pattern in (r"^\s*[+-]?\d{1,18}\s*$", NUMBER_PATTERN, "^(True|False|true|false|TRUE|FALSE)$"):
+            tests.append(F.count(F.when(~quoted(c).rlike(pattern), 1)))
+    misfits = list(held.agg(*tests).first()) if tests else []
+    out = {}
+    for i, c in enumerate(held.columns):
+        fits = [kind for kind, bad in zip(("long", "double", "boolean"), misfits[3 * i : 3 * i + 3]) if not bad]
+        # A column without values fits everything; like an empty column of numbers it is a double.
+        out[c] = "double" if len(fits) == 3 else (fits or ["string"])[0]
+    return out
 
 
 def read_json(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
@@ -62,7 +94,7 @@ def file_counts(frames: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """UTF-8 CSV with a header, one file per partition."""
-    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
+    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
 
 
 def write_stage(df: DataFrame, path: str) -> None:

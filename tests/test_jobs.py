@@ -456,7 +456,7 @@ def test_csv_and_json(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿id,when,x\n1,2024-01-02,1.5\n2,,\n", encoding="utf-8")
     (tmp_path / "b.json").write_text('[{"id": 1, "t": "ü"}, {"id": 2, "t": null}]', encoding="utf-8")
     frames = files.ingest(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.json")])
-    assert frames[0].count() == 2 and dict(frames[0].dtypes)["x"] == "double"
+    assert frames[0].count() == 2 and dict(frames[0].dtypes) == {"id": "bigint", "when": "string", "x": "double"}
     assert [r["t"] for r in frames[1].orderBy("id").collect()] == ["ü", None]
     counts = files.file_counts(frames, ["a", "b"]).orderBy("file").collect()
     assert [(r["rows"], r["columns"]) for r in counts] == [(2, 3), (2, 2)]
@@ -464,6 +464,23 @@ def test_csv_and_json(spark, tmp_path):
         files.ingest(spark, ["x"] * 11)
 
 
+def test_csv_missing_words_and_quotes(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('a,b,c,d,e\nNA,"say ""hi"", you",True,,1\n7,n/a,False,,x\n')
+    df = files.read_csv(spark, str(tmp_path / "c.csv"))
+    assert [t for _, t in df.dtypes] == ["bigint", "string", "boolean", "double", "string"]
+    assert [tuple(r) for r in df.collect()] == [(None, 'say "hi", you', True, None, "1"), (7, None, False, None, "x")]
+    typed = files.read_csv(spark, str(tmp_path / "c.csv"), "a int, b string, c boolean, d double, e int")
+    assert [r["e"] for r in typed.collect()] == [1, None]
+    (tmp_path / "m.csv").write_text('a,b\n1,"two\nlines"\n')
+    assert files.read_csv(spark, str(tmp_path / "m.csv"), multi_line=True).first()["b"] == "two\nlines"
+
+
+def test_csv_returns_what_was_written(spark, tmp_path):
+    rows = [(1, 'a "quoted", text', 2.5), (2, "x", None)]
+    files.write_csv(spark.createDataFrame(rows, "i long, t string, v double"), str(tmp_path / "o.csv"))
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "o.csv")).collect()) == rows
+
+
 def test_csv_sink(spark, tmp_path):
     path = str(tmp_path / "out.csv")
     files.write_csv(spark.createDataFrame([(1, None), (2, "a,b")], "a int, b string").coalesce(1), path)
