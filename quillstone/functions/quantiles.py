@@ -110,7 +110,7 @@ def exact_quantiles(
         found = []
         for h in places[n]:
             low, high = values[f"q{i}", math.floor(h)], values[f"q{i}", math.ceil(h)]
-            found.append(low + (high - low) * (h - math.floor(h)))
+            found.append(low if low == high else low + (high - low) * (h - math.floor(h)))
         result[n] = found
     return result
 

@@ -42,7 +42,7 @@ def test_quantiles_with_infinite_values(spark):
     values = [float("-inf")] * 30 + [float(i) for i in range(100)] + [float("inf")] * 30
     df = spark.createDataFrame([(v,) for v in values], "x double")
     found = quantiles.exact_quantiles(df, {"x": [0.0, 0.1, 0.5, 1.0]}, direct_rows=5)["x"]
-    assert found == [float("-inf"), pytest.approx(float("nan"), nan_ok=True), 49.5, float("inf")]
+    assert found == [float("-inf"), float("-inf"), 49.5, float("inf")]
 
 
 def test_quantiles_of_nothing(spark):
