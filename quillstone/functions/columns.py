@@ -73,6 +73,16 @@ def epoch_to_time(column: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+def time_literal(moment) -> Column:
+    """A collected timestamp without time zone, written so that no time zone moves it."""
+    return F.lit(None if moment is None else moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def epoch_micros(column: Column) -> Column:
+    """Microseconds since 1970-01-01 on the calendar, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column)
+
+
 def whole_days(start: Column, end: Column) -> Column:
     """Whole 24-hour spans between two timestamps, rounded down."""
     return F.floor(F.timestamp_diff("MICROSECOND", start, end) / F.lit(86400000000)).cast("long")

@@ -10,7 +10,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import age_years, as_double, as_time, flipped, is_numeric, quoted, shifted, to_number, whole_days
+from ..functions.columns import (
+    age_years,
+    as_double,
+    as_time,
+    flipped,
+    is_numeric,
+    quoted,
+    shifted,
+    time_literal,
+    to_number,
+    whole_days,
+)
 from ..functions.grouping import top_per, with_group_value
 from ..functions.quantiles import exact_quantiles
 from ..session import stage_table
@@ -52,7 +63,7 @@ def churn_features(df: DataFrame, roles: Roles) -> DataFrame:
     )
     newest = customers.agg(F.max("last_purchase")).first()[0]
     few = exact_quantiles(customers, {"transactions": [FEW_PURCHASES]})["transactions"][0]
-    days = whole_days(F.col("last_purchase"), F.lit(newest).cast("timestamp_ntz"))
+    days = whole_days(F.col("last_purchase"), time_literal(newest))
     churned = (F.col("days_since_last") > CHURN_DAYS) | (F.col("transactions") < F.lit(few))
     return customers.withColumn("days_since_last", days).withColumn("churn", churned.cast("int"))
 
@@ -74,7 +85,7 @@ def segment_features(df: DataFrame, roles: Roles) -> DataFrame:
         )
     )
     newest = customers.agg(F.max("last")).first()[0]
-    recency = whole_days(F.col("last"), F.lit(newest).cast("timestamp_ntz"))
+    recency = whole_days(F.col("last"), time_literal(newest))
     return customers.select(
         "customer",
         F.coalesce("monetary", F.lit(0.0)).alias("monetary"),

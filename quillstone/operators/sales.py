@@ -10,7 +10,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import as_time, bucket_number, first_match, first_word, quoted, share, whole_days
+from ..functions.columns import (
+    as_time,
+    bucket_number,
+    epoch_micros,
+    first_match,
+    first_word,
+    quoted,
+    share,
+    time_literal,
+    whole_days,
+)
 from ..functions.grouping import pair_products
 from ..functions.ordering import row_index
 from ..functions.quantiles import exact_quantiles, value_at_rank
@@ -177,7 +187,7 @@ def half_trend(df: DataFrame, roles: Roles, ties: Sequence[str] = ()) -> DataFra
         revenue_of(roles).alias("revenue"),
         *[quoted(t).alias(name) for t, name in zip(ties, tied)],
     ).filter(F.col("date").isNotNull())
-    stamps = facts.withColumn("stamp", F.unix_micros(F.col("date").cast("timestamp")))
+    stamps = facts.withColumn("stamp", epoch_micros(F.col("date")))
     rows = facts.count()
     middle = value_at_rank(stamps, "stamp", rows // 2, size=rows)
     amount, stamp = F.col("revenue"), F.col("stamp")
@@ -263,7 +273,7 @@ def rfm_scores(df: DataFrame, roles: Roles) -> DataFrame:
     newest = customers.agg(F.max("last")).first()[0]
     measured = customers.select(
         "customer",
-        whole_days(F.col("last"), F.lit(newest).cast("timestamp_ntz")).alias("recency"),
+        whole_days(F.col("last"), time_literal(newest)).alias("recency"),
         "frequency",
         _double(F.col("monetary")).alias("monetary"),
     )

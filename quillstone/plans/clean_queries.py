@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import epoch_micros
 from ..functions.grouping import time_columns
 from ..functions.roles import clinical_columns
 from ..operators import clean, transform
@@ -48,7 +49,7 @@ def texts(spark, folder):
         "o_orderkey",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"),
         F.expr("CASE WHEN o_orderkey % 50 = 0 THEN 'unknown' ELSE date_format(o_orderdate, 'dd/MM/yyyy') END").alias("mixed"),
-        F.expr("cast(unix_timestamp(o_orderdate) AS BIGINT) + 800000000").alias("epoch"),
+        (F.floor(epoch_micros(F.col("o_orderdate")) / 1000000) + 800000000).alias("epoch"),
     )
 
 

@@ -22,7 +22,7 @@ def session(cpus: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("quillstone")
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("SESSION_TZ", "UTC"))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
