@@ -4,53 +4,92 @@ Some jobs need one evaluation of a plan to be final: row positions after a sort,
 are read twice. Such results go to storage that all executors share, so a lost executor never
 changes or loses them. Tables are written as Parquet, so that later passes read only the columns
 they need; short lists are checkpointed.
+
+Tables made inside ``with scratch(spark) as made:`` are deleted when the block ends. A table that
+a result still reads lives until ``release(table)`` or the end of the Python process.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_kept: dict[str, SparkSession] = {}
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its executor, so there the setting is required.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; without it, one beside the warehouse's tables."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="quillstone-")
-    context.setCheckpointDir(folder)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Evaluate a short result once into the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Each partition of ``df`` is a file whose name holds the partition's number.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_path(spark)
+    _kept[path] = spark
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "staged_path", None)
+        if path in _kept:
+            delete_folder(_kept.pop(path), path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator:
+    """Gives a function like ``stage_table``; what it has written is deleted when the block ends."""
+    made: list[DataFrame] = []
+
+    def table(df: DataFrame) -> DataFrame:
+        made.append(stage_table(df))
+        return made[-1]
+
+    try:
+        yield table
+    finally:
+        release(*made)
+
+
+@atexit.register
+def _release_all() -> None:
+    for path, spark in list(_kept.items()):
+        try:
+            delete_folder(spark, path)
+        except Exception:  # the session has ended before the process
+            return
 
 
 def spread_out(staged: DataFrame) -> DataFrame:
