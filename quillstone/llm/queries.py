@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Query
-from . import exact_dedup
+from . import exact_dedup, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with its fingerprint and the group of near copies it belongs to."""
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each document with the equal document that stays."""
     return exact_dedup.find_duplicates(_table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op3_simhash_dedup": Query(op3_simhash_dedup),
     "op10_exact_dedup": Query(
         op10_exact_dedup,
         """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
