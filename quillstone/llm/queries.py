@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Query
-from . import exact_dedup, simhash
+from . import exact_dedup, mixing, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents mixed so that each source weighs the square root of its size."""
+    return mixing.mix(_table(spark, folder, "documents")).withColumnRenamed("_copy", "copy")
+
+
 def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each document with its fingerprint and the group of near copies it belongs to."""
     return simhash.near_duplicates(_table(spark, folder, "documents"))
@@ -23,6 +28,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mix": Query(op1_source_mix, mixing.ORACLE),
     "op3_simhash_dedup": Query(op3_simhash_dedup),
     "op10_exact_dedup": Query(
         op10_exact_dedup,
