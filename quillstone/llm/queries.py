@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
-from . import exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, mixing, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +23,18 @@ def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of each document's ids and of the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = _table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    return encoded.withColumn("decoded", bpe.decode(F.col("ids"), path)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each document with the equal document that stays."""
     return exact_dedup.find_duplicates(_table(spark, folder, "documents"))
@@ -30,6 +43,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": Query(op1_source_mix, mixing.ORACLE),
     "op3_simhash_dedup": Query(op3_simhash_dedup),
+    "op6_bpe": Query(op6_bpe),
     "op10_exact_dedup": Query(
         op10_exact_dedup,
         """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
