@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
-from . import bpe, exact_dedup, mixing, simhash
+from ..session import new_path
+from . import bpe, exact_dedup, mixing, simhash, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,15 @@ def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's place and ids, read back from the shard files."""
+    documents, path = _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    index = token_files.write_tokens(documents, path, new_path(spark, "tokens"), end_id=1)
+    return token_files.read_tokens(index).select(
+        F.col("_key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +53,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": Query(op1_source_mix, mixing.ORACLE),
     "op3_simhash_dedup": Query(op3_simhash_dedup),
+    "op5_token_files": Query(op5_token_files),
     "op6_bpe": Query(op6_bpe),
     "op10_exact_dedup": Query(
         op10_exact_dedup,
