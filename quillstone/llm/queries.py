@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import new_path
-from . import bpe, exact_dedup, mixing, simhash, token_files
+from . import bpe, exact_dedup, mixing, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,18 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page's record, read back from the archives."""
+    index = warc.write_archives(_table(spark, folder, "pages"), new_path(spark, "warc"))
+    return warc.read_archives(index).select(
+        F.col("page").cast("long").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each document with the equal document that stays."""
     return exact_dedup.find_duplicates(_table(spark, folder, "documents"))
@@ -55,6 +67,7 @@ QUERIES = {
     "op3_simhash_dedup": Query(op3_simhash_dedup),
     "op5_token_files": Query(op5_token_files),
     "op6_bpe": Query(op6_bpe),
+    "op9_warc": Query(op9_warc),
     "op10_exact_dedup": Query(
         op10_exact_dedup,
         """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
