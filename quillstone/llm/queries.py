@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import new_path
-from . import bpe, exact_dedup, mixing, simhash, token_files, warc
+from . import bpe, chat, exact_dedup, mixing, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,18 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """What each conversation's training examples hold, and one conversation of nothing but control strings."""
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").cast(rows.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.summary(chat.expand(rows.unionByName(hostile)))
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Each page's record, read back from the archives."""
     index = warc.write_archives(_table(spark, folder, "pages"), new_path(spark, "warc"))
@@ -67,6 +79,7 @@ QUERIES = {
     "op3_simhash_dedup": Query(op3_simhash_dedup),
     "op5_token_files": Query(op5_token_files),
     "op6_bpe": Query(op6_bpe),
+    "op8_chat": Query(op8_chat, chat.ORACLE),
     "op9_warc": Query(op9_warc),
     "op10_exact_dedup": Query(
         op10_exact_dedup,
