@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import new_path
-from . import bpe, chat, exact_dedup, mixing, simhash, token_files, warc
+from . import bpe, chat, exact_dedup, mixing, simhash, token_files, warc, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,25 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's fingerprint beside those of its edit and of the next document."""
+    pairs = winnowing.edited_pairs(_table(spark, folder, "documents"))
+
+    def digest(marks):
+        return F.sha2(F.concat_ws(",", F.transform(marks, lambda m: F.concat_ws(":", m["pos"], m["hash"]))), 256)
+
+    own = F.col("fingerprint.hash")
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        digest("fingerprint").alias("fingerprint"),
+        digest("edited_fingerprint").alias("edited_fingerprint"),
+        winnowing.likeness(own, F.col("edited_fingerprint.hash")).alias("near_edited"),
+        winnowing.likeness(own, F.col("next_fingerprint.hash")).alias("near_next"),
+    )
+
+
 def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     """What each conversation's training examples hold, and one conversation of nothing but control strings."""
     rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -79,6 +98,7 @@ QUERIES = {
     "op3_simhash_dedup": Query(op3_simhash_dedup),
     "op5_token_files": Query(op5_token_files),
     "op6_bpe": Query(op6_bpe),
+    "op7_winnowing": Query(op7_winnowing),
     "op8_chat": Query(op8_chat, chat.ORACLE),
     "op9_warc": Query(op9_warc),
     "op10_exact_dedup": Query(
