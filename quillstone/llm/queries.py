@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import new_path
-from . import bpe, chat, exact_dedup, mixing, simhash, token_files, warc, winnowing
+from . import bpe, chat, exact_dedup, mixing, simhash, token_files, toxicity, warc, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).withColumnRenamed("_copy", "copy")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of each document."""
+    return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each document with its fingerprint and the group of near copies it belongs to."""
     return simhash.near_duplicates(_table(spark, folder, "documents"))
@@ -95,6 +100,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": Query(op1_source_mix, mixing.ORACLE),
+    "op2_toxicity": Query(op2_toxicity),
     "op3_simhash_dedup": Query(op3_simhash_dedup),
     "op5_token_files": Query(op5_token_files),
     "op6_bpe": Query(op6_bpe),
