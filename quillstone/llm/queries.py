@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import new_path
-from . import bpe, chat, exact_dedup, mixing, simhash, token_files, toxicity, warc, winnowing
+from . import bpe, chat, exact_dedup, licences, mixing, simhash, token_files, toxicity, warc, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op4_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paragraph of the documents that is a licence notice."""
+    return licences.scan(_table(spark, folder, "documents"))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's place and ids, read back from the shard files."""
     documents, path = _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
@@ -102,6 +107,7 @@ QUERIES = {
     "op1_source_mix": Query(op1_source_mix, mixing.ORACLE),
     "op2_toxicity": Query(op2_toxicity),
     "op3_simhash_dedup": Query(op3_simhash_dedup),
+    "op4_licence_scan": Query(op4_licence_scan),
     "op5_token_files": Query(op5_token_files),
     "op6_bpe": Query(op6_bpe),
     "op7_winnowing": Query(op7_winnowing),
