@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -13,15 +13,10 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 MEDICINE_SEPARATORS = (",", ";", "|", "\n", " and ", " & ")
 # Texts that mean "no medicine".
 BLANK_WORDS = ("nan", "none", "null", "")
-# Date formats tried in turn.
-DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "dd/MM/yyyy",
-    "MM/dd/yyyy",
-)
+# Date formats tried in turn, after year-month-day with any time, fraction and zone.
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]|$)"
+MONTH_FIRST, DAY_FIRST = "M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]"
+DATE_FORMATS = ("yyyy/M/d[ H:mm[:ss]]", "d-MMM-yyyy[ H:mm[:ss]]")
 
 
 def quoted(name: str) -> Column:
@@ -54,17 +49,30 @@ def to_number(column: Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
 
 
-def to_time(column: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Text to timestamp with the first format that fits; otherwise NULL."""
+def to_time(column: Column, day_first: bool = False) -> Column:
+    """Text to timestamp with the first format that fits; otherwise NULL. A zone is left out of account.
+
+    Dates with slashes that end with the year are read month first or day first, never both ways.
+    """
     text = F.trim(column.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+    formats = (DAY_FIRST if day_first else MONTH_FIRST, *DATE_FORMATS)
+    iso = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz"))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+
 
+def day_first(df: DataFrame, names: Sequence[str]) -> set[str]:
+    """Text columns of which more values read day first than month first, from one aggregate over all rows."""
+    if not names:
+        return set()
+    counts = df.agg(*[F.count(to_time(quoted(n), order)) for n in names for order in (False, True)]).first()
+    return {n for i, n in enumerate(names) if counts[2 * i + 1] > counts[2 * i]}
 
-def as_time(column: Column, data_type: T.DataType) -> Column:
-    """Timestamp and date columns as they are, text parsed."""
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return column.cast("timestamp_ntz")
-    return to_time(column)
+
+def time_of(df: DataFrame, name: str) -> Column:
+    """Timestamp and date columns as they are, text read in the order that fits the column."""
+    if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return quoted(name).cast("timestamp_ntz")
+    return to_time(quoted(name), name in day_first(df, [name]))
 
 
 def epoch_to_time(column: Column) -> Column:
@@ -166,17 +174,21 @@ def share(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")) * 100, digits)
 
 
-def chance(keys: Sequence[Column], seed: int) -> Column:
-    """A number in [0, 1) that depends only on the keys and the seed, so reruns agree."""
-    hashed = F.xxhash64(*keys, F.lit(seed))
-    return F.pmod(hashed, F.lit(1000000)).cast("double") / 1000000.0
+def chance(keys: Sequence[Column], seed: int, purpose: str) -> Column:
+    """A number in [0, 1) that depends only on purpose, seed and keys, so reruns agree.
+
+    Draws for different purposes are independent. It is made of the first 52 bits of the md5 of all
+    parts joined with colons, which other engines compute too.
+    """
+    parts = [F.lit(purpose), F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys]]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def flipped(label: Column, keys: Sequence[Column], seed: int, rate: float) -> Column:
     """A 0/1 label with ``rate`` of the rows inverted."""
     if rate <= 0:
         return label
-    noise = F.when(chance(keys, seed) < rate, 1).otherwise(0)
+    noise = F.when(chance(keys, seed, "noise") < rate, 1).otherwise(0)
     return label.cast("int").bitwiseXOR(noise)
 
 
@@ -184,7 +196,7 @@ def shifted(level: Column, keys: Sequence[Column], seed: int, rate: float, low:
     """A level moved one down or one up in ``rate`` of the rows each, kept within its range."""
     if rate <= 0:
         return level
-    draw = chance(keys, seed)
+    draw = chance(keys, seed, "noise")
     step = F.when(draw < rate, -1).when(draw < 2 * rate, 1).otherwise(0)
     return clip(level + step, low, high)
 

@@ -57,15 +57,15 @@ def category_codes(df: DataFrame, column: str, size: int) -> DataFrame:
     values = df.select(quoted(column).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
     if size <= SMALL_CATEGORIES:
         ordered = Window.orderBy("_value")
-        return F.broadcast(values.withColumn("_code", F.row_number().over(ordered) - 1))
-    return row_index(values, ["_value"], "_code", unique=True).withColumn("_code", F.col("_code").cast("int"))
+        return values.withColumn("_code", (F.row_number().over(ordered) - 1).cast("long"))
+    return row_index(values, ["_value"], "_code", unique=True)
 
 
 def with_codes(df: DataFrame, sizes: dict[str, int], suffix: str = "_Encoded", missing: int | None = -1) -> DataFrame:
     """Add ``<column>_Encoded`` for each column; NULL gets ``missing`` (by default -1).
 
-    ``sizes`` are the distinct counts, which decide how the codes reach the rows: a counted
-    small list is broadcast, a long one is joined.
+    ``sizes`` are the distinct counts, which decide how the codes are found. Spark chooses the join by
+    the bytes of the codes' table, so a list of long texts is not broadcast.
     """
     out = df
     for column, size in sizes.items():

@@ -63,9 +63,11 @@ def _grow(sample: np.ndarray, draw: np.random.RandomState, limit: int) -> tuple[
 
 
 def isolation_scores(df: DataFrame, features: Sequence[str], keys: Sequence[str], contamination: float = CONTAMINATION) -> DataFrame:
-    """Features with a ``score`` (below 0 is anomalous) and an ``anomaly`` flag, staged."""
+    """Keys and features with a ``score`` (below 0 is anomalous) and an ``anomaly`` flag, staged."""
     spark = df.sparkSession
+    named = [k for k in keys if k not in features]
     made = df.select(
+        *[quoted(k) for k in named],
         *[F.coalesce(as_double(quoted(c), df.schema[c].dataType), F.lit(0.0)).alias(c) for c in features],
         F.xxhash64(*[quoted(k) for k in keys]).alias("_key"),
     )
@@ -109,7 +111,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], keys: Sequence[str]
     raw = stage_table(plain.withColumn("_normality", normality(*[quoted(c) for c in features])))
     cut = exact_quantiles(raw, {"_normality": [contamination]})["_normality"][0]
     score = F.col("_normality") - F.lit(cut)
-    return raw.select(*[quoted(c) for c in features], score.alias("score"), (score < 0).alias("anomaly"))
+    return raw.select(*[quoted(c) for c in (*named, *features)], score.alias("score"), (score < 0).alias("anomaly"))
 
 
 def anomaly_report(scores: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import as_double, is_missing, quoted, strip, to_time
+from ..functions.columns import as_double, day_first, is_missing, quoted, strip, to_time
 from ..functions.grouping import numeric_columns, text_columns, top_per, value_counts
 from ..functions.ordering import fill_missing, row_index
 from ..functions.quantiles import exact_quantiles
@@ -57,10 +57,12 @@ def dates_where_whole(df: DataFrame) -> DataFrame:
     names = text_columns(df)
     if not names:
         return df
-    failures = [F.count(F.when(quoted(n).isNotNull() & to_time(quoted(n)).isNull(), 1)) for n in names]
+    late = day_first(df, names)
+    times = {n: to_time(quoted(n), n in late) for n in names}
+    failures = [F.count(F.when(quoted(n).isNotNull() & times[n].isNull(), 1)) for n in names]
     row = df.agg(*failures, *[F.count(quoted(n)) for n in names]).first()
     whole = {n for i, n in enumerate(names) if row[i] == 0 and row[len(names) + i] > 0}
-    return df.select(*[(to_time(quoted(c)) if c in whole else quoted(c)).alias(c) for c in df.columns])
+    return df.select(*[(times[c] if c in whole else quoted(c)).alias(c) for c in df.columns])
 
 
 def clean_business(

@@ -9,11 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import (
     as_double,
-    as_time,
+    time_of,
     is_numeric,
     quoted,
     split_medicines,
@@ -272,12 +272,12 @@ def risk_segments(
             ).first()
         )
     elif severity:
-        levels = counted(df, severity)
-        lowest = [r["n"] for r in levels.orderBy("value").limit(3).collect()]
-        if len(lowest) >= 3:
-            counts = tuple(lowest)
-        else:
-            total = sum(lowest)
+        # The levels in order, in three bands of as many levels; fewer than three levels are split evenly.
+        ordered = counted(df, severity).withColumn("_band", F.ntile(3).over(Window.orderBy("value")))
+        bands = ordered.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.when(F.col("_band") == b, F.col("n"))), F.lit(0)) for b in (1, 2, 3)]).first()
+        counts = tuple(bands[1:])
+        if bands[0] < 3:
+            total = sum(counts)
             counts = (total // 3, total // 3, total - 2 * (total // 3))
     elif conditions:
         counts = (int(rows * 0.4), int(rows * 0.4), rows - 2 * int(rows * 0.4))
@@ -307,7 +307,7 @@ def diagnosis_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select("total", "distinct_diagnoses", F.when(F.col("total") > 0, score).otherwise(0).alias("accuracy_rate"))
 
 
-def treatment_effectiveness(df: DataFrame, columns: Sequence[str], limit: int = 4) -> DataFrame:
+def treatment_effectiveness(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """Score per treatment column from how many rows are filled and how varied the values are."""
     chosen = list(columns)[:limit]
     texts = [c for c in chosen if c in text_columns(df)]
@@ -479,7 +479,7 @@ def pathways(df: DataFrame, column: str) -> DataFrame:
 def length_of_stay(df: DataFrame, admitted: str, discharged: str) -> DataFrame:
     """Mean stay in whole days."""
     days = whole_days(
-        as_time(quoted(admitted), df.schema[admitted].dataType), as_time(quoted(discharged), df.schema[discharged].dataType)
+        time_of(df, admitted), time_of(df, discharged)
     )
     return df.agg(F.avg(days).cast("long").alias("average_length_of_stay"))
 
@@ -522,7 +522,7 @@ def treatment_cost_totals(df: DataFrame, costs: Sequence[str]) -> DataFrame:
     )
 
 
-def cost_effectiveness(df: DataFrame, treatments: Sequence[str], costs: Sequence[str], limit: int = 4) -> DataFrame:
+def cost_effectiveness(df: DataFrame, treatments: Sequence[str], costs: Sequence[str], limit: int | None = None) -> DataFrame:
     """Filled share per thousand of mean cost, per treatment column, between 60 and 100."""
     chosen = list(treatments)[:limit]
     row = df.agg(
@@ -562,22 +562,23 @@ def insurance_mix(df: DataFrame, insurer: str) -> DataFrame:
 
 
 def budget_allocation(
-    df: DataFrame, costs: Sequence[str], diagnoses: Sequence[str] = (), treatments: Sequence[str] = ()
-) -> DataFrame:
-    """Primary cost by diagnosis, else by treatment, else by quarters of cost, else per cost column."""
+    df: DataFrame, costs: Sequence[str], diagnoses: Sequence[str] = (), treatments: Sequence[str] = (),
+    per_diagnosis: int = 5, per_treatment: int = 4,
+) -> DataFrame:
+    """Primary cost by diagnosis, else by treatment, else by quarters of cost, else per cost column.
+
+    All columns count; of each, the ``per_diagnosis`` or ``per_treatment`` dearest values are listed.
+    """
     cost = primary_cost(df, costs)
     schema = "category string, amount long"
     if cost is None:
         return _rows(df, [], schema)
     found: list[tuple[str, int]] = []
-    for column in list(diagnoses)[:5]:
-        found += [(f"{_title(column)}: {k[:30]}", v) for k, v in _top_costs(df, column, cost, 5)]
-        if len(found) >= 6:
-            break
+    for column in diagnoses:
+        found += [(f"{_title(column)}: {k[:30]}", v) for k, v in _top_costs(df, column, cost, per_diagnosis)]
     if len(found) < 3:
-        for column in list(treatments)[:4]:
-            extra = [(f"{_title(column)}: {k[:25]}", v) for k, v in _top_costs(df, column, cost, 4)]
-            found += extra[: max(0, 8 - len(found))]
+        for column in treatments:
+            found += [(f"{_title(column)}: {k[:25]}", v) for k, v in _top_costs(df, column, cost, per_treatment)]
     if len(found) < 3:
         labels = (
             "Low Cost Segment (0-25th percentile)",
@@ -601,7 +602,7 @@ def budget_totals(df: DataFrame, costs: Sequence[str]) -> DataFrame:
 
 def monthly_budget(df: DataFrame, costs: Sequence[str], date: str) -> DataFrame:
     cost = primary_cost(df, costs)
-    month = F.date_format(as_time(quoted(date), df.schema[date].dataType), "yyyy-MM")
+    month = F.date_format(time_of(df, date), "yyyy-MM")
     held = df.select(month.alias("month"), _money(df, cost).alias("cost")).filter(F.col("month").isNotNull())
     return held.groupBy("month").agg(F.coalesce(F.sum("cost"), F.lit(0)).cast("long").alias("amount"))
 
@@ -609,9 +610,9 @@ def monthly_budget(df: DataFrame, costs: Sequence[str], date: str) -> DataFrame:
 # ---- trends and reports ------------------------------------------------------------------------------
 
 
-def monthly_records(df: DataFrame, date: str, shown: int = 6) -> DataFrame:
-    """Records of the latest year by month, the first months shown; activities are 30 per cent."""
-    moment = as_time(quoted(date), df.schema[date].dataType)
+def monthly_records(df: DataFrame, date: str) -> DataFrame:
+    """Records of the latest year by month; activities are 30 per cent."""
+    moment = time_of(df, date)
     months = df.select(F.year(moment).alias("year"), F.month(moment).alias("month")).filter(F.col("year").isNotNull())
     counts = months.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"))
     # From here on one row per calendar month.
@@ -625,7 +626,7 @@ def monthly_records(df: DataFrame, date: str, shown: int = 6) -> DataFrame:
             F.coalesce(F.col(m), F.lit(0)).alias("records"),
             (F.coalesce(F.col(m), F.lit(0)) * 0.3).cast("long").alias("activities"),
         )
-        for i, m in enumerate(MONTHS[:shown])
+        for i, m in enumerate(MONTHS)
     ]
     return row.select(F.inline(F.array(*cells)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import (
     age_years,
     as_double,
-    as_time,
+    time_of,
     flipped,
     is_numeric,
     quoted,
@@ -137,7 +137,7 @@ def cost_of(df: DataFrame, roles: Mapping[str, str]) -> Column | None:
 def stay_of(df: DataFrame, roles: Mapping[str, str]) -> Column | None:
     if "admitted" not in roles or "discharged" not in roles:
         return None
-    ends = [as_time(quoted(roles[r]), df.schema[roles[r]].dataType) for r in ("admitted", "discharged")]
+    ends = [time_of(df, roles[r]) for r in ("admitted", "discharged")]
     return whole_days(*ends)
 
 
@@ -233,7 +233,7 @@ def readmission_label(
 def los_label(df: DataFrame, roles: Mapping[str, str], name: str = "stay_days") -> DataFrame:
     """Length of stay in days, 7 where it is unknown."""
     stay = stay_of(df, roles)
-    if stay is None or df.agg(F.count(stay)).first()[0] <= 10:
+    if stay is None:
         return df.withColumn(name, F.lit(float(DEFAULT_STAY)))
     return df.withColumn(name, F.coalesce(stay, F.lit(DEFAULT_STAY)).cast("double"))
 

@@ -112,7 +112,7 @@ def feature_table(
         *[quoted(c).cast("string").alias(c) for c in dict.fromkeys([*categories, *keep])],
     ).filter(F.col("label").isNotNull())
     coded = with_codes(base, distinct_sizes(base, categories), suffix="_code") if categories else base
-    held = chance([F.col(f"key{i}") for i in range(len(key))], SEED) < TEST_SHARE
+    held = chance([F.col(f"key{i}") for i in range(len(key))], SEED, "hold-out") < TEST_SHARE
     names = [*numbers, *[c + "_code" for c in categories]]
     columns = [f"key{i}" for i in range(len(key))]
     out = coded.select(
@@ -250,17 +250,15 @@ def churn(df: DataFrame, roles: Roles) -> Trained:
     return _classified(table, names, _forest(RandomForestClassifier), bands)
 
 
-def segments(df: DataFrame, roles: Roles) -> Trained:
-    """K-means over standardised money, frequency, quantity and recency."""
+def segments(df: DataFrame, roles: Roles, k: int = 5) -> Trained:
+    """K-means with ``k`` clusters over standardised money, frequency, quantity and recency."""
     features = stage_table(labels.segment_features(df, roles))
     names = ["monetary", "frequency", "quantity", "recency"]
-    rows = features.count()
-    clusters = max(2, min(5, rows // 10))
     vectors = VectorAssembler(inputCols=names, outputCol="raw").transform(features)
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
-    model = KMeans(k=clusters, seed=SEED, featuresCol="features", predictionCol="cluster").fit(scaled)
+    model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster").fit(scaled)
     scored = model.transform(scaled).drop("raw", "features")
-    # One row per cluster, at most five.
+    # One row per cluster.
     sizes = scored.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("customers"),
         *[f(c).alias(f"{c}_{t}") for c in ("monetary", "frequency", "recency") for t, f in (("mean", F.avg), ("std", F.stddev_samp))],
@@ -365,17 +363,9 @@ def cost(df: DataFrame, roles: Mapping[str, str]) -> Trained:
 
 
 def risk(df: DataFrame, roles: Mapping[str, str]) -> Trained:
-    """Risk level in three classes; inputs that mostly decide the label are left out."""
+    """Risk level in three classes, from cost, age, room and profile."""
     labelled = stage_table(labels.risk_label(df, roles, noise=labels.LEVEL_NOISE))
-    counts = labelled.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r["n"] for r in counts)
-    raised = sum(r["n"] for r in counts if r["risk_level"] > 0)
-    wanted = ["room"]
-    if not raised > total * 0.5:
-        wanted.insert(0, "age")
-    if total and max(r["n"] for r in counts) < total * 0.8:
-        wanted.insert(0, "cost")
-    table, names = feature_table(labelled, [roles["id"]], "risk_level", _numbers(df, roles, wanted), _categories(roles, _PROFILE))
+    table, names = feature_table(labelled, [roles["id"]], "risk_level", _numbers(df, roles, ("cost", "age", "room")), _categories(roles, _PROFILE))
     stop = _stopped(table, names, MIN_ROWS, False)
     if stop is not None:
         return Trained(stop, None)

@@ -13,17 +13,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_double, as_time, clip, is_missing, quoted
+from ..functions.columns import as_double, clip, is_missing, quoted, time_of
 from ..functions.grouping import numeric_columns, text_columns, top_per, value_counts
 from ..functions.ordering import rolling_std, row_index
 from ..functions.quantiles import exact_quantiles, scan
 
-# How many columns the reports look at by default.
-NUMERIC_LIMIT = 10
-TEXT_LIMIT = 10
-PAIR_LIMIT = 5
-DATE_LIMIT = 3
-
 
 def _number(df: DataFrame, name: str) -> Column:
     return as_double(quoted(name), df.schema[name].dataType)
@@ -230,8 +224,8 @@ def profile_file(df: DataFrame) -> DataFrame:
     return _rounded(joined, [f for f in fields if f != "n"])
 
 
-def eda_overview(df: DataFrame, shown: int = 20) -> DataFrame:
-    """Shape, columns per type, missing cells (columns that have any), first column names."""
+def eda_overview(df: DataFrame, shown: int | None = None) -> DataFrame:
+    """Shape, columns per type, missing cells (columns that have any), column names (the first ``shown``)."""
     kinds: dict[str, int] = {}
     for field in df.schema:
         kinds[field.dataType.simpleString()] = kinds.get(field.dataType.simpleString(), 0) + 1
@@ -278,7 +272,7 @@ def eda_missing_total(df: DataFrame) -> DataFrame:
     )
 
 
-def eda_distribution(df: DataFrame, limit: int = NUMERIC_LIMIT) -> DataFrame:
+def eda_distribution(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Mean, median, deviation, extremes, population skewness and kurtosis of numeric columns."""
     stats = numeric_summary(df, numeric_columns(df)[:limit], (0.5,)).filter(F.col("n") > 0)
     out = stats.select(
@@ -295,7 +289,7 @@ def eda_distribution(df: DataFrame, limit: int = NUMERIC_LIMIT) -> DataFrame:
     return _rounded(out, ["mean", "median", "std", "min", "max", "skewness", "kurtosis"])
 
 
-def eda_box(df: DataFrame, limit: int = NUMERIC_LIMIT) -> DataFrame:
+def eda_box(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Quartiles, extremes and values beyond 1.5 interquartile ranges."""
     stats = numeric_summary(df, numeric_columns(df)[:limit], outliers=True).filter(F.col("n") > 0)
     out = stats.select(
@@ -371,7 +365,7 @@ def _categories(df: DataFrame, names: Sequence[str], k: int) -> tuple[DataFrame,
     return totals, top
 
 
-def eda_categorical(df: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
+def eda_categorical(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Per text column: distinct values, filled cells, the most frequent value."""
     totals, top = _categories(df, text_columns(df)[:limit], 1)
     best = top.select("column", F.col("value").alias("most_frequent"), F.col("n").alias("most_frequent_count"))
@@ -386,7 +380,7 @@ def eda_categorical(df: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
     )
 
 
-def eda_categorical_top(df: DataFrame, limit: int = TEXT_LIMIT, k: int = 5) -> DataFrame:
+def eda_categorical_top(df: DataFrame, limit: int | None = None, k: int = 5) -> DataFrame:
     """The k most frequent values of each text column."""
     counts = value_counts(df, text_columns(df)[:limit])
     return top_per(counts, ["column"], [F.desc("n"), F.asc("value")], k).select("column", "rank", "value", "n")
@@ -467,8 +461,8 @@ def eda_correlation(df: DataFrame) -> DataFrame:
     return _rounded(labelled.unionByName(mirrored), ["correlation"])
 
 
-def eda_scatter(df: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
-    """Correlation, r², means and deviations for pairs of the first numeric columns (more than 10 points)."""
+def eda_scatter(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Correlation, r², means and deviations for pairs of numeric columns (more than 10 points); ``limit`` takes the first columns only."""
     pairs = list(combinations(numeric_columns(df)[:limit], 2))
     stats = pair_statistics(df, pairs, full=True).filter((F.col("points") > 10) & F.col("correlation").isNotNull())
     out = stats.withColumn("r_squared", F.col("correlation") * F.col("correlation"))
@@ -516,9 +510,9 @@ def eda_timeseries(
     position minus the position of the series' first row. ``ties`` order rows of equal date.
     """
     cells = []
-    for date in dates[:DATE_LIMIT]:
-        moment = as_time(quoted(date), df.schema[date].dataType)
-        for number in numbers[:PAIR_LIMIT]:
+    for date in dates:
+        moment = time_of(df, date)
+        for number in numbers:
             cells.append(
                 F.struct(
                     F.lit(f"{date} - {number}").alias("series"), moment.alias("moment"), _number(df, number).alias("value")
@@ -529,7 +523,7 @@ def eda_timeseries(
     order = ["series", "moment", *[f"_tie{i}" for i in range(len(ties))]]
     placed = row_index(stacked, order, "place", unique=unique).select("series", "moment", "value", "place")
     firsts = placed.groupBy("series").agg(F.min("place").alias("_first"))
-    # One row per series: at most DATE_LIMIT * PAIR_LIMIT rows.
+    # One row per series.
     rows = placed.join(F.broadcast(firsts), "series").withColumn("place", F.col("place") - F.col("_first")).drop("_first")
     rolled = rolling_std(rows, "value", "place", ["series"])
     x, y = F.col("place").cast("double"), F.col("value")
@@ -616,7 +610,7 @@ def with_p_values(trends: DataFrame) -> DataFrame:
 
 def record_trend(df: DataFrame, date: str) -> dict[str, DataFrame]:
     """Record counts by month, year and quarter, and a one-row summary of growth and extremes."""
-    moment = as_time(quoted(date), df.schema[date].dataType)
+    moment = time_of(df, date)
     days = df.select(F.to_date(moment).alias("day")).filter(F.col("day").isNotNull())
     # Monthly counts are the only shuffle of base rows; the rest is derived from that small table.
     months = days.groupBy(F.trunc("day", "month").alias("month")).agg(

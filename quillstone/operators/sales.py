@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import (
-    as_time,
+    time_of,
     bucket_number,
     epoch_micros,
     first_match,
@@ -67,7 +67,7 @@ def with_revenue(df: DataFrame, roles: Roles, name: str = "revenue") -> DataFram
 
 
 def _date_of(df: DataFrame, roles: Roles) -> Column:
-    return as_time(quoted(roles["date"]), df.schema[roles["date"]].dataType)
+    return time_of(df, roles["date"])
 
 
 def _facts(df: DataFrame, roles: Roles, *wanted: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import as_double, as_time, is_missing, is_numeric, quoted, row_mean, row_sum, scaled
+from ..functions.columns import as_double, is_missing, is_numeric, quoted, row_mean, row_sum, scaled, time_of
 from ..functions.grouping import distinct_sizes, text_columns, with_codes, with_group_value
 from ..functions.roles import categorical_columns, read_dates, transform_date_columns
 from .sales import ASSUMED_MARGIN, Roles
@@ -41,7 +41,7 @@ def date_features_healthcare(df: DataFrame, dates: Sequence[str]) -> DataFrame:
     """``<c>_Year``, ``<c>_Month``, ``<c>_Quarter``; the date columns stay as they are."""
     parts = (("Year", F.year), ("Month", F.month), ("Quarter", F.quarter))
     return df.select(
-        "*", *[f(as_time(quoted(c), df.schema[c].dataType)).alias(f"{c}_{part}") for c in dates for part, f in parts]
+        "*", *[f(time_of(df, c)).alias(f"{c}_{part}") for c in dates for part, f in parts]
     )
 
 

@@ -110,10 +110,23 @@ def _csv_customers(spark, folder):
 
 
 def _json_customers(spark, folder):
-    out = files.read_json(spark, _as_files(spark, folder, "json")[1], lines=True)
+    out = files.read_json(spark, _as_files(spark, folder, "json")[1])
     return out.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
+def _written(spark, folder, name, form):
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}/{name}.{form}"
+    source = table(spark, folder, name)
+    if form == "csv":
+        files.write_csv(source, path)
+    elif name == "nation":  # few rows, as one array
+        rows = source.agg(F.to_json(F.collect_list(F.struct(*source.columns))).alias("value"))
+        rows.coalesce(1).write.text(path)
+    else:
+        source.write.json(path)
+    return files.ingest(spark, [path])[0]
+
+
 def _file_counts(spark, folder):
     return files.file_counts(files.ingest(spark, _as_files(spark, folder, "csv")), _TABLE_FILES)
 
@@ -141,6 +154,16 @@ QUERIES = {
     "json_round_trip": Query(
         _json_customers, "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
     ),
+    "csv_documents": Query(
+        lambda s, d: _written(s, d, "documents", "csv"), "SELECT doc_id, text, lang, source, n_chars FROM documents"
+    ),
+    "json_documents": Query(
+        lambda s, d: _written(s, d, "documents", "json"), "SELECT doc_id, text, lang, source, n_chars FROM documents"
+    ),
+    "json_array": Query(
+        lambda s, d: _written(s, d, "nation", "json"),
+        "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
+    ),
     "many_files": Query(
         _file_counts,
         """SELECT 'nation' AS file, count(*) AS rows, CAST(3 AS BIGINT) AS columns FROM nation

@@ -93,8 +93,8 @@ def _bands(labels, quantiles, tail) -> str:
     return "\nUNION ALL ".join(tests)
 
 
-_MONTHLY = """monthly AS (SELECT m AS month, (['Jan','Feb','Mar','Apr','May','Jun'])[m] AS label, count("Date of Admission") AS records
-FROM range(1, 7) r(m) LEFT JOIN admissions ON month("Date of Admission") = m
+_MONTHLY = """monthly AS (SELECT m AS month, (['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'])[m] AS label, count("Date of Admission") AS records
+FROM range(1, 13) r(m) LEFT JOIN admissions ON month("Date of Admission") = m
   AND year("Date of Admission") = (SELECT max(year("Date of Admission")) FROM admissions) GROUP BY m)"""
 
 _BATCH = ["patient-demographics", "vital-signs", "clinical-pathways", "insurance-analysis", "treatment-costs", "data-quality"]

@@ -182,5 +182,5 @@ UNION ALL SELECT 'metric', 'mae', round(mae, 2) FROM m UNION ALL SELECT 'metric'
     "ml_length_of_stay": _model("lengthofstay"),
     "ml_medication": _model("medication"),
     "ml_discharge": _model("discharge"),
-    "ml_train_all": Query(lambda s, d: _rounded(models.train(admissions(s, d), ROLES, ["cost", "risk", "discharge"]))),
+    "ml_train_all": Query(lambda s, d: _rounded(models.train(admissions(s, d), ROLES))),
 }

@@ -260,7 +260,7 @@ UNION ALL SELECT y, x, round(r, 4), NULL FROM corrs\nUNION ALL """
     ),
     "eda_scatter": Query(
         lambda s, d: job.eda_scatter(lines(s, d)),
-        _with(_LINES) + "\nUNION ALL ".join(_scatter(a, b) for a, b in combinations(NUMBERS[:5], 2)),
+        _with(_LINES) + "\nUNION ALL ".join(_scatter(a, b) for a, b in combinations(NUMBERS, 2)),
     ),
     "corr_bands": Query(
         lambda s, d: job.correlation_bands(lines(s, d)),

@@ -22,6 +22,18 @@ def _odd_numbers(spark, folder):
     )
 
 
+def _date_texts(spark, folder):
+    """The day of each order, and a minute of it, written in six ways."""
+    formats = {
+        "month_first": "M/d/yyyy", "day_first": "d/M/yyyy H:mm", "minutes": "yyyy-MM-dd HH:mm",
+        "zone": "yyyy-MM-dd'T'HH:mm:ss'Z'", "fraction": "yyyy-MM-dd HH:mm:ss.SSS", "named": "d-MMM-yyyy",
+    }
+    orders = table(spark, folder, "orders")
+    minute = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440).cast("int"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz"))
+    exact = F.timestamp_add("MICROSECOND", F.lit(250_000), minute)
+    return orders.select("o_orderkey", *[F.date_format(exact if c == "fraction" else minute, f).alias(c) for c, f in formats.items()])
+
+
 def _odd_texts(spark, folder):
     """orders with numbers and dates as text, readable or not."""
     return table(spark, folder, "orders").select(
@@ -35,6 +47,18 @@ def _odd_texts(spark, folder):
 
 
 
+
+def _draw(purpose, key):
+    """The same draw as ``columns.chance`` with seed 42."""
+    return f"(('0x' || substr(md5('{purpose}:42:' || {key}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def _hold_out_counts(orders):
+    key = [F.col("o_orderkey")]
+    drawn = orders.select((fn.chance(key, 42, "hold-out") < 0.2).alias("held_out"), (fn.chance(key, 42, "noise") < 0.3).alias("_noisy"))
+    return drawn.groupBy("held_out").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_noisy"), 1)).alias("noisy"))
+
+
 QUERIES = {
     "range_filter": Query(
         lambda s, d: table(s, d, "lineitem")
@@ -251,10 +275,16 @@ FROM admissions"""
         ),
     ),
     "safe_casts": Query(
-        lambda s, d: _odd_texts(s, d).select("o_orderkey", fn.to_number(F.col("number")).alias("number"), fn.to_time(F.col("day")).alias("day")),
+        lambda s, d: (lambda t: t.select("o_orderkey", fn.to_number(F.col("number")).alias("number"), fn.time_of(t, "day").alias("day")))(_odd_texts(s, d)),
         """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 2 THEN 150.0::DOUBLE END AS number,
   CASE WHEN o_orderkey % 5 IN (0, 1) THEN date_trunc('day', o_orderdate) WHEN o_orderkey % 5 = 2 THEN date_trunc('second', o_orderdate) END AS day
 FROM orders""",
+    ),
+    "text_dates": Query(
+        lambda s, d: (lambda t: t.select("o_orderkey", *[fn.time_of(t, c).alias(c) for c in t.columns if c != "o_orderkey"]))(_date_texts(s, d)),
+        """WITH t AS (SELECT o_orderkey, date_trunc('day', o_orderdate) AS d, o_orderkey % 1440 AS m FROM orders)
+SELECT o_orderkey, d AS month_first, d + to_minutes(m) AS day_first, d + to_minutes(m) AS minutes, d + to_minutes(m) AS zone,
+  d + to_minutes(m) + INTERVAL 250 MILLISECOND AS fraction, d AS named FROM t""",
     ),
     "date_functions": Query(
         lambda s, d: table(s, d, "events").select(
@@ -295,6 +325,12 @@ FROM orders""",
     "label_noise": Query(
         lambda s, d: table(s, d, "orders").select(
             "o_orderkey", fn.flipped((F.col("o_orderkey") % 2).cast("int"), [F.col("o_orderkey")], 42, 0.3).alias("noisy")
-        )
+        ),
+        f"SELECT o_orderkey, CAST(CASE WHEN {_draw('noise', 'o_orderkey')} < 0.3 THEN 1 - o_orderkey % 2 ELSE o_orderkey % 2 END AS INTEGER) AS noisy FROM orders",
+    ),
+    "hold_out_counts": Query(
+        lambda s, d: _hold_out_counts(table(s, d, "orders")),
+        f"""SELECT {_draw('hold-out', 'o_orderkey')} < 0.2 AS held_out, count(*) AS n,
+  count(*) FILTER ({_draw('noise', 'o_orderkey')} < 0.3) AS noisy FROM orders GROUP BY 1""",
     ),
 }

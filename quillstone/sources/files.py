@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.columns import NUMBER_PATTERN, quoted
 
 PREVIEW_ROWS = 50
-MERGE_FILES = 10
 # CSV fields that mean "missing".
 MISSING_WORDS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -23,20 +22,23 @@ DEFAULT_CATEGORY = "business"
 
 
 def read_csv(
-    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, multi_line: bool = False
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """CSV with a header; quotes are doubled inside quoted fields, usual words for "missing" are NULL.
 
     Without a schema each column becomes the narrowest of whole number, number, truth value and
-    text that fits all its values, which takes one more pass. ``multi_line`` allows line breaks
-    inside quoted fields, but then a file cannot be split over tasks.
+    text that fits all its values, which takes one more pass. A schema's fields are found by name and
+    put in its order; it must name every column of the header. Quoted fields may hold line breaks,
+    so a file is read by one task; ``multi_line=False`` lets tasks share a file known to have none.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     raw = reader.csv(paths if isinstance(paths, str) else list(paths))
     held = raw.select(*[F.when(~quoted(c).isin(*MISSING_WORDS), quoted(c)).alias(c) for c in raw.columns])
     if schema is not None:
         fields = schema.fields if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema).fields
-        return held.select(*[quoted(c).try_cast(f.dataType).alias(f.name) for c, f in zip(held.columns, fields)])
+        if sorted(f.name for f in fields) != sorted(held.columns):
+            raise ValueError(f"the header has {held.columns}, the schema {[f.name for f in fields]}")
+        return held.select(*[quoted(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
     kinds = _narrowest(held)
     return held.select(*[(F.trim(quoted(c)).try_cast(k) if k != "string" else quoted(c)).alias(c) for c, k in kinds.items()])
 
@@ -56,8 +58,23 @@ def _narrowest(held: DataFrame) -> dict[str, str]:
     return out
 
 
-def read_json(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
-    """A JSON array of records per file, or one record per line, which splits over tasks."""
+def holds_lines(spark: SparkSession, paths: str | Sequence[str]) -> bool:
+    """Whether JSON files hold a record per line, by the first character of each file that is not white space.
+
+    Raises where some files hold an array and others do not.
+    """
+    first = spark.read.text(paths if isinstance(paths, str) else list(paths)).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    filled = first.select("file", "at", F.substring(F.ltrim("value"), 1, 1).alias("mark")).filter("mark <> ''")
+    marks = filled.groupBy("file").agg(F.min_by("mark", "at").alias("mark")).select((F.col("mark") != "[").alias("lines")).distinct()
+    found = [r["lines"] for r in marks.collect()]  # two at most
+    if len(found) > 1:
+        raise ValueError("some files hold an array of records, others a record per line")
+    return found != [False]
+
+
+def read_json(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, lines: bool | None = None) -> DataFrame:
+    """A JSON array of records per file, or one record per line, which splits over tasks; without ``lines`` the files tell."""
+    lines = holds_lines(spark, paths) if lines is None else lines
     reader = spark.read.option("multiLine", not lines)
     if schema is not None:
         reader = reader.schema(schema)
@@ -74,9 +91,9 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return spark.read.parquet(path)
 
 
-def ingest(spark: SparkSession, paths: Sequence[str], limit: int = MERGE_FILES) -> list[DataFrame]:
-    """One frame per file, at most ``limit`` files."""
-    if len(paths) > limit:
+def ingest(spark: SparkSession, paths: Sequence[str], limit: int | None = None) -> list[DataFrame]:
+    """One frame per file; more than ``limit`` files raise, if it is given."""
+    if limit is not None and len(paths) > limit:
         raise ValueError(f"at most {limit} files, got {len(paths)}")
     return [read_any(spark, p) for p in paths]
 
@@ -94,7 +111,8 @@ def file_counts(frames: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """UTF-8 CSV with a header, one file per partition."""
-    df.write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_stage(df: DataFrame, path: str) -> None:

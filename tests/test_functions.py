@@ -153,12 +153,26 @@ def test_numbers(spark, text, want):
     assert _one(spark, fn.to_number, text) == want
 
 
-@pytest.mark.parametrize("text, want", [("2024-02-30", None), ("31/01/2024", "2024-01-31"), ("2024-01-31 10:11:12", "2024-01-31"), ("x", None)])
+@pytest.mark.parametrize("text, want", [("2024-02-30", None), ("1/31/2024", "2024-01-31"), ("31/01/2024", None), ("2024-01-31T10:11:12.5Z", "2024-01-31"), ("9-Dec-2019", "2019-12-09"), ("2019", None), ("x", None)])
 def test_dates(spark, text, want):
     got = _one(spark, fn.to_time, text)
     assert (got.date().isoformat() if got else None) == want
 
 
+def test_a_column_is_read_in_one_order(spark):
+    df = spark.createDataFrame([("03/04/2021", "03/04/2021 8:26"), ("03/25/2021", "25/03/2021 18:26"), (None, "x")], "us string, uk string")
+    got = df.select(*[fn.time_of(df, c).cast("string").alias(c) for c in df.columns]).collect()
+    assert [r["us"] for r in got] == ["2021-03-04 00:00:00", "2021-03-25 00:00:00", None]
+    assert [r["uk"] for r in got] == ["2021-04-03 08:26:00", "2021-03-25 18:26:00", None]
+
+
+def test_noise_and_hold_out_are_independent(spark):
+    key = [F.col("id")]
+    drawn = spark.range(20000).select((fn.chance(key, 42, "hold-out") < 0.2).alias("held"), (fn.chance(key, 42, "noise") < 0.3).cast("double").alias("noisy"))
+    shares = {r["held"]: r["share"] for r in drawn.groupBy("held").agg(F.avg("noisy").alias("share")).collect()}
+    assert abs(shares[True] - 0.3) < 0.03 and abs(shares[False] - 0.3) < 0.03
+
+
 def test_equal_values_share_a_bucket(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 1.0, 1.0, 2.0, 5.0)], "x double")
     got = [r[0] for r in df.select(fn.bucket_number(F.col("x"), [1.0, 1.0, 1.4, 2.6])).collect()]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F, types as T
 
 from quillstone.functions import roles
 from quillstone.operators import anomaly, clean, clinical, labels, models, profile, sales, tables, transform
-from quillstone.session import shared_folder
+from quillstone.session import scratch, shared_folder
 from quillstone.sources import files
 from quillstone.streaming.daily import daily_revenue_stream
 
@@ -268,7 +268,7 @@ def test_date_roles(spark):
 
 def test_dates_after_empty_rows(spark):
     df = spark.createDataFrame([(None,)] * 300 + [("2024-01-05",)] * 20, "late string").coalesce(1)
-    assert roles.date_share(df, ["late"], 100) == {"late": 1.0}
+    assert roles.date_share(df, ["late"]) == {"late": 1.0}
 
 
 def test_categorical_columns(spark):
@@ -308,7 +308,7 @@ def test_medicine_sets(spark):
 
 def test_severity_levels(spark):
     df = spark.createDataFrame([(x,) for x in "aabbbcd"], "severity string")
-    assert tuple(clinical.risk_segments(df, severity="severity").first()) == (2, 3, 1, 7)
+    assert tuple(clinical.risk_segments(df, severity="severity").first()) == (5, 1, 1, 7)
     two = clinical.risk_segments(df.filter("severity < 'c'"), severity="severity").first()
     assert (two["low_risk"], two["medium_risk"], two["high_risk"]) == (1, 1, 3)
 
@@ -417,7 +417,8 @@ def test_isolation_finds_outliers(spark):
     scores = anomaly.isolation_scores(df, ["a", "b"], ["k"])
     lowest = scores.orderBy("score").limit(10).collect()
     assert all(r["a"] > 30 for r in lowest)
-    assert scores.filter("anomaly").count() == 100
+    assert scores.filter("anomaly").count() == 100 and scores.columns == ["k", "a", "b", "score", "anomaly"]
+    assert {r["k"] for r in lowest} == set(range(990, 1000))
     again = anomaly.isolation_scores(df.repartition(3), ["a", "b"], ["k"])
     assert again.agg(F.round(F.sum("score"), 6)).first() == scores.agg(F.round(F.sum("score"), 6)).first()
 
@@ -430,7 +431,7 @@ class _Cluster:
 
     def __init__(self, named=None, current=None):
         self.made = current
-        self.conf = {"spark.checkpoint.dir": named}
+        self.conf = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": "hdfs:///warehouse"}
         self.sparkContext = self
         self.master = "spark://host:7077"
 
@@ -445,8 +446,15 @@ def test_shared_folder_of_a_cluster():
     named = _Cluster(named="hdfs:///stage")
     assert shared_folder(named) == "hdfs:///stage" and named.made == "hdfs:///stage"
     assert shared_folder(_Cluster(current="hdfs:///other")) == "hdfs:///other"
-    with pytest.raises(ValueError):
-        shared_folder(_Cluster())
+    assert shared_folder(_Cluster()) == "hdfs:///warehouse/_staging"
+
+
+def test_scratch_leaves_nothing(spark):
+    with scratch(spark) as table:
+        made = table(spark.range(5))
+        path = made.staged_path
+        assert made.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
 
 
 # ---- files and stream ------------------------------------------------------------------------------------------
@@ -461,7 +469,7 @@ def test_csv_and_json(spark, tmp_path):
     counts = files.file_counts(frames, ["a", "b"]).orderBy("file").collect()
     assert [(r["rows"], r["columns"]) for r in counts] == [(2, 3), (2, 2)]
     with pytest.raises(ValueError):
-        files.ingest(spark, ["x"] * 11)
+        files.ingest(spark, ["x"] * 11, limit=10)
 
 
 def test_csv_missing_words_and_quotes(spark, tmp_path):
@@ -471,8 +479,19 @@ def test_csv_missing_words_and_quotes(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(None, 'say "hi", you', True, None, "1"), (7, None, False, None, "x")]
     typed = files.read_csv(spark, str(tmp_path / "c.csv"), "a int, b string, c boolean, d double, e int")
     assert [r["e"] for r in typed.collect()] == [1, None]
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(tmp_path / "c.csv"), "a int, b string").count()
     (tmp_path / "m.csv").write_text('a,b\n1,"two\nlines"\n')
-    assert files.read_csv(spark, str(tmp_path / "m.csv"), multi_line=True).first()["b"] == "two\nlines"
+    assert files.read_csv(spark, str(tmp_path / "m.csv")).first()["b"] == "two\nlines"
+
+
+def test_json_forms_are_told_apart(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"id": 1}\n{"id": 2}\n')
+    (tmp_path / "r.json").write_text('\n [{"id": 1},\n {"id": 2}]')
+    assert files.read_json(spark, str(tmp_path / "l.json")).count() == 2
+    assert files.read_json(spark, str(tmp_path / "r.json")).count() == 2
+    with pytest.raises(ValueError):
+        files.read_json(spark, [str(tmp_path / "l.json"), str(tmp_path / "r.json")])
 
 
 def test_csv_returns_what_was_written(spark, tmp_path):
