@@ -10,20 +10,20 @@ queued. Decoding concatenates the vocabulary's strings.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
 from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import DataFrame, types as T
 
 #: Fixed value: the byte-level pattern of the tokenizer file's kind.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_PIECES = 200_000  # per Python worker, some 60 MB
+CACHED_PIECES = 500_000  # per Python worker, some 100 MB
 CACHED_BYTES = 64  # longer pieces are rare and not kept
+ROWS_AT_ONCE = 200  # texts whose ids are in memory together
 
 
 def byte_letters() -> dict[int, str]:
@@ -43,8 +43,10 @@ class Bpe:
         vocabulary = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
         self._start = [vocabulary.get(letters[b]) for b in range(256)]
-        # (left id, right id) as one number -> rank and the id of both as one.
-        self._merges = {vocabulary[a] << 32 | vocabulary[b]: (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # (left id, right id) as one number -> rank; by rank, the two ids and that of both as one.
+        self._shift = max(vocabulary.values()).bit_length()
+        self._made = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
+        self._ranks = {left << self._shift | right: rank for rank, (left, right, _) in enumerate(self._made)}
         self._added = {t["content"]: t["id"] for t in made["added_tokens"]}
         found = sorted(self._added, key=len, reverse=True)
         self._split_added = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
@@ -52,25 +54,32 @@ class Bpe:
         back = {letter: b for b, letter in letters.items()}
         self._bytes = {i: bytes(back[c] for c in s) for s, i in vocabulary.items()}
         self._bytes |= {i: s.encode() for s, i in self._added.items()}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, bytes] = {}
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
+    def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
-        ids = [self._start[b] for b in piece]
+        start, shift, rank_of, made = self._start, self._shift, self._ranks.get, self._made
+        ids = [start[b] for b in piece]
         n = len(ids)
         if n == 1:
-            return tuple(ids)
-        merges = self._merges
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # An entry is (rank, place, left id, right id, merged id); both ids tell whether it is stale.
+            return ids
+        # A queue entry is rank * 2**places + place of the left symbol; the rank tells both symbols,
+        # so an entry is stale if other symbols are there by now. A symbol merged away is -1.
+        places = n.bit_length()
+        place = (1 << places) - 1
         queue = []
         for at in range(n - 1):
-            found = merges.get(ids[at] << 32 | ids[at + 1])
-            if found:
-                queue.append((found[0], at, ids[at], ids[at + 1], found[1]))
+            rank = rank_of(ids[at] << shift | ids[at + 1])
+            if rank is not None:
+                queue.append(rank << places | at)
+        if not queue:
+            return ids
         heapify(queue)
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, at, left, right, both = heappop(queue)
+            entry = heappop(queue)
+            at = entry & place
+            left, right, both = made[entry >> places]
             after = following[at]
             if ids[at] != left or after >= n or ids[after] != right:
                 continue
@@ -78,40 +87,36 @@ class Bpe:
             after = following[at] = following[after]
             if after < n:
                 before[after] = at
-                found = merges.get(both << 32 | ids[after])
-                if found:
-                    heappush(queue, (found[0], at, both, ids[after], found[1]))
+                rank = rank_of(both << shift | ids[after])
+                if rank is not None:
+                    heappush(queue, rank << places | at)
             earlier = before[at]
             if earlier >= 0:
-                found = merges.get(ids[earlier] << 32 | both)
-                if found:
-                    heappush(queue, (found[0], earlier, ids[earlier], both, found[1]))
-        return tuple(i for i in ids if i >= 0)
-
-    def _plain(self, text: str, out: list[int]) -> None:
-        known = self._known
-        for piece in self._pieces.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                raw = piece.encode("utf-8")
-                ids = self.merge(raw)
-                if len(raw) <= CACHED_BYTES:
-                    if len(known) >= CACHED_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if self._split_added is None:
-            self._plain(text, out)
-            return out
-        for n, part in enumerate(self._split_added.split(text)):
+                rank = rank_of(ids[earlier] << shift | both)
+                if rank is not None:
+                    heappush(queue, rank << places | earlier)
+        return [i for i in ids if i >= 0]
+
+    def _new(self, piece: str) -> bytes:
+        raw = piece.encode("utf-8")
+        ids = array("i", self.merge(raw)).tobytes()
+        if len(raw) <= CACHED_BYTES:
+            if len(self._known) >= CACHED_PIECES:
+                self._known.clear()
+            self._known[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids as native 32-bit integers."""
+        known, new = self._known.get, self._new
+        parts = self._split_added.split(text) if self._split_added else [text]
+        out = []
+        for n, part in enumerate(parts):
             if n % 2:
-                out.append(self._added[part])
-            elif part:
-                self._plain(part, out)
-        return out
+                out.append(array("i", [self._added[part]]).tobytes())
+            else:
+                out += [known(p) or new(p) for p in self._pieces.findall(part)]
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         """Special tokens are kept; bytes that are no UTF-8 become U+FFFD; unknown ids are left out."""
@@ -124,25 +129,50 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(text: Column, path: str) -> Column:
-    """Ids of each text; NULL counts as empty, an empty text has none. ``path``: a tokenizer file every executor has."""
+def _int_lists(encoded: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), dtype=np.int32)))
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with the column ``ids`` in place of the text: an array of its ids.
+
+    NULL counts as empty, and an empty text has no ids. ``path``: a tokenizer file every executor has.
+    """
 
-    @pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches):
         bpe = load(path)
-        for texts in batches:
-            yield pd.Series([np.array(bpe.encode(t or ""), dtype=np.int32) for t in texts], dtype=object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                made = _int_lists([bpe.encode(t or "") for t in rows.column(text).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), made], [*kept, ids])
 
-    return encoded(text)
+    kept = [c for c in docs.columns if c != text]
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    return docs.mapInArrow(encoded, schema)
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The text of each array of ids; NULL and empty arrays give an empty text."""
+def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """``coded`` with the column ``text``: the text of its ids; NULL and empty arrays give an empty one."""
+    return _decoded(coded, path, ids, text, None)
 
-    @pandas_udf(T.StringType())
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = load(path)
-        for arrays in batches:
-            yield pd.Series([bpe.decode(a.tolist()) if a is not None else "" for a in arrays], dtype=object)
 
-    return decoded(ids)
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one go: ``docs`` with ids and the text decoded from them in place of the text."""
+    return _decoded(docs, path, ids, decoded, text)
+
+
+def _decoded(rows: DataFrame, path: str, ids: str, out: str, text: str | None) -> DataFrame:
+    def worked(batches):
+        bpe = load(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                coded = _int_lists([bpe.encode(t or "") for t in part.column(text).to_pylist()]) if text else part.column(ids)
+                texts = pa.array([bpe.decode(i or ()) for i in coded.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), coded, texts], [*kept, ids, out])
+
+    kept = [c for c in rows.columns if c not in (ids, out, text)]
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.StringType())]
+    return rows.mapInArrow(worked, T.StructType([*(rows.schema[c] for c in kept), *added]))

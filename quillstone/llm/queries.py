@@ -46,8 +46,7 @@ def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = _table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    return encoded.withColumn("decoded", bpe.decode(F.col("ids"), path)).select(
+    return bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
