@@ -157,14 +157,14 @@ def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bl
     found = find_duplicates(docs, text, key, block_bytes)
     lost = stage_table(found.filter(~F.col("kept")).select(F.col(key).alias("_key"), "keep_id", "text_sha256").distinct())
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    marked = docs.withColumn("_sha", sha)
-    gone = marked[key].eqNullSafe(lost["_key"]) & (marked["_sha"] == lost["text_sha256"])
+    marked = docs.withColumn("_exact_dedup_sha", sha)
+    gone = marked[key].eqNullSafe(lost["_key"]) & (marked["_exact_dedup_sha"] == lost["text_sha256"])
     other = ~lost["keep_id"].eqNullSafe(lost["_key"])
     stay = marked.join(lost.filter(other), gone, "left_anti")
     # Repeated rows of a key that stays itself: rare, taken once each.
     again = lost.filter(~other)
     if again.isEmpty():
-        return stay.drop("_sha")
-    rest = stay.join(again, stay[key].eqNullSafe(again["_key"]) & (stay["_sha"] == again["text_sha256"]), "left_anti")
-    once = stay.join(again, stay[key].eqNullSafe(again["_key"]) & (stay["_sha"] == again["text_sha256"]), "left_semi")
-    return rest.unionByName(once.dropDuplicates(["_sha", key])).drop("_sha")
+        return stay.drop("_exact_dedup_sha")
+    rest = stay.join(again, stay[key].eqNullSafe(again["_key"]) & (stay["_exact_dedup_sha"] == again["text_sha256"]), "left_anti")
+    once = stay.join(again, stay[key].eqNullSafe(again["_key"]) & (stay["_exact_dedup_sha"] == again["text_sha256"]), "left_semi")
+    return rest.unionByName(once.dropDuplicates(["_exact_dedup_sha", key])).drop("_exact_dedup_sha")

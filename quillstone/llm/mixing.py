@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.columns import quoted
 from ..session import stage_table
 
 SEED = 42
@@ -66,23 +67,27 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     Every copy goes to a partition chosen by the hash of its own random number ``_order`` and is
     sorted by it there, so each partition is a random sample of the whole mix in random order. See
     ``source_rates`` for the weights. Rows with equal keys draw equal numbers, so repeated rows are
-    repeated together; so are rows without a key. An empty table gives no rows.
+    repeated together; so are rows without a key. A column named ``_copy`` gives way to the
+    number of the copy. An empty table gives no rows.
     """
     # A row per source; written, so that Spark joins it by its true size.
     rates = stage_table(source_rates(docs, weights, total, source, size, temperature))
-    drawn = docs.join(rates, docs[source].eqNullSafe(rates["_source"]))
+    kept = [quoted(c) for c in docs.columns if c != "_copy"]
+    wrapped = docs.select(F.struct(*kept).alias("_row"), quoted(key).alias("_key"), quoted(source).alias("_of"))
+    drawn = wrapped.join(rates, wrapped["_of"].eqNullSafe(rates["_source"]))
 
     def count(u: Column) -> Column:
         return F.size(F.filter("_upto", lambda upto: upto <= u))
 
     more = F.aggregate(
-        F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, part: n + count(uniform(F.lit(f"{seed}:draw"), F.col(key), part))
+        F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, part: n + count(uniform(F.lit(f"{seed}:draw"), F.col("_key"), part))
     )
-    copies = F.when(F.col("_parts") == 1, count(uniform(F.lit(f"{seed}:draw"), F.col(key), F.lit(1)))).otherwise(more)
+    copies = F.when(F.col("_parts") == 1, count(uniform(F.lit(f"{seed}:draw"), F.col("_key"), F.lit(1)))).otherwise(more)
     placed = drawn.withColumn("_copies", copies).filter("_copies > 0")
-    out = placed.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
-    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col(key), F.col("_copy"))
-    return out.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order", key, "_copy").drop("_order")
+    out = placed.select("_row", "_key", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
+    order = F.xxhash64(F.lit(seed), F.lit("order"), F.col("_key"), F.col("_copy"))
+    dealt = out.select("_row", "_key", "_copy", order.alias("_order")).repartition("_order")
+    return dealt.sortWithinPartitions("_order", "_key", "_copy").select("_row.*", "_copy")
 
 
 ORACLE = """
