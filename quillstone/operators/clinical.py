@@ -687,11 +687,12 @@ def analyses(df: DataFrame, found: Mapping[str, Sequence[str]], roles: Mapping[s
 
 
 def analysis_batch(
-    df: DataFrame, names: Sequence[str], roles: Mapping[str, str], found: Mapping[str, Sequence[str]] | None = None
+    df: DataFrame, names: Sequence[str] | None, roles: Mapping[str, str], found: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
-    """Run named analyses on one table, evaluated once; each result row is one JSON text."""
+    """Run named analyses, or all of them, on one table, evaluated once; each result row is one JSON text."""
     table = stage_table(df)
     known = analyses(table, clinical_columns(table) if found is None else found, roles)
+    names = list(known) if names is None else names
     unknown = [n for n in names if n not in known]
     if unknown:
         raise ValueError(f"unknown analyses: {unknown}")

@@ -17,12 +17,17 @@ ENCODE_SHARE = 0.5
 
 
 def business_metrics(df: DataFrame, roles: Roles) -> DataFrame:
-    """Total_Revenue, Profit and Customer_Value (the customer's revenue sum on each row)."""
+    """Total_Revenue, Profit and Customer_Value (the customer's revenue sum on each row).
+
+    Without a price, a Total_Revenue column that is there already is used.
+    """
     out = df
     if "price" in roles:
         price = quoted(roles["price"])
         revenue = price * quoted(roles["quantity"]) if "quantity" in roles else price
-        out = out.withColumn("Total_Revenue", revenue).withColumn("Profit", F.col("Total_Revenue") * ASSUMED_MARGIN)
+        out = out.withColumn("Total_Revenue", revenue)
+    if "Total_Revenue" in out.columns and ("price" in roles or "Profit" not in out.columns):
+        out = out.withColumn("Profit", F.col("Total_Revenue") * ASSUMED_MARGIN)
     if "customer" in roles and "Total_Revenue" in out.columns:
         out = with_group_value(out, roles["customer"], Customer_Value=F.sum("Total_Revenue"))
     return out

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros
 from ..functions.grouping import time_columns
+from ..functions import roles
 from ..functions.roles import clinical_columns
-from ..operators import clean, transform
+from ..operators import clean, tables, transform
 from ..session import shared_folder
 from ..sources import files
 from ..sources.views import admissions, sales, table
@@ -81,6 +82,16 @@ def _metrics(spark, folder):
 
 
 
+def _plain_sales(spark, folder):
+    """Order lines with plain column names and the date as text, month first."""
+    joined = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(
+        F.col("l_orderkey").alias("TransactionNo"), F.col("l_linenumber").alias("LineNo"), F.col("o_custkey").alias("CustomerNo"),
+        F.col("l_returnflag").alias("Flag"), F.date_format("o_orderdate", "M/d/yyyy").alias("Date"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("Price"), F.col("l_quantity").alias("Quantity"),
+    )
+
+
 def _codes(column: str, source: str) -> str:
     return f"SELECT {column} AS v, dense_rank() OVER (ORDER BY {column}) - 1 AS code FROM (SELECT DISTINCT {column} FROM {source} WHERE {column} IS NOT NULL)"
 
@@ -146,6 +157,17 @@ def _file_names(spark, folder):
 
 _CUSTOMER_TEXT = "CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment"
 
+def _role_rows(spark, folder):
+    """What each sales role finds in order lines under plain names, as (role, column) rows."""
+    t = _plain_sales(spark, folder).withColumn("Country", F.lit("x")).withColumn("ProductName", F.concat(F.lit("part "), F.col("LineNo")))
+    found = {"date": [roles.sales_date_column(t)], "trend_date": [roles.trend_date_column(t)], "product_name": [roles.product_name_column(t)]}
+    found |= {"transform_date": list(roles.transform_date_columns(t)), "id": roles.id_columns(t), "price": roles.price_columns(t)}
+    found |= {"quantity": roles.quantity_columns(t), "categorical": list(roles.categorical_columns(t)), "text": tables.of_kind(t, lambda kind: kind.typeName() == "string").columns}
+    found |= {f"sales_{r}": [c] for r, c in roles.sales_roles(t).items()}
+    rows = [F.struct(F.lit(role).alias("role"), F.lit(c).alias("column")) for role, columns in found.items() for c in columns if c]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 QUERIES = {
     # sources and sinks
     "csv_round_trip": Query(
@@ -260,6 +282,26 @@ SELECT count(*) AS original_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM
   round(Price * Quantity * 0.2::DOUBLE, 2) AS Profit, round(sum(Price * Quantity) OVER (PARTITION BY CustomerNo), 2) AS Customer_Value FROM sales"""
         ),
     ),
+    "business_metrics_of_revenue": Query(
+        lambda s, d: transform.business_metrics(
+            sales(s, d, ["TransactionNo", "LineNo", "CustomerNo", "Total_Revenue"]).select("TransactionNo", "LineNo", "CustomerNo", F.col("Total_Revenue").cast("double").alias("Total_Revenue")),
+            {"customer": "CustomerNo"},
+        ).select("TransactionNo", "LineNo", *[F.round(c, 2).alias(c) for c in ("Profit", "Customer_Value")]),
+        on_sales(
+            """SELECT TransactionNo, LineNo, round(Total_Revenue::DOUBLE * 0.2::DOUBLE, 2) AS Profit,
+  round(sum(Total_Revenue::DOUBLE) OVER (PARTITION BY CustomerNo), 2) AS Customer_Value FROM sales"""
+        ),
+    ),
+    "transform_business": Query(
+        lambda s, d: transform.transform_business(_plain_sales(s, d), {"price": "Price", "quantity": "Quantity", "customer": "CustomerNo"}).select(
+            "TransactionNo", "LineNo", "Date_Year", "Date_Quarter", "Flag_Encoded", *[F.round(c, 2).alias(c) for c in ("Total_Revenue", "Profit", "Customer_Value")]
+        ),
+        """WITH t AS (SELECT l_orderkey AS TransactionNo, l_linenumber AS LineNo, o_custkey AS CustomerNo, l_returnflag AS Flag, o_orderdate AS Date,
+  l_extendedprice / l_quantity AS Price, l_quantity AS Quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT *, Price * Quantity AS r FROM t), f AS (SELECT Flag, dense_rank() OVER (ORDER BY Flag) - 1 AS code FROM (SELECT DISTINCT Flag FROM t))
+SELECT TransactionNo, LineNo, year(Date)::INTEGER AS "Date_Year", quarter(Date)::INTEGER AS "Date_Quarter", code::BIGINT AS "Flag_Encoded", round(r, 2) AS Total_Revenue,
+  round(r * 0.2::DOUBLE, 2) AS Profit, round(sum(r) OVER (PARTITION BY CustomerNo), 2) AS Customer_Value FROM m JOIN f USING (Flag)""",
+    ),
     "date_features_business": Query(
         lambda s, d: transform.date_features_business(texts(s, d)).drop("mixed"),
         """SELECT o_orderkey, o_orderdate AS iso, o_orderdate + to_seconds(800000000) AS epoch,
@@ -324,6 +366,7 @@ FROM t LEFT JOIN ({_codes('l_returnflag', 't')}) f ON f.v = t.l_returnflag LEFT
             + " FROM admissions"
         ),
     ),
+    "sales_roles_found": Query(_role_rows),
     "transform_healthcare": Query(
         lambda s, d: (lambda a: transform.transform_healthcare(a, clinical_columns(a)))(admissions(s, d))
     ),

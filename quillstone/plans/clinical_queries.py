@@ -97,8 +97,6 @@ _MONTHLY = """monthly AS (SELECT m AS month, (['Jan','Feb','Mar','Apr','May','Ju
 FROM range(1, 13) r(m) LEFT JOIN admissions ON month("Date of Admission") = m
   AND year("Date of Admission") = (SELECT max(year("Date of Admission")) FROM admissions) GROUP BY m)"""
 
-_BATCH = ["patient-demographics", "vital-signs", "clinical-pathways", "insurance-analysis", "treatment-costs", "data-quality"]
-
 QUERIES = {
     "demographics": Query(
         lambda s, d: job.demographics(admissions(s, d), "Age"),
@@ -391,5 +389,5 @@ UNION ALL SELECT 'risk', 'high_risk', count(*) FILTER (Age > 60) FROM admissions
             _MONTHLY,
         ),
     ),
-    "analysis_batch": Query(lambda s, d: job.analysis_batch(admissions(s, d), _BATCH, ROLES)),
+    "analysis_batch": Query(lambda s, d: job.analysis_batch(admissions(s, d), None, ROLES)),
 }
