@@ -16,6 +16,7 @@ Shards are read and written through ``pyarrow.fs``, so the folder may be on any
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -37,9 +38,13 @@ TRAILER = struct.Struct("<QIIQ8s")
 BLOCK_IDS = 1 << 16
 READ_IDS = 1 << 21  # of one byte range, unless a document has more
 ROWS_AT_ONCE = 500
+WORDS_AT_ONCE = 2_000  # of one call of the library
 CACHED_WORDS = 500_000  # per Python worker, some 100 MB
 
 
+_CLOSING = re.compile(rb"([a-z])([.,;:!?]+)(?=\s|\Z)")
+
+
 def bits_for(vocabulary_size: int) -> int:
     return max(1, (vocabulary_size - 1).bit_length())
 
@@ -123,10 +128,13 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 class WordEncoder:
-    """Ids by the ``tokenizers`` library, for a tokenizer that drops white space and never looks across it.
+    """Ids by the ``tokenizers`` library, for a tokenizer that lower-cases, drops white space and never looks across it.
 
     Then a text's ids are those of its words one after the other, so a word met before need not be
-    encoded again. Only ASCII white space separates words here; the library sees any other.
+    encoded again. Only ASCII white space separates words here; the library sees any other. A run
+    of punctuation after an ASCII letter is a word of its own, as it is to the tokenizer. New words
+    of nothing but letters go to the library many at a time, and the mark that ends a word in its
+    vocabulary tells their ids apart.
     """
 
     def __init__(self, path: str):
@@ -134,23 +142,44 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self.vocabulary_size = self._tokenizer.get_vocab_size()
+        vocabulary = self._tokenizer.get_vocab()
+        self.vocabulary_size = max(vocabulary.values()) + 1
+        with open(path, encoding="utf-8") as file:
+            mark = json.load(file)["model"].get("end_of_word_suffix")
+        self._ends = np.zeros(self.vocabulary_size, bool)
+        self._ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
         self._known: dict[bytes, bytes] = {}
 
+    def _learn(self, new: list[bytes]) -> None:
+        text = [w.decode() for w in new]
+        one_by_one = [n for n, w in enumerate(text) if not w.isalpha()]
+        letters = [n for n, w in enumerate(text) if w.isalpha()]
+        for at in range(0, len(letters), WORDS_AT_ONCE):
+            part = letters[at : at + WORDS_AT_ONCE]
+            ids = np.array(self._encode([" ".join([text[n] for n in part])])[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(ends) != len(part):  # the library takes some of them for more than one word
+                one_by_one += part
+                continue
+            raw, begin = ids.tobytes(), 0
+            for n, end in zip(part, ends.tolist()):
+                self._known[new[n]] = raw[begin:end]
+                begin = end
+        for at in range(0, len(one_by_one), WORDS_AT_ONCE):
+            part = one_by_one[at : at + WORDS_AT_ONCE]
+            self._known.update((new[n], array("I", e.ids).tobytes()) for n, e in zip(part, self._encode([text[n] for n in part])))
+
+    def _encode(self, texts: list[str]):
+        return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        known, found = self._known, []
+        known = self._known
         if len(known) > CACHED_WORDS:
             known.clear()
-        split = [(t or "").encode().split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            encoded = self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, encoded))
-        for words in split:
-            found.append(b"".join([known[w] for w in words]))
-        return found
+        split = [_CLOSING.sub(rb"\1 \2", (t or "").encode().lower()).split() for t in texts]
+        self._learn(list({w for words in split for w in words if w not in known}))
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 @cache
