@@ -159,7 +159,10 @@ def risk_sizes(factors: DataFrame) -> DataFrame:
 
 
 def _pattern(words: Sequence[str], escape: bool = True) -> str:
-    return "|".join(re.escape(w) if escape else w for w in words)
+    """Any of the words, as whole words; without ``escape`` the plain alternation, also inside other words."""
+    if not escape:
+        return "|".join(words)
+    return r"(^|[^\p{L}\p{N}])(" + "|".join(map(re.escape, words)) + r")($|[^\p{L}\p{N}])"
 
 
 def _readings(

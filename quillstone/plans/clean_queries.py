@@ -204,7 +204,10 @@ UNION ALL SELECT 'customer', count(*), 5 FROM customer UNION ALL SELECT 'supplie
         lambda s, d: files.page(table(s, d, "customer"), ["c_acctbal", "c_custkey"], 25, 3),
         "SELECT * FROM customer ORDER BY c_acctbal, c_custkey LIMIT 25 OFFSET 75",
     ),
-    "stable_sample": Query(lambda s, d: files.stable_sample(table(s, d, "orders"), ["o_orderkey"], 5000)),
+    "stable_sample": Query(
+        lambda s, d: files.stable_sample(table(s, d, "orders"), ["o_orderkey"], 1000).select("o_orderkey"),
+        "SELECT o_orderkey FROM orders ORDER BY ('0x' || substr(md5('sample:42:' || o_orderkey), 1, 13))::BIGINT, o_orderkey LIMIT 1000",
+    ),
     "catalogue_search": Query(
         lambda s, d: files.catalogue_search(
             table(s, d, "documents").withColumn("keywords", F.array("lang", "source")), "THEN", ["text"], "keywords"

@@ -48,7 +48,7 @@ def _numeric_reading(c: str, one: float, two: float) -> str:
 
 
 def _words(words) -> str:
-    return "|".join(w.replace("+", "\\+") for w in words)
+    return r"(^|[^\p{L}\p{N}])(" + "|".join(w.replace("+", "\\+") for w in words) + r")($|[^\p{L}\p{N}])"
 
 
 def _text_reading(c: str, abnormal, critical) -> str:

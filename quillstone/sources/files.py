@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.columns import NUMBER_PATTERN, quoted
+from ..functions.columns import NUMBER_PATTERN, chance, quoted
 
 PREVIEW_ROWS = 50
 # CSV fields that mean "missing".
@@ -162,17 +162,16 @@ def export_text(df: DataFrame, blank: str = "N/A") -> DataFrame:
 
 
 def stable_sample(df: DataFrame, keys: Sequence[str], rows: int = ML_SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """A fixed number of rows drawn by the hash of their keys: the same rows on every run.
+    """A fixed number of rows with the lowest draws by their keys: the same rows on every run.
 
-    In a large table only rows with a low hash are put in order, about twice as many as wanted.
+    In a large table only rows with a low draw are put in order, about twice as many as wanted.
     """
     columns = [quoted(k) for k in keys]
-    draw = F.xxhash64(*columns, F.lit(seed))
+    draw = chance(columns, seed, "sample")
     pool = df
     total = df.count()
     if total > 4 * rows:
-        low = -(1 << 63)
-        near = df.filter(draw < F.lit(low + int((1 << 64) * (2.0 * rows / total))))
+        near = df.filter(draw < 2.0 * rows / total)
         # Keys that repeat a lot may leave too few rows below the bound.
         pool = near if near.count() >= rows else df
     return pool.orderBy(draw, *columns).limit(rows)
