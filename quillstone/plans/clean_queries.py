@@ -204,6 +204,11 @@ UNION ALL SELECT 'customer', count(*), 5 FROM customer UNION ALL SELECT 'supplie
         lambda s, d: files.page(table(s, d, "customer"), ["c_acctbal", "c_custkey"], 25, 3),
         "SELECT * FROM customer ORDER BY c_acctbal, c_custkey LIMIT 25 OFFSET 75",
     ),
+    "page_after": Query(
+        lambda s, d: files.page_after(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"], 100, [50, 2]),
+        """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey > 50 OR l_orderkey = 50 AND l_linenumber > 2
+ORDER BY l_orderkey, l_linenumber LIMIT 100""",
+    ),
     "stable_sample": Query(
         lambda s, d: files.stable_sample(table(s, d, "orders"), ["o_orderkey"], 1000).select("o_orderkey"),
         "SELECT o_orderkey FROM orders ORDER BY ('0x' || substr(md5('sample:42:' || o_orderkey), 1, 13))::BIGINT, o_orderkey LIMIT 1000",

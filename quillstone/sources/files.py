@@ -146,10 +146,21 @@ def first_rows(df: DataFrame, rows: int, order_by: Sequence[str] = ()) -> DataFr
 
 
 def page(df: DataFrame, order_by: Sequence[str], size: int, number: int) -> DataFrame:
-    """Page ``number`` (from 0) of an ordered table."""
+    """Page ``number`` (from 0) of an ordered table. Deep pages put all rows before them in order; see ``page_after``."""
     return df.orderBy(*[quoted(c) for c in order_by]).offset(size * number).limit(size)
 
 
+def page_after(df: DataFrame, order_by: Sequence[str], size: int, last: Sequence | None = None) -> DataFrame:
+    """The page after the row whose ``order_by`` values are ``last``, or the first page.
+
+    However deep the page is, only ``size`` rows of each task are put in order. The columns must hold
+    no NULL, and name each row once.
+    """
+    columns = [quoted(c) for c in order_by]
+    later = df if last is None else df.filter(F.struct(*columns) > F.struct(*[F.lit(v).alias(c) for v, c in zip(last, order_by)]))
+    return later.orderBy(*columns).limit(size)
+
+
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS, order_by: Sequence[str] = ()) -> DataFrame:
     """The first rows with every value as text; NULL stays NULL."""
     head = first_rows(df, rows, order_by)
