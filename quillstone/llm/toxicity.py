@@ -164,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     named = named.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("label"))
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.lit("toxicity"), F.col("_key")))
     chosen = named.withColumn("_draw", draw).orderBy("_draw", "_key").limit(labelled_rows)
-    place = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    # Other digits than those by which the rows were chosen.
+    place = F.conv(F.substring("_draw", 17, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     part = F.when(place < PARTS[0], "lexicon").when(place < PARTS[1], "trees").otherwise("calibration")
     chosen = stage_table(chosen.select("_key", "label", part.alias("part")))
     # The chosen keys are bounded by ``labelled_rows``.
