@@ -28,7 +28,8 @@ def uniform(*parts: Column) -> Column:
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, source: str = "source", size: str | None = None, temperature: float = 2.0) -> DataFrame:
     """One row per source: its mean repetition rate, in ``parts`` equal parts, and the distribution of one part.
 
-    ``weights`` has the columns source and weight; sources without a weight get none of the mix.
+    ``weights`` has the columns source and weight; weights are shares among the sources that occur, and
+    sources without a weight get none of the mix.
     Without it a source weighs its size to the power 1 / temperature. ``size`` names the column a
     source is measured by (NULL counts as 0); without it, by documents. ``total`` is the size of
     the mix, by default that of ``docs``. A NULL source is a source of its own.

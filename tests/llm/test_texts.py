@@ -30,7 +30,7 @@ def test_mix_reaches_its_weights(spark):
     got = mixing.mix(df, weights, total=40000, key="id")
     sizes = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
     assert got.columns == [*df.columns, "_copy"] and set(sizes) == {"big", "small"}
-    assert abs(sizes["big"] / 8000 - 1) < 0.05 and abs(sizes["small"] / 24000 - 1) < 0.05
+    assert abs(sizes["big"] / 10000 - 1) < 0.05 and abs(sizes["small"] / 30000 - 1) < 0.05
     again = mixing.mix(df.repartition(5), weights, total=40000, key="id")
     assert again.exceptAll(got).isEmpty() and got.exceptAll(again).isEmpty()
 
@@ -129,6 +129,14 @@ def test_toxicity_of_held_out_documents(spark):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_a_part_of_the_labels(spark):
+    docs, labels = _toxic_corpus(spark)
+    model = toxicity.fit(docs, labels, labelled_rows=300)
+    assert model.trees is not None
+    got = toxicity.score(docs, labels, labelled_rows=300).join(labels, "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) > 0.98 * len(got)
+
+
 def test_toxicity_without_two_classes(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
