@@ -27,7 +27,7 @@ SAMPLED_DOCS = 1_000
 SAMPLED_PARAGRAPHS = 6_000
 VARIANTS = 24  # of each notice
 SEGMENT_WORDS, SEGMENT_STEP = 60, 30  # a longer paragraph is scanned in overlapping segments
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
 UNKNOWN = "unknown"
 UNKNOWN_PASSED = 0.001
@@ -172,7 +172,7 @@ def _examples(docs: DataFrame, text: str, key: str, sampled_docs: int, sampled_p
     known = paired.select(F.col("family"), whole.alias("_words"), (F.col("variant") % 4 == 3).alias("kept_back"))
     every = known.unionByName(unknown.select(F.lit(UNKNOWN).alias("family"), "_words", "kept_back"))
     label = reduce(lambda made, n: made.when(F.col("family") == CLASSES[n], float(n)), range(1, len(CLASSES)), F.when(F.col("family") == UNKNOWN, 0.0))
-    examples = stage_table(every.select(label.alias("label"), "kept_back", "_words").repartition(4))
+    examples = stage_table(every.select(label.alias("label"), "kept_back", "_words").repartition(2))
     release(chosen, foreign)
     return examples
 
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sampled_docs:
     examples = _examples(docs, text, key, sampled_docs, sampled_paragraphs)
     vectors = stage_table(_vectors(examples).select("label", "kept_back", "_features"))
     regression = LogisticRegression(
-        featuresCol="_features", rawPredictionCol="_margins", probabilityCol="_p", predictionCol="_class", family="multinomial", maxIter=40, regParam=1e-4, standardization=False
+        featuresCol="_features", rawPredictionCol="_margins", probabilityCol="_p", predictionCol="_class", family="multinomial", maxIter=30, regParam=1e-4, standardization=False
     ).fit(vectors.filter("NOT kept_back"))
     raw = regression.transform(vectors.filter("kept_back")).select("label", vector_to_array("_margins").alias("m"))
     raw = stage_table(raw)
