@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from quillstone.functions import roles
+from quillstone.functions.columns import chance
 from quillstone.operators import anomaly, clean, clinical, labels, models, profile, sales, tables, transform
 from quillstone.session import scratch, shared_folder
 from quillstone.sources import files
@@ -526,7 +527,7 @@ def test_first_rows_and_pages(spark):
 def test_sample_of_a_large_table(spark):
     df = spark.range(5000).withColumn("same", F.lit(1))
     picked = files.stable_sample(df, ["id"], 50)
-    want = df.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(50)
+    want = df.orderBy(chance([F.col("id")], 42, "sample"), "id").limit(50)
     assert picked.exceptAll(want).count() == 0 and picked.count() == 50
     assert files.stable_sample(df, ["same"], 50).count() == 50
 
