@@ -121,7 +121,11 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id
 
     Rows without a key belong to nobody's group and stay.
     """
-    found = near_duplicates(docs, text, key)
+    return keep_first(docs, near_duplicates(docs, text, key), key)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """As above, by the key and component_id of ``found``."""
     lost = stage_table(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_key")).distinct())
     stay = docs.join(lost, docs[key] == lost["_key"], "left_anti")
     again = stage_table(docs.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(F.col(key).alias("_key")))

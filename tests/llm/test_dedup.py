@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, golay, simhash
+import corpus_pipeline
+from quillstone.llm import exact_dedup, golay, setjoin, simhash
 from quillstone.llm.components import components
 
 from . import brute
@@ -109,3 +110,54 @@ def test_near_odd_rows(spark):
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 5, 6, 8]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def _likeness(a, b):
+    sets = []
+    for text in (a, b):
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def _alike_groups(rows, least=0.8):
+    """{doc_id: component_id} by comparing all pairs."""
+    group = {doc: doc for doc, _ in rows}
+    for n, (a, one) in enumerate(rows):
+        for b, other in rows[n + 1 :]:
+            if group[a] != group[b] and _likeness(one, other) >= least:
+                low, high = sorted((group[a], group[b]))
+                group = {doc: low if g == high else g for doc, g in group.items()}
+    return group
+
+
+def test_near_copies_by_shingle_sets(spark):
+    draw = random.Random(5)
+    rows = []
+    for base in range(12):
+        words = ["w%d" % draw.randrange(5000) for _ in range(draw.choice([7, 100, 200, 300]))]
+        for copy in range(90 if base == 0 else 4):
+            changed = list(words)
+            for _ in range(draw.randrange(0, max(2, len(words) // 40))):
+                changed[draw.randrange(len(words))] = "x%d" % draw.randrange(5000)
+            # A line in every text, as boilerplate is.
+            rows.append((len(rows) * 7 % 1009, " ".join(changed) + " all of these texts end with the same ten words"))
+    rows += [(5001, "One two  three"), (5002, "one two three"), (5003, ""), (5004, None), (5005, " \n"), (5006, "one two four")]
+    likes = [_likeness(a, b) for n, (_, a) in enumerate(rows) for _, b in rows[n + 1 :]]
+    assert any(0.8 <= x < 0.95 for x in likes) and any(0.6 <= x < 0.8 for x in likes)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("print", F.lit("p"))
+    got = {r["doc_id"]: r["component_id"] for r in setjoin.near_duplicates(df).collect()}
+    assert got == _alike_groups(rows)
+    kept = setjoin.drop_near_duplicates(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
+    assert setjoin.near_duplicates(df.limit(0)).count() == 0
+    again = setjoin.near_duplicates(spark.createDataFrame(ODD, SCHEMA)).collect()
+    assert len(again) == len(ODD) and {r["component_id"] for r in again if r["doc_id"] in (2, 3)} == {2}
+
+
+def test_pipeline_drops_near_copies(spark):
+    text = " ".join("w%d" % n for n in range(200))
+    rows = [(n, text.replace("w%d " % (n * 20 + 90), "other ") if n else text, "en", "web", 1000) for n in range(5)]
+    assert all(0.8 <= _likeness(text, r[1]) < 1 for r in rows[1:]) and len({r[1] for r in rows}) == 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near(spark, docs, "").collect()] == [0]
