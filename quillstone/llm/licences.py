@@ -98,6 +98,8 @@ NOTICES = {
     "All rights reserved": (
         "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
+        "All rights reserved.",
+        "Copyright (c) 2020 Example Company. All rights reserved.",
     ),
 }
 #: Paragraphs that use such words and are no notice.

@@ -167,6 +167,17 @@ def test_licence_notices_are_found(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_short_reservations_are_found(spark):
+    """Every licence line of the given documents, and short notices of other owners."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = given.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    planted = {(r["doc_id"], r["paragraph"]) for r in lines.filter(F.trim("line") == "All rights reserved.").collect()}
+    more = [(10**9, "Some words.\nCopyright 2020 Foo. All rights reserved."), (10**9 + 1, "All tables were reserved.")]
+    found = licences.scan(given.union(spark.createDataFrame(more, given.schema))).filter("family = 'All rights reserved'").collect()
+    got = {(r["doc_id"], r["paragraph"]) for r in found}
+    assert planted and planted | {(10**9, 1)} <= got and (10**9 + 1, 0) not in got
+
+
 def test_pipeline_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
