@@ -138,6 +138,25 @@ def segments(docs: DataFrame, text: str, key: str) -> DataFrame:
     return cut.select("_key", "paragraph", "first_word", F.slice("_all", F.col("first_word") + 1, F.lit(SEGMENT_WORDS)).alias("_words"))
 
 
+def wrapped(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(_key, paragraph, first_word, last_paragraph, _words): overlapping segments of the whole texts that
+    hold words of several lines; paragraph and first_word tell where a segment starts."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line, i: F.struct(words(line).alias("found"), i.alias("line")))
+    several = F.filter(lines, lambda x: F.size(x["found"]) > 0)
+    worded = docs.select(F.col(key).alias("_key"), several.alias("_lines")).filter(F.size("_lines") > 1)
+    placed = F.flatten(F.transform("_lines", lambda x: F.transform(x["found"], lambda w, i: F.struct(w.alias("word"), x["line"].alias("line"), i.alias("place")))))
+    flat = worded.select("_key", placed.alias("_all"))
+    last = F.greatest(F.size("_all") - SEGMENT_WORDS + SEGMENT_STEP - 1, F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), last, F.lit(SEGMENT_STEP)), lambda at: F.slice("_all", at + 1, F.lit(SEGMENT_WORDS)))
+    # Only segments leave this step, not the whole text with each.
+    parts = flat.select("_key", F.explode(F.filter(cut, lambda part: F.get(part, F.lit(0))["line"] < F.element_at(part, -1)["line"])).alias("_part"))
+    first = F.get("_part", F.lit(0))
+    return parts.select(
+        "_key", first["line"].alias("paragraph"), first["place"].alias("first_word"), F.element_at("_part", -1)["line"].alias("last_paragraph"),
+        F.col("_part")["word"].alias("_words"),
+    )
+
+
 def _vectors(worded: DataFrame) -> DataFrame:
     terms = worded.withColumn("_terms", F.concat("_words", _pairs("_words")))
     return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="_terms", outputCol="_features").transform(terms).drop("_terms")
@@ -222,16 +241,24 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sampled_docs:
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """A row for each segment of a paragraph with a licence: the key, paragraph (number of the line, from 0),
+    """A row for each segment with a licence: the key, paragraph (number of its first line, from 0),
     first_word, family, probability, similarity and confirmed.
 
+    Lines are scanned one by one, and segments over several lines too, so that wrapped notices are
+    seen whole. A segment over several lines counts if none of its lines has the family by itself.
+
     The similarity is the share of word trigrams that the segment has in common with a notice of the
     family, over the smaller of the two, at best; from one half on the prediction is confirmed.
     NULL and empty texts have no paragraphs; repeated rows are each scanned; other columns are not
     looked at. A paragraph of more than 60 words is scanned in segments that overlap by 30.
     """
     scanner = fit(docs, text, key, **options)
-    found = scanner.predict(segments(docs, text, key)).filter(F.col("family") != UNKNOWN)
+    single = stage_table(scanner.predict(segments(docs, text, key)).filter(F.col("family") != UNKNOWN))
+    over = scanner.predict(wrapped(docs, text, key)).filter(F.col("family") != UNKNOWN)
+    lines = single.select(F.col("_key").alias("_there"), F.col("paragraph").alias("_line"), F.col("family").alias("_family")).distinct()
+    same = over["_key"].eqNullSafe(lines["_there"]) & (over["family"] == lines["_family"])
+    over = over.join(lines, same & lines["_line"].between(over["paragraph"], over["last_paragraph"]), "left_anti")
+    found = single.unionByName(over.drop("last_paragraph"))
     found = found.withColumn("_grams", F.array_distinct(_grams("_words", GRAM)))
     notices = _literal(docs.sparkSession, [(f, n) for f, texts in NOTICES.items() for n in texts])
     notices = notices.select("family", words(F.col("notice")).alias("_notice")).select("family", F.array_distinct(_grams("_notice", GRAM)).alias("_own"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import textwrap
 import zlib
 
 import pytest
@@ -178,6 +179,15 @@ def test_short_reservations_are_found(spark):
     assert planted and planted | {(10**9, 1)} <= got and (10**9 + 1, 0) not in got
 
 
+@pytest.mark.parametrize("columns", [40, 72])
+def test_wrapped_notices_are_found(spark, columns):
+    plain = [(n, "\n".join("Some words about a river and a mountain %d" % (n + i) for i in range(30))) for n in range(60)]
+    long = [(f, t) for f, texts in licences.NOTICES.items() for t in texts if len(t) > 160]
+    rows = [(100 + n, "A line before.\n\n# " + textwrap.fill(t, columns).replace("\n", "\n# ") + "\n\nAnd more words behind it.") for n, (_, t) in enumerate(long)]
+    got = licences.scan(spark.createDataFrame(plain + rows, DOCS)).filter("confirmed").collect()
+    assert {(100 + n, f) for n, (f, _) in enumerate(long)} <= {(r["doc_id"], r["family"]) for r in got} and min(r["doc_id"] for r in got) >= 100
+
+
 def test_pipeline_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
