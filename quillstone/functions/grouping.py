@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .columns import is_numeric, quoted
 from .ordering import row_index
 
 SMALL_CATEGORIES = 100_000
+PAIR_BLOCK, PAIR_ROWS = 256, 256
 
 
 def with_group_value(df: DataFrame, key: str, **values: Column) -> DataFrame:
@@ -89,30 +90,76 @@ def time_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, kinds)]
 
 
-def pair_products(df: DataFrame, owner: str, slot: str, amount: str, size: int) -> DataFrame:
-    """(a, b, total): for slots a <= b, the sum over owners of amount[a] * amount[b].
-
-    ``size`` is the number of slots, a small fixed bound. Each owner is one row of at most
-    ``size`` amounts; a task adds up owner rows as matrix products, so no pair rows are made
-    per owner and a task sends at most size * (size + 1) / 2 partial sums to the shuffle.
+def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of lists of (slot, amount), and their values."""
+    flat = column.flatten()
+    return np.diff(column.offsets.to_numpy()), flat.field("slot").to_numpy(), flat.field("amount").to_numpy()
+
+
+def _add_products(total: np.ndarray, left: pa.Array, right: pa.Array) -> None:
+    """Add the sum over rows of left amounts times right amounts to ``total``, by slots."""
+    (n, a, x), (m, b, y) = _cells(left), _cells(right)
+    block = len(total)
+    pairs = n.astype(np.int64) * m
+    if 16 * pairs.sum() > len(n) * block * block:  # full rows: as matrices
+        sides = []
+        for sizes, slots, amounts in ((n, a, x), (m, b, y)):
+            side = np.zeros((len(sizes), block))
+            side[np.repeat(np.arange(len(sizes)), sizes), slots] = amounts
+            sides.append(side)
+        total += sides[0].T @ sides[1]
+        return
+    # Each left value meets the right values of its row.
+    meets = np.repeat(m, n)
+    first = np.repeat(np.cumsum(m) - m, n)
+    one = np.repeat(np.arange(len(a)), meets)
+    other = np.repeat(first - (np.cumsum(meets) - meets), meets) + np.arange(len(one))
+    np.add.at(total, (a[one], b[other]), x[one] * y[other])
+
+
+def pair_products(df: DataFrame, owner: str, slot: str, amount: str, block: int = PAIR_BLOCK, least: int = 0) -> DataFrame:
+    """(a, b, total): for slots a <= b, b at least ``least``, the sum over owners of amount[a] * amount[b].
+
+    ``df`` has a slot of an owner once. Slots are cut into blocks; an owner's slots of a block are one row,
+    and such rows meet for each pair of the owner's blocks. A task goes through one pair of blocks after
+    another and adds up block by block products, so it holds one of those at a time, however many
+    slots there are, and only sums leave it.
     """
-    baskets = df.groupBy(owner).agg(
-        F.collect_list(F.col(slot).cast("int")).alias("slots"),
-        F.collect_list(F.col(amount).cast("double")).alias("amounts"),
-    )
-
-    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
+    placed = df.select(
+        F.col(owner).alias("owner"), F.floor(F.col(slot) / block).alias("block"),
+        F.struct((F.col(slot) % block).cast("int").alias("slot"), F.col(amount).cast("double").alias("amount")).alias("cell"),
+    )
+    # At most ``block`` cells a row; all of an owner's rows meet without another exchange.
+    rows = placed.repartition("owner").groupBy("owner", "block").agg(F.collect_list("cell").alias("cells"))
+    left = rows.select("owner", F.col("block").alias("i"), F.col("cells").alias("left"))
+    right = rows.filter((F.col("block") + 1) * block > least).select("owner", F.col("block").alias("j"), F.col("cells").alias("right"))
+    paired = left.join(right, "owner").filter("i <= j").select("i", "j", "left", "right").sortWithinPartitions("i", "j")
+
+    def sums(total: np.ndarray, i: int, j: int) -> pa.RecordBatch:
+        a, b = np.nonzero(np.triu(total) if i == j else total)
+        part = total[a, b]
+        a, b = a + i * block, b + j * block
+        kept = b >= least
+        return pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in (a, b, part)], ["a", "b", "part"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now = np.zeros((block, block)), None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            lengths = batch["slots"].map(len).to_numpy()
-            rows = np.repeat(np.arange(len(batch)), lengths)
-            matrix = np.zeros((len(batch), size))
-            matrix[rows, np.concatenate(batch["slots"].to_numpy())] = np.concatenate(batch["amounts"].to_numpy())
-            total += matrix.T @ matrix
-        a, b = np.nonzero(np.triu(total))
-        yield pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"), "part": total[a, b]})
-
-    parts = baskets.select("slots", "amounts").mapInPandas(add_up, "a int, b int, part double")
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            edges = np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for begin, end in zip([0, *edges], [*edges, len(i)]):
+                if now != (i[begin], j[begin]):
+                    if now is not None:
+                        yield sums(total, *now)
+                        total[:] = 0
+                    now = i[begin], j[begin]
+                for at in range(begin, end, PAIR_ROWS):
+                    part = batch.slice(at, min(PAIR_ROWS, end - at))
+                    _add_products(total, part.column("left"), part.column("right"))
+        if now is not None:
+            yield sums(total, *now)
+
+    parts = paired.mapInArrow(add_up, "a long, b long, part double")
     return parts.groupBy("a", "b").agg(F.sum("part").alias("total"))

@@ -19,16 +19,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import chance, date_parts, quoted
 from ..functions.grouping import distinct_sizes, pair_products, top_per, with_codes
-from ..session import shared_folder, spread_out, stage, stage_table
+from ..functions.ordering import row_index
+from ..session import release, shared_folder, spread_out, stage, stage_table
 from . import labels
-from .sales import Roles, _date_of, popular_products
+from .sales import Roles, _date_of, popular_products, ranked_products
 
 SEED = 42
 TEST_SHARE = 0.2
 TREES, DEPTH = 100, 10
 BOOST_ROUNDS, BOOST_DEPTH = 100, 5
 MIN_ROWS = 20
-SIMILAR_PRODUCTS = 300
 
 
 @dataclass(frozen=True)
@@ -270,40 +270,53 @@ def segments(df: DataFrame, roles: Roles, k: int = 5) -> Trained:
     return Trained(report, scored)
 
 
-def item_similarity(df: DataFrame, roles: Roles, products: int = SIMILAR_PRODUCTS, k: int = 5) -> DataFrame:
-    """The k most similar products of each popular product.
+def item_similarity(df: DataFrame, roles: Roles, k: int = 5, products: int | None = None) -> DataFrame:
+    """The k most similar products of each product, by falling similarity, then by name.
 
-    Similarity is the correlation of purchase counts over all customers who bought any of the
-    products. It comes from sums of products of counts; the dense matrix is never built.
+    Similarity is the correlation of purchase counts over all customers who bought any product. It comes
+    from sums of products of counts; the dense matrix is never built. Two products without a common
+    customer correlate below zero, by a factor of each: for a product with fewer than k others
+    at zero or above, those are taken from the list of all products by that factor, as many more than
+    k as the product has partners, so enough are left that are none.
+
+    ``products`` keeps that many of the most frequent products only.
     """
-    names = stage(popular_products(df, roles, products))
     facts = df.select(quoted(roles["customer"]).alias("customer"), quoted(roles["product"]).alias("product"))
-    counts = stage_table(
-        facts.filter(F.col("customer").isNotNull())
-        .join(F.broadcast(names.select("product", "slot")), "product")
-        .groupBy("customer", "slot")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    customers = counts.select("customer").distinct().count()
-    size = names.count()
-    sums = counts.groupBy("slot").agg(F.sum("n").cast("double").alias("s"), F.sum(F.col("n") * F.col("n")).cast("double").alias("q"))
-    products_xy = pair_products(counts, "customer", "slot", "n", size)
-    both = products_xy.select("a", "b", "total").unionByName(
-        products_xy.filter(F.col("a") < F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "total")
-    )
-    # From here on at most size * size rows; pairs without a common customer count as 0.
-    named = names.join(F.broadcast(sums), "slot")
-    left = named.select(F.col("slot").alias("a"), F.col("product"), F.col("s").alias("sa"), F.col("q").alias("qa"))
-    right = named.select(F.col("slot").alias("b"), F.col("product").alias("similar_product"), F.col("s").alias("sb"), F.col("q").alias("qb"))
-    grid = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(max(size - 1, 0))))).filter(F.col("a") != F.col("b"))
-    pairs = grid.join(F.broadcast(right), "b").join(both, ["a", "b"], "left")
-    n = F.lit(float(customers))
-    covered = n * F.coalesce("total", F.lit(0.0)) - F.col("sa") * F.col("sb")
-    spread = F.sqrt((n * F.col("qa") - F.col("sa") * F.col("sa")) * (n * F.col("qb") - F.col("sb") * F.col("sb")))
-    scored = pairs.withColumn("similarity", F.try_divide(covered, spread)).filter(F.col("similarity").isNotNull())
-    ranked = scored.withColumn("rounded", F.round("similarity", 6))
-    best = top_per(ranked, ["product"], [F.desc("rounded"), F.asc("similar_product")], k)
-    return best.select("product", "rank", "similar_product", F.col("rounded").alias("similarity"))
+    facts = facts.filter(F.col("customer").isNotNull() & F.col("product").isNotNull())
+    if products is not None:
+        facts = facts.join(stage(popular_products(df, roles, products)).select("product"), "product")
+    counts = stage_table(facts.groupBy("customer", "product").agg(F.count(F.lit(1)).alias("n")))
+    customers = F.lit(float(counts.select("customer").distinct().count()))
+    names = ranked_products(counts)
+    placed = stage_table(counts.join(names, "product").select("customer", "slot", "n"))
+    sums = placed.groupBy("slot").agg(F.sum("n").cast("double").alias("s"), F.sum(F.col("n") * F.col("n")).cast("double").alias("q"))
+    spread = customers * F.col("q") - F.col("s") * F.col("s")
+    # A product that all customers bought equally often has no correlation.
+    named = names.join(sums, "slot").select("slot", "product", "s", spread.alias("v"), (F.col("s") / F.sqrt(spread)).alias("f")).filter("v > 0")
+    named = stage_table(row_index(named, ["f", "product"], "place", unique=True))
+    release(counts, names)
+
+    def side(slot: str, product: str, s: str, v: str) -> DataFrame:
+        return named.select(F.col("slot").alias(slot), F.col("product").alias(product), F.col("s").alias(s), F.col("v").alias(v))
+
+    totals = pair_products(placed, "customer", "slot", "n").filter("a < b")
+    both = totals.union(totals.select("b", "a", "total"))
+    mine, theirs = side("a", "product", "sa", "va"), side("b", "similar_product", "sb", "vb")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        covered = customers * F.col("total") - F.col("sa") * F.col("sb")
+        return pairs.join(mine, "a").join(theirs, "b").select("a", "b", "product", "similar_product", (covered / F.sqrt(F.col("va") * F.col("vb"))).alias("raw"))
+
+    met = stage_table(scored(both))
+    release(placed)
+    own = met.groupBy("a").agg(F.count(F.lit(1)).alias("partners"), F.count(F.when(F.col("raw") >= 0, 1)).alias("good"))
+    short = named.select(F.col("slot").alias("a")).join(own, "a", "left").filter(F.coalesce("good", F.lit(0)) < k)
+    upto = F.coalesce("partners", F.lit(0)) + k
+    listed = short.select("a", F.explode(F.sequence(F.lit(0).cast("long"), upto)).alias("place"))
+    others = listed.join(named.select("place", F.col("slot").alias("b")), "place").filter("a <> b").select("a", "b")
+    strangers = others.join(met.select("a", "b"), ["a", "b"], "left_anti").withColumn("total", F.lit(0.0))
+    best = top_per(met.unionByName(scored(strangers)), ["product"], [F.desc("raw"), F.asc("similar_product")], k)
+    return best.select("product", "rank", "similar_product", F.round("raw", 6).alias("similarity"))
 
 
 def item_popularity(df: DataFrame, roles: Roles, k: int = 20) -> DataFrame:

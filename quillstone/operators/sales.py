@@ -24,14 +24,14 @@ from ..functions.columns import (
 from ..functions.grouping import pair_products
 from ..functions.ordering import row_index
 from ..functions.quantiles import exact_quantiles, value_at_rank
-from ..session import stage, stage_table
+from ..session import release, stage, stage_table
 
 Roles = Mapping[str, str]
 
 # Margin assumed when a table has no profit column.
 ASSUMED_MARGIN = 0.2
 DAYS_PER_MONTH = 30.44
-PAIR_PRODUCTS = 200
+FIRST_PRODUCTS = 256  # whose pairs are counted first
 
 # Segment of a recency-frequency-money score; the first list that holds it wins.
 SEGMENTS = (
@@ -398,21 +398,65 @@ def popular_products(df: DataFrame, roles: Roles, k: int) -> DataFrame:
     return top.withColumn("slot", F.row_number().over(Window.orderBy("product")) - 1)
 
 
-def co_purchases(df: DataFrame, roles: Roles, products: int = PAIR_PRODUCTS) -> DataFrame:
-    """How many customers bought both of two popular products."""
-    names = stage(popular_products(df, roles, products))
-    facts = _facts(df, roles, "customer", "product").filter(F.col("customer").isNotNull())
-    bought = facts.join(F.broadcast(names), "product").select("customer", "slot").distinct().withColumn("one", F.lit(1))
-    pairs = pair_products(bought, "customer", "slot", "one", products).filter(F.col("a") < F.col("b"))
-    left = names.select(F.col("slot").alias("a"), F.col("product").alias("product_a"))
-    right = names.select(F.col("slot").alias("b"), F.col("product").alias("product_b"))
-    return pairs.join(F.broadcast(left), "a").join(F.broadcast(right), "b").select(
-        "product_a", "product_b", F.col("total").cast("long").alias("co_purchases")
+def _bought(df: DataFrame, roles: Roles) -> DataFrame:
+    """Distinct (customer, product)."""
+    facts = _facts(df, roles, "customer", "product").filter(F.col("customer").isNotNull() & F.col("product").isNotNull())
+    return facts.select("customer", "product").distinct()
+
+
+def ranked_products(bought: DataFrame) -> DataFrame:
+    """(product, buyers, slot): products numbered by falling number of rows in ``bought``; staged."""
+    counts = bought.groupBy("product").agg(F.count(F.lit(1)).alias("buyers"))
+    return stage_table(row_index(counts, [F.desc("buyers"), "product"], "slot", unique=True))
+
+
+def _named_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of slots a < b as pairs of names in name order."""
+    left = names.select(F.col("slot").alias("a"), F.col("product").alias("one"))
+    right = names.select(F.col("slot").alias("b"), F.col("product").alias("other"))
+    return pairs.join(left, "a").join(right, "b").select(
+        F.least("one", "other").alias("product_a"), F.greatest("one", "other").alias("product_b"), F.col("total").cast("long").alias("co_purchases")
     )
 
 
-def cross_sell(df: DataFrame, roles: Roles, k: int = 50, products: int = PAIR_PRODUCTS) -> DataFrame:
-    return co_purchases(df, roles, products).orderBy(F.desc("co_purchases"), "product_a", "product_b").limit(k)
+def co_purchases(df: DataFrame, roles: Roles, products: int | None = None) -> DataFrame:
+    """How many customers bought both of two products, for all pairs that anyone bought.
+
+    ``products`` keeps the pairs of that many of the most frequent products only.
+    """
+    bought = _bought(df, roles)
+    if products is not None:
+        # ``products`` names, as the caller asked for.
+        bought = bought.join(stage(popular_products(df, roles, products)).select("product"), "product")
+    bought = stage_table(bought)
+    names = ranked_products(bought)
+    placed = bought.join(names, "product").select("customer", "slot", F.lit(1).alias("one"))
+    return _named_pairs(pair_products(placed, "customer", "slot", "one").filter("a < b"), names)
+
+
+def cross_sell(df: DataFrame, roles: Roles, k: int = 50, first: int = FIRST_PRODUCTS) -> DataFrame:
+    """The k pairs of products that most customers bought together, of all products.
+
+    A pair is bought together at most as often as the rarer of its two. So pairs are counted among the
+    products with most buyers, twice as many each round, until the k-th best pair is more frequent than
+    the next product: no pair with a product not yet seen can come before it.
+    """
+    bought = stage_table(_bought(df, roles))
+    names = ranked_products(bought)
+    placed = stage_table(bought.join(names, "product").select("customer", "slot", F.lit(1).alias("one")))
+    release(bought)
+    seen, upto, best = 0, first, None
+    while True:
+        pairs = pair_products(placed.filter(F.col("slot") < upto), "customer", "slot", "one", least=seen).filter("a < b")
+        some = _named_pairs(pairs, names)
+        some = some if best is None else some.unionByName(best)
+        best = stage(some.orderBy(F.desc("co_purchases"), "product_a", "product_b").limit(k))
+        after = names.filter(F.col("slot") == upto).select("buyers").first()
+        n, least = best.agg(F.count(F.lit(1)), F.min("co_purchases")).first()
+        if after is None or (n == k and least > after["buyers"]):
+            release(placed, names)
+            return best.orderBy(F.desc("co_purchases"), "product_a", "product_b")
+        seen, upto = upto, 2 * upto
 
 
 # ---- regions and dashboards ------------------------------------------------------------------

@@ -24,12 +24,12 @@ _CUTS = """cuts AS (SELECT quantile_cont(CAST(Age AS DOUBLE), 0.25) AS a25, quan
 
 _COMMON = """common AS (SELECT "Medical Condition" AS c, count(*) AS n, CAST(sum("Billing Amount") AS DOUBLE) / count(*) AS mean_cost FROM admissions GROUP BY 1)"""
 
-_SIMILAR = """popular AS (SELECT ProductName AS product FROM sales GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 300),
-bought AS (SELECT CustomerNo, ProductName, count(*)::DOUBLE AS n FROM sales WHERE ProductName IN (SELECT product FROM popular) GROUP BY 1, 2),
-grid AS (SELECT c.CustomerNo, p.product, coalesce(b.n, 0) AS n FROM (SELECT DISTINCT CustomerNo FROM bought) c, popular p
-  LEFT JOIN bought b ON b.CustomerNo = c.CustomerNo AND b.ProductName = p.product),
-pairs AS (SELECT a.product, b.product AS similar_product, round(corr(a.n, b.n), 6) AS similarity FROM grid a JOIN grid b ON a.CustomerNo = b.CustomerNo
-  AND a.product <> b.product GROUP BY 1, 2)"""
+_SIMILAR = """bought AS (SELECT CustomerNo, ProductName AS product, count(*)::DOUBLE AS n FROM sales GROUP BY 1, 2),
+many AS (SELECT count(DISTINCT CustomerNo)::DOUBLE AS customers FROM bought),
+sums AS (SELECT product, sum(n) AS s, customers * sum(n * n) - sum(n) * sum(n) AS v FROM bought, many GROUP BY product, customers),
+met AS (SELECT a.product AS one, b.product AS other, sum(a.n * b.n) AS total FROM bought a JOIN bought b ON a.CustomerNo = b.CustomerNo AND a.product <> b.product GROUP BY 1, 2),
+pairs AS (SELECT a.product, b.product AS similar_product, (customers * coalesce(total, 0) - a.s * b.s) / sqrt(a.v * b.v) AS raw
+  FROM many, sums a JOIN sums b ON a.product <> b.product LEFT JOIN met ON one = a.product AND other = b.product WHERE a.v > 0 AND b.v > 0)"""
 
 # A plain prediction to measure: late orders are the dear ones; price is 5 000 per unit.
 _BINARY = "t AS (SELECT CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS label, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS prediction FROM orders)"
@@ -88,8 +88,8 @@ QUERIES = {
     "item_similarity": Query(
         lambda s, d: models.item_similarity(staged_sales(s, d, ["CustomerNo", "ProductName"]), SALES_ROLES),
         on_sales(
-            """SELECT product, CAST(place AS INTEGER) AS rank, similar_product, similarity FROM (SELECT *,
-  row_number() OVER (PARTITION BY product ORDER BY similarity DESC, similar_product) AS place FROM pairs) WHERE place <= 5""",
+            """SELECT product, CAST(place AS INTEGER) AS rank, similar_product, round(raw, 6) AS similarity FROM (SELECT *,
+  row_number() OVER (PARTITION BY product ORDER BY raw DESC, similar_product) AS place FROM pairs) WHERE place <= 5""",
             _SIMILAR,
         ),
     ),

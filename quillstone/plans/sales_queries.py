@@ -58,11 +58,7 @@ _GEO_SHARES = """shares AS (SELECT country, round(CAST(revenue AS DOUBLE), 2) AS
   round(CAST(customers AS DOUBLE) / CAST(sum(customers) OVER () AS DOUBLE) * 100, 2) AS customer_share FROM geo)"""
 
 
-def _top_bought(k: int) -> str:
-    return f"""popular AS (SELECT ProductName FROM sales GROUP BY 1 ORDER BY count(*) DESC, ProductName LIMIT {k}),
-bought AS (SELECT DISTINCT CustomerNo, ProductName FROM sales WHERE ProductName IN (SELECT ProductName FROM popular))"""
-
-
+_BOUGHT = "bought AS (SELECT DISTINCT CustomerNo, ProductName FROM sales)"
 _PAIRS = """pairs AS (SELECT a.ProductName AS product_a, b.ProductName AS product_b, count(*) AS co_purchases
   FROM bought a JOIN bought b ON a.CustomerNo = b.CustomerNo AND a.ProductName < b.ProductName GROUP BY 1, 2)"""
 
@@ -187,11 +183,11 @@ FROM sales GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
     ),
     "cross_sell": Query(
         lambda s, d: job.cross_sell(staged_sales(s, d, ["CustomerNo", "ProductName"]), ROLES),
-        on_sales("SELECT * FROM pairs ORDER BY co_purchases DESC, product_a, product_b LIMIT 50", _top_bought(200), _PAIRS),
+        on_sales("SELECT * FROM pairs ORDER BY co_purchases DESC, product_a, product_b LIMIT 50", _BOUGHT, _PAIRS),
     ),
     "co_purchases": Query(
         lambda s, d: job.co_purchases(staged_sales(s, d, ["CustomerNo", "ProductName"]), ROLES),
-        on_sales("SELECT * FROM pairs", _top_bought(200), _PAIRS),
+        on_sales("SELECT * FROM pairs", _BOUGHT, _PAIRS),
     ),
     "geo_revenue": Query(
         lambda s, d: job.geo_revenue(sales(s, d, ["Country", "CustomerNo", "Total_Revenue"]), ROLES),

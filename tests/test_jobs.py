@@ -57,6 +57,49 @@ def test_pairs_stay_with_popular_products(spark, lines):
     assert {x for r in got for x in (r["product_a"], r["product_b"])} <= top
 
 
+@pytest.fixture(scope="module")
+def many_products():
+    """Five thousand products, most of them rare, and a customer who bought two thousand."""
+    draw = np.random.RandomState(3)
+    rows = {(int(c), int(p)) for c, p in zip(draw.randint(1, 3000, 40_000), np.minimum(4999, draw.pareto(0.6, 40_000) * 8))}
+    rows |= {(0, int(p)) for p in draw.choice(5000, 2000, False)} | {(5000 + p, p) for p in range(5000)}
+    return sorted((c, f"p{p * 7919 % 5000:04d}") for c, p in rows)
+
+
+def _purchases(spark, rows):
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["customer", "product"])).withColumn("country", F.lit("c"))
+
+
+@pytest.mark.parametrize("first", [16, 4096])
+def test_best_pairs_of_all_products(spark, many_products, first):
+    matrix = np.zeros((5000, 10_000), np.float32)
+    for c, p in many_products:
+        matrix[int(p[1:]), c] = 1
+    together = np.triu(matrix @ matrix.T, 1).astype(int)
+    want = sorted((-together[a, b], f"p{a:04d}", f"p{b:04d}") for a, b in zip(*np.nonzero(together >= 3)))[:50]
+    assert len(want) == 50
+    got = sales.cross_sell(_purchases(spark, many_products), ROLES, first=first).collect()
+    assert [(-r["co_purchases"], r["product_a"], r["product_b"]) for r in got] == want
+
+
+def test_similarity_of_all_products(spark, many_products):
+    matrix = np.zeros((5000, 10_000))
+    for c, p in many_products:
+        matrix[int(p[1:]), c] += 1
+    customers, total = len({c for c, _ in many_products}), matrix @ matrix.T
+    s, v = matrix.sum(axis=1), customers * (matrix**2).sum(axis=1) - matrix.sum(axis=1) ** 2
+    raw = (customers * total - s[:, None] * s) / np.sqrt(v[:, None] * v)
+    np.fill_diagonal(raw, -9)
+    names = [f"p{p:04d}" for p in range(5000)]
+    got = {}
+    for r in models.item_similarity(_purchases(spark, many_products), ROLES).collect():
+        got.setdefault(r["product"], {})[r["rank"]] = (r["similar_product"], r["similarity"])
+    assert len(got) == 5000
+    for p in range(0, 5000, 7):
+        best = np.lexsort((np.arange(5000), -raw[p]))[:5]
+        assert [got[names[p]][n + 1] for n in range(5)] == [(names[b], pytest.approx(raw[p, b], abs=1e-6)) for b in best]
+
+
 def test_similarity_matches_pandas(spark, lines):
     frame = pd.DataFrame(lines, columns=[c.split()[0] for c in SALE.split(", ")])
     want = frame.groupby(["customer", "product"]).size().unstack(fill_value=0).corr()
