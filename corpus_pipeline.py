@@ -3,6 +3,10 @@ mixed to their weights, texts encoded.
 
 ``run`` writes every stage's documents to the shared folder and reads them again for the next.
 Stages are functions of (spark, docs, sf_dir); all but the last return the columns of documents.
+
+NULL texts count as empty in every stage; an empty text is scored, and all empty texts are equal. Rows
+that repeat a doc_id with its text are equal too, so one of them stays. Rows without a doc_id are kept
+like others and draw the same number in the mix. An empty table of documents gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +14,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillstone.llm import bpe, exact_dedup, mixing, setjoin, toxicity
+from quillstone.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from quillstone.plans.registry import Query
 from quillstone.session import stage_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +33,8 @@ def drop_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, 0.8 or more of whose five-word shingles agree, the one with the smallest doc_id."""
-    return setjoin.drop_near_duplicates(docs).select(*COLUMNS)
+    """Of each group of near copies, by three-word fingerprints that differ in two bits at most, the one with the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,3 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _, stage in STAGES:
         docs = stage_table(stage(spark, docs, sf_dir))
     return docs
+
+
+QUERIES = {"pipeline": Query(run, ORACLE_SQL)}
