@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..session import new_path
-from . import bpe, chat, exact_dedup, licences, mixing, simhash, token_files, toxicity, warc, winnowing
+from . import bpe, chat, exact_dedup, lexical, licences, mixing, neighbours, runs, simhash, token_files, toxicity, warc, winnowing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -103,6 +102,51 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.find_duplicates(_table(spark, folder, "documents"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with every tenth document, by a hash of its id, repeating some words from a place on."""
+    draw = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    worded = docs.select("doc_id", "text", draw.alias("h"), F.when(draw % 10 == 0, F.split("text", r"[\x20\x09-\x0D]+")).alias("split"))
+    worded = worded.withColumn("words", F.filter("split", lambda w: w != ""))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    start = (g % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    placed = worded.select("doc_id", "text", "words", n.alias("n"), F.when(n > 0, start).alias("a"), F.when(n > 0, period).alias("p"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.floor((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    left = F.slice("words", F.col("a") + 1, (F.col("n") - F.col("a")) % F.col("p"))
+    edited = F.concat_ws(" ", F.concat(F.slice("words", F.lit(1), F.col("a")), again, left))
+    return placed.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's periodic runs of words, its longest one, and the words that no run repeats."""
+    found = runs.find_runs(planted_periods(_table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest other vectors of every fiftieth one."""
+    vectors = _table(spark, folder, "embeddings")
+    found = neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("_key").alias("vec_id"), "score")
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents for each benchmark item."""
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_source_mix": Query(op1_source_mix, mixing.ORACLE),
     "op2_toxicity": Query(op2_toxicity),
@@ -119,5 +163,7 @@ QUERIES = {
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
   sha256(text) AS text_sha256 FROM t WINDOW same AS (PARTITION BY text)""",
     ),
-    "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+    "op11_periodic_runs": Query(op11_periodic_runs),
+    "op12_nearest_vectors": Query(op12_nearest_vectors),
+    "op13_ranked_search": Query(op13_ranked_search, lexical.ORACLE),
 }
