@@ -130,9 +130,8 @@ def _written(spark, folder, name, form):
     source = table(spark, folder, name)
     if form == "csv":
         files.write_csv(source, path)
-    elif name == "nation":  # few rows, as one array
-        rows = source.agg(F.to_json(F.collect_list(F.struct(*source.columns))).alias("value"))
-        rows.coalesce(1).write.text(path)
+    elif name == "orders":
+        files.write_json_arrays(source, path)
     else:
         source.write.json(path)
     return files.ingest(spark, [path])[0]
@@ -183,8 +182,8 @@ QUERIES = {
         lambda s, d: _written(s, d, "documents", "json"), "SELECT doc_id, text, lang, source, n_chars FROM documents"
     ),
     "json_array": Query(
-        lambda s, d: _written(s, d, "nation", "json"),
-        "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
+        lambda s, d: _written(s, d, "orders", "json").drop("o_orderdate"),
+        "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
     ),
     "many_files": Query(
         _file_counts,

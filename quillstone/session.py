@@ -60,6 +60,15 @@ def stage_table(df: DataFrame) -> DataFrame:
     return table
 
 
+def stage_lines(df: DataFrame) -> str:
+    """Write texts to the shared folder, a line each, and return the path; deleted with the process."""
+    spark = df.sparkSession
+    path = new_path(spark, "lines")
+    _kept[path] = spark
+    df.write.text(path)
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for table in tables:

@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import NUMBER_PATTERN, chance, quoted
+from ..session import stage_lines
+from . import ranges
 
 PREVIEW_ROWS = 50
 # CSV fields that mean "missing".
@@ -28,11 +32,15 @@ def read_csv(
 
     Without a schema each column becomes the narrowest of whole number, number, truth value and
     text that fits all its values, which takes one more pass. A schema's fields are found by name and
-    put in its order; it must name every column of the header. Quoted fields may hold line breaks,
-    so a file is read by one task; ``multi_line=False`` lets tasks share a file known to have none.
+    put in its order; it must name every column of the header. Quoted fields may hold line breaks; tasks
+    share a file all the same, see ``ranges``, at the price of one more scan. ``multi_line=False`` saves
+    that for files known to have none. Lines end with a line feed, with or without a carriage return.
     """
+    some = paths if isinstance(paths, str) else list(paths)
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    raw = reader.csv(paths if isinstance(paths, str) else list(paths))
+    raw = reader.csv(some)
+    if multi_line:  # what Spark has read so far is the header
+        raw = _parsed(ranges.records(spark, some, ranges.CSV), raw.columns)
     held = raw.select(*[F.when(~quoted(c).isin(*MISSING_WORDS), quoted(c)).alias(c) for c in raw.columns])
     if schema is not None:
         fields = schema.fields if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema).fields
@@ -43,6 +51,15 @@ def read_csv(
     return held.select(*[(F.trim(quoted(c)).try_cast(k) if k != "string" else quoted(c)).alias(c) for c, k in kinds.items()])
 
 
+def _parsed(found: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns of text from CSV records, without each file's header; empty lines are no records."""
+    record = F.regexp_replace(F.regexp_replace("record", "\r$", ""), "\r\n", "\n")
+    rows = found.filter("NOT first").select(record.alias("record")).filter("record <> ''")
+    fields = ", ".join(f"_c{i} string" for i in range(len(names)))
+    cells = rows.select(F.from_csv("record", fields, {"escape": '"'}).alias("cells"))
+    return cells.select(*[F.col("cells")[f"_c{i}"].alias(name) for i, name in enumerate(names)])
+
+
 def _narrowest(held: DataFrame) -> dict[str, str]:
     """The type that fits all texts of each column, from one aggregate."""
     tests = []
@@ -73,12 +90,21 @@ def holds_lines(spark: SparkSession, paths: str | Sequence[str]) -> bool:
 
 
 def read_json(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str | None = None, lines: bool | None = None) -> DataFrame:
-    """A JSON array of records per file, or one record per line, which splits over tasks; without ``lines`` the files tell."""
-    lines = holds_lines(spark, paths) if lines is None else lines
-    reader = spark.read.option("multiLine", not lines)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(paths if isinstance(paths, str) else list(paths))
+    """A JSON array of objects per file, or one record per line; without ``lines`` the files tell.
+
+    Tasks share a file of either kind. The objects of arrays are found by ``ranges``; without a schema they are
+    written once more, a line each, as Spark reads them twice to infer one.
+    """
+    some = paths if isinstance(paths, str) else list(paths)
+    lines = holds_lines(spark, some) if lines is None else lines
+    if not lines:
+        objects = ranges.records(spark, some, ranges.JSON).select(F.regexp_replace("record", r"^[\s,\[]+", "").alias("value"))
+        if schema is not None:
+            return objects.select(F.from_json("value", schema).alias("row")).select("row.*")
+        # A line break between an object's members is white space; inside of a text JSON has none.
+        some = stage_lines(objects.select(F.regexp_replace("value", r"[\r\n]", " ").alias("value")))
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(some)
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -115,6 +141,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """JSON, an array of objects per partition and file; NULL fields are left out."""
+
+    def arrays(batches):
+        mark = "["
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = pa.array([mark] + [","] * (batch.num_rows - 1))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, batch.column("value"), "")], ["value"])
+            mark = ","
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    objects = df.select(F.to_json(F.struct(*[quoted(c) for c in df.columns])).alias("value"))
+    objects.mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
+
+
 def write_stage(df: DataFrame, path: str) -> None:
     """The default between jobs: Parquet keeps types and can be pruned."""
     df.write.mode("overwrite").parquet(path)

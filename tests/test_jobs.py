@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import os
 from itertools import combinations
 
@@ -12,7 +13,7 @@ from quillstone.functions import roles
 from quillstone.functions.columns import chance
 from quillstone.operators import anomaly, clean, clinical, labels, models, profile, sales, tables, transform
 from quillstone.session import scratch, shared_folder
-from quillstone.sources import files
+from quillstone.sources import files, ranges
 from quillstone.streaming.daily import daily_revenue_stream
 
 SALE = "customer long, product string, date string, price double, quantity double, country string"
@@ -538,6 +539,76 @@ def test_json_forms_are_told_apart(spark, tmp_path):
         files.read_json(spark, [str(tmp_path / "l.json"), str(tmp_path / "r.json")])
 
 
+CSV_TEXT = 'a,b,"c ""q"" d"\n1,"two\nlines, ""x""",3\n4,"",6\n\n"7\n\n\n8",9,"é,\n"\n,,\nlast,"open, ""\n""",x\n'
+
+
+@pytest.fixture
+def small_ranges(spark, monkeypatch):
+    """Files are cut every few bytes; small tables do without files."""
+    monkeypatch.setattr(ranges, "stage_table", lambda df: df.sparkSession.createDataFrame(df.collect(), df.schema))
+    yield lambda size: spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_files_are_shared_by_tasks(spark, tmp_path, small_ranges, end):
+    path = str(tmp_path / "r.csv")
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        file.write(CSV_TEXT.replace("\n", end))
+    want = [("1", 'two\nlines, "x"', "3"), ("4", None, "6"), ("7\n\n\n8", "9", "é,\n"), ("last", 'open, "\n"', "x"), (None, None, None)]
+    for size in (1, 7, 64, 10_000):
+        small_ranges(size)
+        assert size > 100 or spark.read.text(path).rdd.getNumPartitions() >= 40 // size
+        got = files._parsed(ranges.records(spark, path, ranges.CSV), ["a", "b", "c"]).collect()
+        assert sorted((tuple(x or None for x in r) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_arrays_are_shared_by_tasks(spark, tmp_path, small_ranges, indent):
+    path = str(tmp_path / "r.json")
+    rows = [{"a": i, "s": 'x}{[]"\\ ' + "é" * i, "n": {"k": [{"z": i}, {}]}} for i in range(5)]
+    with open(path, "w", encoding="utf-8") as file:
+        file.write(json.dumps(rows, indent=indent, ensure_ascii=False) + "\n")
+    for size in (1, 16, 10_000):
+        small_ranges(size)
+        got = files.read_json(spark, path, "a long, s string, n struct<k: array<struct<z: long>>>", lines=False).collect()
+        assert sorted((r["a"], r["s"], r["n"]["k"][0]["z"], len(r["n"]["k"])) for r in got) == [(r["a"], r["s"], r["a"], 2) for r in rows]
+
+
+def test_record_borders_by_single_steps():
+    """However a text is cut, the state after all its pieces is that of the whole."""
+    for line, inside in (('a,"b ""c"" d",e', 0), ('a"b,c', 0), ('"open', 1), ('"a""', 1), ('"a"x,"', 1), ('a,"b', 1), ("", 0)):
+        assert ranges.csv_step(line.encode(), 0) == (inside, 0)
+    assert [ranges.csv_step(t, 1)[0] for t in (b"", b'"', b'""', b'x","', b'x",y,"z"', b'",')] == [1, 0, 1, 1, 0, 0]
+    text = json.dumps([{"a": '}{"\\', "b": [1, {"c": "]"}]}])
+    pieces = text.split("}")
+    for cut in range(1, len(pieces)):
+        inside = depth = 0
+        for piece in (p + "}" for p in pieces[:cut]):
+            inside, change = ranges.json_step(piece.encode(), inside)
+            depth += change
+        before = "}".join(pieces[:cut]) + "}"
+        assert (inside, depth) == ranges.json_step(before.encode(), 0)
+
+
+def test_torn_and_empty_files(spark, tmp_path, small_ranges):
+    (tmp_path / "o.json").write_text('[{"a": 1}, {"a": 2, "b": [{"c": 3}')
+    (tmp_path / "e.json").write_text("[]")
+    for size in (2, 10_000):
+        small_ranges(size)
+        assert [r["a"] for r in files.read_json(spark, [str(tmp_path / "o.json"), str(tmp_path / "e.json")], "a long", lines=False).collect()] == [1]
+    (tmp_path / "h.csv").write_text("a,b\n")
+    assert files.read_csv(spark, str(tmp_path / "h.csv")).count() == 0
+
+
+def test_json_array_sink(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 4).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit('[{"'), "id")).alias("t"))
+    files.write_json_arrays(df, str(tmp_path / "a.json"))
+    parts = [p for p in (tmp_path / "a.json").iterdir() if p.name.startswith("part")]
+    assert sorted(r["id"] for p in parts for r in json.loads(p.read_text())) == list(range(1000))
+    assert files.read_any(spark, str(tmp_path / "a.json")).exceptAll(df).isEmpty()
+
+
 def test_csv_returns_what_was_written(spark, tmp_path):
     rows = [(1, 'a "quoted", text', 2.5), (2, "x", None)]
     files.write_csv(spark.createDataFrame(rows, "i long, t string, v double"), str(tmp_path / "o.csv"))
