@@ -16,7 +16,8 @@ from .columns import quoted
 
 COPIES_PER_TASK = 1_000_000
 ROLLING_BLOCK = 100_000
-_PLACE, _PART = "_place", "_part"
+FILL_BLOCK = 1_000_000
+_PLACE, _PART, _BLOCK = "_place", "_part", "_block"
 
 
 def number_copies(df: DataFrame, name: str = "_copy") -> DataFrame:
@@ -77,27 +78,28 @@ def fill_missing(
 ) -> DataFrame:
     """Fill NULLs with the last (or next) value in the given order.
 
-    Each file of the sort fills itself; what comes from outside it is one carried value per
-    column and file.
+    Each block of ``FILL_BLOCK`` places of a file of the sort fills itself; what comes from outside
+    it is one carried value per column and block.
     """
     if not columns:
         return df
-    marked = _in_order(df, order_by, unique)
+    marked = _in_order(df, order_by, unique).withColumn(_BLOCK, F.floor(F.col(_PLACE) / FILL_BLOCK))
     pick = F.max_by if forward else F.min_by
-    edges = marked.groupBy(_PART).agg(
+    edges = marked.groupBy(_PART, _BLOCK).agg(
         *[pick(quoted(c), F.when(quoted(c).isNotNull(), F.col(_PLACE))).alias(f"_edge{i}") for i, c in enumerate(columns)]
     )
-    parts = Window.orderBy(F.col(_PART).asc() if forward else F.col(_PART).desc())
-    outside = parts.rowsBetween(Window.unboundedPreceding, -1)
+    # One row per block.
+    blocks = Window.orderBy(*[F.col(c).asc() if forward else F.col(c).desc() for c in (_PART, _BLOCK)])
+    outside = blocks.rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
-        _PART, *[F.last(f"_edge{i}", True).over(outside).alias(f"_carry{i}") for i in range(len(columns))]
+        _PART, _BLOCK, *[F.last(f"_edge{i}", True).over(outside).alias(f"_carry{i}") for i in range(len(columns))]
     )
     inside = (
-        Window.partitionBy(_PART)
+        Window.partitionBy(_PART, _BLOCK)
         .orderBy(F.col(_PLACE).asc() if forward else F.col(_PLACE).desc())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    filled = marked.join(F.broadcast(carried), _PART)
+    filled = marked.join(carried, [_PART, _BLOCK])
     values = {
         c: F.coalesce(F.last(quoted(c), True).over(inside), F.col(f"_carry{i}")) for i, c in enumerate(columns)
     }

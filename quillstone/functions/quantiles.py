@@ -1,64 +1,32 @@
-"""Exact order statistics without gathering a column in one place.
+"""Exact order statistics without a sort or a big buffer, in as many passes for one column as for many.
 
 ``percentile`` keeps every distinct value of a group in one buffer, which does not fit for a
-large column. Here only a column, or a slice of one, that was counted first and is small is
-put in order at once. A larger column is narrowed: a mergeable sketch proposes values on both
-sides of the wanted ranks, a counting pass tells exactly between which of them each rank
-lies, and the search goes on strictly between the two. The sketch decides only how fast this
-is, never the result. What reaches the driver is a few numbers per wanted rank.
+large column. Here values are read as whole numbers of 64 bits in the same order, and wanted ranks are
+followed digit by digit, 12 bits at a time: a pass counts, for all columns and ranks together, the
+values of each next digit under the digits found so far, with the smallest and largest of them. A
+rank whose digit holds one value only is found; the others go on, until the values left are few
+enough to be put in order at once. Six passes tell any value; what reaches the driver is a few
+numbers per wanted rank.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import release, stage_table
 from .columns import as_double, quoted
 
 DIRECT_ROWS = 100_000
-# Size of a KLL sketch, and its rank error with some room: about 0.13 % at this size.
-SKETCH_SIZE = 4_000
-SKETCH_ERROR = 0.002
+#: Bits below the digits known after each pass.
+LEVELS = (52, 40, 28, 16, 4, 0)
+COUNTS_KEPT = 1 << 16  # by a task and column before they are added up
 # Spark generates code for a whole aggregate only up to 100 buffer fields.
 FIELDS_PER_SCAN = 90
-# A list of values counts for several fields, which bounds how many lists one scan holds.
-LIST_FIELDS = 5
-
-
-@dataclass
-class _Slice:
-    """An open interval (low, high) of a column and the ranks whose values lie in it."""
-
-    column: str
-    low: float | None
-    high: float | None
-    below: int
-    size: int
-    ranks: list[int] = field(default_factory=list)
-
-    def place(self, rank: int) -> float:
-        return (rank - self.below + 0.5) / self.size
-
-    def bounds(self) -> str:
-        tests = [f"{self.column} IS NOT NULL"]
-        if self.low is not None:
-            tests.append(f"{self.column} > {_sql(self.low)}")
-        if self.high is not None:
-            tests.append(f"{self.column} < {_sql(self.high)}")
-        return " AND ".join(tests)
-
-    def values(self) -> str:
-        return self.column if self.low is None and self.high is None else f"CASE WHEN {self.bounds()} THEN {self.column} END"
-
-
-def _sql(number: float) -> str:
-    """A double as an exact SQL literal."""
-    if math.isinf(number):
-        return f"CAST('{'-' if number < 0 else ''}Infinity' AS DOUBLE)"
-    return f"{number!r}D"
 
 
 def scan(df: DataFrame, expressions: Sequence[Column], fields: int = 1) -> list:
@@ -73,15 +41,21 @@ def scan(df: DataFrame, expressions: Sequence[Column], fields: int = 1) -> list:
     return out
 
 
+def ordered_keys(values: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order; -0.0 is 0.0."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ (bits >> 63 & 0x7FFFFFFFFFFFFFFF)
+
+
+def _value(key: int) -> float:
+    return float(np.array([key ^ (key >> 63 & 0x7FFFFFFFFFFFFFFF)], np.int64).view(np.float64)[0])
+
+
 def _plain(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The wanted columns as doubles called q0, q1, …"""
     return df.select(*[as_double(quoted(n), df.schema[n].dataType).alias(f"q{i}") for i, n in enumerate(names)])
 
 
-def _sizes(plain: DataFrame) -> list[int]:
-    return [int(v) for v in scan(plain, [F.count(F.col(c)) for c in plain.columns])]
-
-
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
@@ -96,22 +70,18 @@ def exact_quantiles(
     if not names:
         return {}
     plain = _plain(df, names)
-    sizes = _sizes(plain) if sizes is None else list(sizes)
-    places = {n: [(sizes[i] - 1) * p for p in wanted[n]] for i, n in enumerate(names)}
-    ranks = {
-        f"q{i}": [r for h in places[n] for r in (math.floor(h), math.ceil(h))] for i, n in enumerate(names) if sizes[i]
-    }
-    values = _find(plain, ranks, dict(zip(plain.columns, sizes)), direct_rows)
+    search = _Search(plain, direct_rows)
+    sizes = search.sizes() if sizes is None else list(sizes)
+    places = [[(n - 1) * p for p in wanted[name]] for name, n in zip(names, sizes)]
+    ranks = {i: {r for h in places[i] for r in (math.floor(h), math.ceil(h))} for i in range(len(names)) if sizes[i]}
+    values = search.values(ranks, sizes)
     result: dict[str, list[float | None]] = {}
-    for i, n in enumerate(names):
-        if not sizes[i]:
-            result[n] = [None] * len(wanted[n])
-            continue
+    for i, name in enumerate(names):
         found = []
-        for h in places[n]:
-            low, high = values[f"q{i}", math.floor(h)], values[f"q{i}", math.ceil(h)]
+        for h in places[i] if sizes[i] else []:
+            low, high = values[i, math.floor(h)], values[i, math.ceil(h)]
             found.append(low if low == high else low + (high - low) * (h - math.floor(h)))
-        result[n] = found
+        result[name] = found or [None] * len(wanted[name])
     return result
 
 
@@ -119,69 +89,119 @@ def value_at_rank(
     df: DataFrame, name: str, rank: int, direct_rows: int = DIRECT_ROWS, size: int | None = None
 ) -> float | None:
     """The value at a 0-based position of the sorted column."""
-    plain = _plain(df, [name])
-    size = _sizes(plain)[0] if size is None else size
-    if not 0 <= rank < size:
-        return None
-    return _find(plain, {"q0": [rank]}, {"q0": size}, direct_rows)["q0", rank]
-
-
-def _find(
-    plain: DataFrame, ranks: Mapping[str, Iterable[int]], sizes: Mapping[str, int], direct_rows: int
-) -> dict[tuple[str, int], float]:
-    slices = [_Slice(c, None, None, 0, sizes[c], sorted(set(rs))) for c, rs in ranks.items()]
-    found: dict[tuple[str, int], float] = {}
-    while any(s.size > direct_rows for s in slices):
-        large = [s for s in slices if s.size > direct_rows]
-        slices = [s for s in slices if s.size <= direct_rows] + _narrow(plain, large, found)
-    if slices:
-        # Each list has at most direct_rows values; only the wanted ones leave the aggregate.
-        reads = []
-        for s in slices:
-            ordered = f"sort_array(collect_list({s.values()}))"
-            reads.append(F.expr("array(" + ", ".join(f"element_at({ordered}, {r - s.below + 1})" for r in s.ranks) + ")"))
-        for s, values in zip(slices, scan(plain, reads, LIST_FIELDS)):
-            found |= {(s.column, r): v for r, v in zip(s.ranks, values)}
-    return found
-
-
-def _narrow(plain: DataFrame, slices: list[_Slice], found: dict[tuple[str, int], float]) -> list[_Slice]:
-    """One sketch pass and one counting pass; returns the smaller slices that are still open."""
-    sketches = []
-    for s in slices:
-        around = sorted({min(1.0, max(0.0, s.place(r) + d)) for r in s.ranks for d in (-SKETCH_ERROR, SKETCH_ERROR)})
-        # Neighbouring ranks share their proposals.
-        around = [p for i, p in enumerate(around) if not i or p - around[i - 1] > SKETCH_ERROR / 4]
-        places = ", ".join(f"{p!r}D" for p in around)
-        sketches.append(
-            F.expr(f"kll_sketch_get_quantile_double(kll_sketch_agg_double({s.values()}, {SKETCH_SIZE}), array({places}))")
-        )
-    proposals = [sorted(set(v)) for v in scan(plain, sketches)]
-
-    counters = []
-    for s, marks in zip(slices, proposals):
-        inside = s.bounds()
-        for mark in marks:
-            for sign in ("<", "<="):
-                counters.append(F.expr(f"count(CASE WHEN {inside} AND {s.column} {sign} {_sql(mark)} THEN 1 END)"))
-    counted = iter(scan(plain, counters))
-
-    opened: dict[tuple, _Slice] = {}
-    for s, marks in zip(slices, proposals):
-        steps = [(mark, next(counted), next(counted)) for mark in marks]
-        for rank in s.ranks:
-            place = rank - s.below
-            low, below, high, upto = s.low, 0, s.high, s.size
-            for mark, less, not_more in steps:
-                if place >= not_more:
-                    low, below = mark, not_more
-                elif place >= less:
-                    found[s.column, rank] = mark
-                    break
+    search = _Search(_plain(df, [name]), direct_rows)
+    size = search.sizes()[0] if size is None else size
+    return search.values({0: {rank}}, [size])[0, rank] if 0 <= rank < size else None
+
+
+def _columns(batch: pa.RecordBatch, opened: Mapping[int, np.ndarray | None], level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(column, digits, keys) of the values under the opened digits, sorted; None opens a whole column."""
+    for i, parents in opened.items():
+        values = batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64)
+        keys = np.sort(ordered_keys(values[~np.isnan(values)]))
+        if parents is not None:
+            keys = keys[np.isin(keys >> level, parents)]
+        if len(keys):
+            yield i, keys >> level, keys
+
+
+def _added(digit: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(digit, kind="stable")
+    digit, n, low, high = digit[order], n[order], low[order], high[order]
+    first = np.flatnonzero(np.append(True, digit[1:] != digit[:-1]))
+    return digit[first], np.add.reduceat(n, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+
+
+class _Search:
+    def __init__(self, plain: DataFrame, direct_rows: int):
+        self.plain, self.direct_rows = plain, direct_rows
+        self.first: DataFrame | None = None
+
+    def _counted(self, opened: Mapping[int, np.ndarray | None], above: int, level: int) -> DataFrame:
+        """(col, digit, n, low, high) over all tasks of the values under ``opened`` digits of the level above."""
+
+        def counted(batches):
+            held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+
+            def batch_of(i: int) -> pa.RecordBatch:
+                parts = _added(*map(np.concatenate, zip(*held[i])))
+                held[i] = []
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(parts[0]), i, np.int32)), *map(pa.array, parts)], ["col", "digit", "n", "low", "high"])
+
+            for batch in batches:
+                for i, _, keys in _columns(batch, opened, above):
+                    held.setdefault(i, []).append(_added(keys >> level, np.ones(len(keys), np.int64), keys, keys))
+                    if sum(len(p[0]) for p in held[i]) > COUNTS_KEPT:
+                        yield batch_of(i)
+            for i in held:
+                if held[i]:
+                    yield batch_of(i)
+
+        made = self.plain.mapInArrow(counted, "col int, digit long, n long, low long, high long")
+        return made.groupBy("col", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    def _start(self) -> DataFrame:
+        if self.first is None:
+            self.first = stage_table(self._counted({i: None for i in range(len(self.plain.columns))}, 0, LEVELS[0]))
+        return self.first
+
+    def sizes(self) -> list[int]:
+        found = {r["col"]: r["n"] for r in self._start().groupBy("col").agg(F.sum("n").alias("n")).collect()}
+        return [found.get(i, 0) for i in range(len(self.plain.columns))]
+
+    def values(self, ranks: Mapping[int, Iterable[int]], sizes: Sequence[int]) -> dict[tuple[int, int], float]:
+        """The values at (column, rank) for every wanted rank."""
+        found: dict[tuple[int, int], float] = {}
+        # (column, rank) -> digits so far, and the rank among the values under them.
+        open_ = {(i, r): (0, r) for i, some in ranks.items() for r in some}
+        left = sum(sizes[i] for i in ranks)
+        above: int | None = None
+        for level in LEVELS:
+            if not open_ or left <= self.direct_rows:
+                break
+            opened = self._opened(open_, above)
+            counted = self._start() if above is None else self._counted(opened, above, level)
+            parent = F.lit(0).cast("long") if above is None else F.shiftright("digit", above - level)
+            order = Window.partitionBy("col", "parent").orderBy("digit")
+            upto = counted.withColumn("parent", parent).withColumn("upto", F.sum("n").over(order))
+            hits = upto.join(F.broadcast(self._wanted(open_)), ["col", "parent"]).filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+            after, left = {}, 0
+            counts: dict[tuple[int, int], int] = {}
+            for r in hits.collect():  # a row per wanted rank
+                if r["low"] == r["high"]:
+                    found[r["col"], r["rank"]] = _value(r["low"])
                 else:
-                    high, upto = mark, less
-                    break
-            if (s.column, rank) not in found:
-                key = (s.column, low, high)
-                opened.setdefault(key, _Slice(s.column, low, high, s.below + below, upto - below)).ranks.append(rank)
-    return list(opened.values())
+                    after[r["col"], r["rank"]] = r["digit"], r["place"] - r["upto"] + r["n"]
+                    counts[r["col"], r["digit"]] = r["n"]
+            open_, left, above = after, sum(counts.values()), level
+        if open_:
+            found |= self._direct(open_, above)
+        if self.first is not None:
+            release(self.first)
+            self.first = None
+        return found
+
+    def _opened(self, open_: Mapping[tuple[int, int], tuple[int, int]], above: int | None) -> dict[int, np.ndarray | None]:
+        columns = sorted({i for i, _ in open_})
+        if above is None:
+            return dict.fromkeys(columns)
+        return {i: np.unique([digit for (j, _), (digit, _) in open_.items() if i == j]) for i in columns}
+
+    def _wanted(self, open_: Mapping[tuple[int, int], tuple[int, int]]) -> DataFrame:
+        rows = [(i, r, digit, place) for (i, r), (digit, place) in open_.items()]
+        return self.plain.sparkSession.createDataFrame(rows, "col int, rank long, parent long, place long")
+
+    def _direct(self, open_: Mapping[tuple[int, int], tuple[int, int]], above: int | None) -> dict[tuple[int, int], float]:
+        """All values that are left, ``direct_rows`` at most, in order."""
+        opened = self._opened(open_, above)
+
+        def kept(batches):
+            for batch in batches:
+                for i, digits, keys in _columns(batch, opened, above or 0):
+                    parent = digits if above is not None else np.zeros(len(keys), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(parent), pa.array(keys)], ["col", "parent", "key"])
+
+        values = self.plain.mapInArrow(kept, "col int, parent long, key long")
+        placed = values.withColumn("place", F.row_number().over(Window.partitionBy("col", "parent").orderBy("key")).cast("long") - 1)
+        hits = placed.join(F.broadcast(self._wanted(open_)), ["col", "parent", "place"])
+        return {(r["col"], r["rank"]): _value(r["key"]) for r in hits.collect()}

@@ -45,6 +45,29 @@ def test_quantiles_with_infinite_values(spark):
     assert found == [float("-inf"), float("-inf"), 49.5, float("inf")]
 
 
+def test_quantiles_of_close_values(spark):
+    """Values that differ in their last bits only, large and small ones, and both zeros."""
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308] + [np.nextafter(1.0, 2) + i * 2.0**-52 for i in range(300)] + [-1.0] * 500
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(3)
+    wanted = np.linspace(0, 1, len(values)).tolist()
+    got = quantiles.exact_quantiles(df, {"x": wanted}, direct_rows=3)["x"]
+    assert got == pytest.approx(np.quantile(values, wanted).tolist(), rel=1e-15)
+
+
+@pytest.mark.parametrize("columns,places", [(2, [0.5]), (60, [0.01, 0.2, 0.5, 0.8, 0.99])])
+def test_passes_do_not_grow_with_columns(spark, monkeypatch, columns, places):
+    """Whatever is asked for, a value is found by six counting passes and one for the rest at most."""
+    draw = np.random.RandomState(9)
+    frame = pd.DataFrame({f"c{i}": draw.normal(0, 10.0 ** (i % 7), 3000) for i in range(columns)})
+    passes = []
+    counted, direct = quantiles._Search._counted, quantiles._Search._direct
+    monkeypatch.setattr(quantiles._Search, "_counted", lambda self, *a: passes.append("counted") or counted(self, *a))
+    monkeypatch.setattr(quantiles._Search, "_direct", lambda self, *a: passes.append("direct") or direct(self, *a))
+    got = quantiles.exact_quantiles(spark.createDataFrame(frame), {c: places for c in frame}, direct_rows=100)
+    assert len(passes) <= 7
+    assert all(got[c] == pytest.approx(frame[c].quantile(places).tolist()) for c in frame)
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     assert quantiles.exact_quantiles(df, {"a": [0.5], "b": [0.5]}) == {"a": [None], "b": [1.0]}
@@ -62,8 +85,9 @@ def test_row_index_numbers_copies(spark, monkeypatch):
         assert placed == sorted(rows)
 
 
-@pytest.mark.parametrize("forward", [True, False])
-def test_fill_matches_pandas(spark, forward):
+@pytest.mark.parametrize("forward,block", [(True, 1_000_000), (False, 1_000_000), (True, 7), (False, 7), (True, 1)])
+def test_fill_matches_pandas(spark, monkeypatch, forward, block):
+    monkeypatch.setattr(ordering, "FILL_BLOCK", block)
     draw = np.random.RandomState(3)
     frame = pd.DataFrame({"id": np.arange(400), "v": np.where(draw.rand(400) < 0.9, np.nan, draw.rand(400))})
     frame["s"] = [f"t{i}" if i % 37 == 5 else None for i in range(400)]
