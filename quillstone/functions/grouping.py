@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..session import stage_table
 from .columns import is_numeric, quoted
 from .ordering import row_index
 
-SMALL_CATEGORIES = 100_000
+SMALL_CATEGORIES, SMALL_BYTES = 100_000, 16 << 20
+SKETCH_BITS, SKETCH_MARGIN = 12, 1.1
 PAIR_BLOCK, PAIR_ROWS = 256, 256
 
 
@@ -46,35 +49,86 @@ def top_per(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int
 
 def distinct_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Distinct non-null values of each column, counted over a long table."""
-    if not columns:
-        return {}
-    pairs = long_values(df, columns).distinct()
-    sizes = {r["column"]: r["n"] for r in pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {c: sizes.get(c, 0) for c in columns}
+    return sizes_of(long_values(df, columns).distinct(), columns) if columns else {}
 
 
-def category_codes(df: DataFrame, column: str, size: int) -> DataFrame:
-    """(value, code) with code 0, 1, … in value order."""
-    values = df.select(quoted(column).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
-    if size <= SMALL_CATEGORIES:
-        ordered = Window.orderBy("_value")
-        return values.withColumn("_code", (F.row_number().over(ordered) - 1).cast("long"))
-    return row_index(values, ["_value"], "_code", unique=True)
+def sizes_of(values: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Rows of each column in a table of distinct (column, value)."""
+    sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: sizes.get(c, 0) for c in columns}
 
 
-def with_codes(df: DataFrame, sizes: dict[str, int], suffix: str = "_Encoded", missing: int | None = -1) -> DataFrame:
-    """Add ``<column>_Encoded`` for each column; NULL gets ``missing`` (by default -1).
+def estimated_sizes(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, float]]:
+    """Rows, and about how many distinct non-null values each column has: a sketch per column, in one scan.
 
-    ``sizes`` are the distinct counts, which decide how the codes are found. Spark chooses the join by
-    the bytes of the codes' table, so a list of long texts is not broadcast.
+    The estimate is off by more than ``SKETCH_MARGIN`` once in some ten million columns.
     """
-    out = df
-    for column, size in sizes.items():
-        codes = category_codes(df, column, size)
-        out = out.join(codes, quoted(column) == F.col("_value"), "left").drop("_value")
-        code = F.col("_code") if missing is None else F.coalesce(F.col("_code"), F.lit(missing))
-        out = out.withColumn(column + suffix, code).drop("_code")
-    return out
+    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(quoted(c).cast("string"), F.lit(SKETCH_BITS))) for c in columns]
+    rows, *sizes = df.agg(F.count(F.lit(1)), *sketches).first()
+    return rows, {c: float(n or 0) for c, n in zip(columns, sizes)}
+
+
+def dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct (column, value, number) of all columns, a staged table; numbers order the values of numeric columns."""
+    cells = [
+        F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value"), (quoted(c) if is_numeric(df.schema[c].dataType) else F.lit(None)).cast("double").alias("number"))
+        for c in columns
+    ]
+    if not cells:
+        return df.sparkSession.createDataFrame([], "column string, value string, number double")
+    return stage_table(df.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull()).distinct())
+
+
+def with_codes(
+    df: DataFrame, values: DataFrame, columns: Sequence[str], suffix: str = "_Encoded", missing: Mapping[str, int] | int | None = -1
+) -> DataFrame:
+    """Add ``<column>_Encoded`` for each column: 0, 1, … in value order; NULL gets ``missing`` (by default -1).
+
+    ``values`` is a ``dictionary`` that has these columns. It is sorted once for all of them. Columns of few
+    values are coded together in one pass over the rows, with a dictionary of at most ``SMALL_CATEGORIES``
+    values and ``SMALL_BYTES`` in each task; any other column's codes are joined to it.
+    """
+    if not columns:
+        return df
+    wanted = values.filter(F.col("column").isin(list(columns)))
+    sizes = {r["column"]: r for r in wanted.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("bytes")).collect()}
+    small, n, held = [], 0, 0
+    for c in sorted(sizes, key=lambda c: (sizes[c]["n"], c)):
+        n, held = n + sizes[c]["n"], held + sizes[c]["bytes"]
+        if n <= SMALL_CATEGORIES and held <= SMALL_BYTES:
+            small.append(c)
+    large = [c for c in columns if c in sizes and c not in small]
+    rest = dict.fromkeys(columns, missing) if not isinstance(missing, Mapping) else missing
+    out = _coded_together(df, wanted.filter(F.col("column").isin(small)), [c for c in columns if c not in large], suffix, rest)
+    if large:
+        placed = row_index(wanted.filter(F.col("column").isin(large)), ["column", "number", "value"], "place", unique=True)
+        first = {r["column"]: r["first"] for r in placed.groupBy("column").agg(F.min("place").alias("first")).collect()}
+        for c in large:
+            codes = placed.filter(F.col("column") == c).select(F.col("value").alias("_value"), (F.col("place") - first[c]).alias("_code"))
+            out = out.join(codes, quoted(c).cast("string") == F.col("_value"), "left").drop("_value")
+            code = F.col("_code") if rest[c] is None else F.coalesce(F.col("_code"), F.lit(rest[c]))
+            out = out.withColumn(c + suffix, code).drop("_code")
+    return out.select(*[quoted(c) for c in df.columns if c not in {x + suffix for x in columns}], *[quoted(c + suffix) for c in columns])
+
+
+def _coded_together(df: DataFrame, values: DataFrame, columns: Sequence[str], suffix: str, missing: Mapping[str, int | None]) -> DataFrame:
+    # SMALL_CATEGORIES rows and SMALL_BYTES at most.
+    rows = values.orderBy("column", "number", "value").collect()
+    texts = {c: pa.array([r["value"] for r in rows if r["column"] == c], pa.string()) for c in columns}
+    kept = [c for c in df.columns if c not in {x + suffix for x in columns}]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i, c in enumerate(columns):
+                code = pc.index_in(batch.column(len(kept) + i).cast(pa.string()), value_set=texts[c], skip_nulls=True).cast(pa.int64())
+                made.append(code if missing[c] is None else pc.fill_null(code, missing[c]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names)
+
+    names = [*kept, *(c + suffix for c in columns)]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c + suffix, T.LongType()) for c in columns)])
+    asked = df.select(*[quoted(c) for c in kept], *[quoted(c).cast("string").alias(f"_text{i}") for i, c in enumerate(columns)])
+    return asked.mapInArrow(coded, schema) if columns else df
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

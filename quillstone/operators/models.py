@@ -18,7 +18,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import chance, date_parts, quoted
-from ..functions.grouping import distinct_sizes, pair_products, top_per, with_codes
+from ..functions.grouping import dictionary, pair_products, top_per, with_codes
 from ..functions.ordering import row_index
 from ..session import release, shared_folder, spread_out, stage, stage_table
 from . import labels
@@ -111,7 +111,7 @@ def feature_table(
         *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in numbers.items()],
         *[quoted(c).cast("string").alias(c) for c in dict.fromkeys([*categories, *keep])],
     ).filter(F.col("label").isNotNull())
-    coded = with_codes(base, distinct_sizes(base, categories), suffix="_code") if categories else base
+    coded = with_codes(base, dictionary(base, categories), categories, suffix="_code") if categories else base
     held = chance([F.col(f"key{i}") for i in range(len(key))], SEED, "hold-out") < TEST_SHARE
     names = [*numbers, *[c + "_code" for c in categories]]
     columns = [f"key{i}" for i in range(len(key))]

@@ -8,15 +8,20 @@ the mean and outlier fences around the quartiles.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, clip, is_missing, quoted, time_of
 from ..functions.grouping import numeric_columns, text_columns, top_per, value_counts
 from ..functions.ordering import rolling_std, row_index
-from ..functions.quantiles import exact_quantiles, scan
+from ..functions.quantiles import exact_quantiles
+from ..session import scratch
+
+MERGED = 32  # tasks' sums that one task adds up
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -145,39 +150,40 @@ def numeric_summary(
 ) -> DataFrame:
     """One row per column: count, mean, deviation, extremes, quantiles, moments, missing, outliers.
 
-    Moments are sums of powers of values shifted by the mean, which a first pass finds. Such
-    plain sums stay in generated code, where several moment functions per column do not.
+    Moments are sums of powers of values shifted by the mean, which a first scan finds. Both scans and
+    the search of the quantiles take all columns together.
     """
-    # Evaluated once per row; the aggregates below then only see plain columns.
     plain = df.select(*[_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
-    values = {n: F.col(f"v{i}") for i, n in enumerate(names)}
-    rows, *first = scan(plain, [F.count(F.lit(1)), *[f(v) for v in values.values() for f in (F.count, F.avg)]], 2)
-    sizes, means = first[0::2], first[1::2]
-    found = exact_quantiles(df, {n: quantiles for n in names}, sizes=sizes)
-    moved = plain.select("*", *[(v - F.lit(m or 0.0)).alias(f"d{i}") for i, (v, m) in enumerate(zip(values.values(), means))])
-    fields = ["n", "lo", "hi", "s1", "s2", "s3", "s4", "out"]
-    measured = []
+    size = len(names)
+
+    def first(rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.full(size, len(rows)), (~np.isnan(rows)).sum(axis=0), np.nansum(rows, axis=0)])
+
+    counts = _added_up(plain, (3, size), first) if names else np.zeros((3, 0))
+    rows, sizes = int(counts[0].max(initial=0)), [int(n) for n in counts[1]]
+    means = [float(total / n) if n else None for total, n in zip(counts[2], counts[1])]
+    # The extremes are the first and the last quantile.
+    ranked = exact_quantiles(df, {n: (0.0, *quantiles, 1.0) for n in names}, sizes=sizes)
+    found = {n: values[1:-1] for n, values in ranked.items()}
+    fences = np.full((2, size), np.nan)
     for i, name in enumerate(names):
-        value, shifted = values[name], F.col(f"d{i}")
-        square = shifted * shifted
-        beyond = F.lit(False)
         if outliers and found[name][0] is not None:
             fence = 1.5 * (found[name][2] - found[name][0])
-            beyond = (value < F.lit(found[name][0] - fence)) | (value > F.lit(found[name][2] + fence))
-        measured += [
-            F.count(value),
-            F.min(value),
-            F.max(value),
-            F.sum(shifted),
-            F.sum(square),
-            F.sum(square * shifted),
-            F.sum(square * square),
-            F.count(F.when(beyond, 1)),
-        ]
-    flat = scan(moved, measured)
+            fences[:, i] = found[name][0] - fence, found[name][2] + fence
+    center = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
+
+    def powers(rows: np.ndarray) -> np.ndarray:
+        moved = np.where(np.isnan(rows), 0.0, rows - center)
+        square = moved * moved
+        beyond = (rows < fences[0]) | (rows > fences[1])
+        return np.stack([v.sum(axis=0) for v in (moved, square, square * moved, square * square, beyond)])
+
+    sums = _added_up(plain, (5, size), powers) if names else np.zeros((5, 0))
+    fields = ["n", "lo", "hi", "s1", "s2", "s3", "s4", "out"]
     known = []
     for i, name in enumerate(names):
-        known.append((name, means[i], *flat[len(fields) * i : len(fields) * (i + 1)], *found[name], rows))
+        moments = [float(v) for v in sums[:4, i]] if sizes[i] else [None] * 4
+        known.append((name, means[i], sizes[i], ranked[name][0], ranked[name][-1], *moments, int(sums[4, i]), *found[name], rows))
     labels = [f"q{int(round(q * 100))}" for q in quantiles]
     kinds = {"n": "long", "out": "long"}
     schema = ["column string", "mean double", *[f"{f} {kinds.get(f, 'double')}" for f in fields], *[f"{q} double" for q in labels]]
@@ -389,50 +395,80 @@ def eda_categorical_top(df: DataFrame, limit: int | None = None, k: int = 5) ->
 # ---- pairs of columns ------------------------------------------------------------------------
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """A column of numbers each, NaN for NULL."""
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], axis=1)
+
+
+def _added_up(plain: DataFrame, shape: tuple[int, ...], of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``of`` over all batches of rows; one scan, whatever the number of columns.
+
+    A task adds up its own batches, and tasks' sums are added up ``MERGED`` at a time until one is left.
+    """
+
+    def own(batches):
+        total = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(_matrix(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
+
+    def merged(batches):
+        total = np.zeros(shape)
+        for batch in batches:
+            for raw in batch.column("sums"):
+                total += np.frombuffer(raw.as_py()).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
+
+    with scratch(plain.sparkSession) as table:
+        sums = table(plain.mapInArrow(own, "sums binary"))
+        n = sums.count()
+        while n > MERGED:
+            n = -(-n // MERGED)
+            sums = table(sums.repartition(n).mapInArrow(merged, "sums binary"))
+        parts = [np.frombuffer(r["sums"]).reshape(shape) for r in sums.collect()]  # MERGED at most
+    return np.sum(parts, axis=0) if parts else np.zeros(shape)
+
+
 def pair_statistics(df: DataFrame, pairs: Sequence[tuple[str, str]], full: bool = False) -> DataFrame:
     """Pairwise-complete Pearson correlation; with ``full`` also counts, means and deviations.
 
-    Sums of products of values shifted by their means stay in generated code. Columns without
-    missing cells share their sums; only pairs with a gap need sums of their own.
+    Two scans for any number of columns: one for their means, and one that adds up products of values
+    shifted by them, as products of matrices. With a gap anywhere, products with the matrix of what is
+    there give the same sums over each pair's complete rows.
     """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    place = {n: i for i, n in enumerate(names)}
     plain = df.select(*[_number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
-    rows, *first = scan(plain, [F.count(F.lit(1)), *[f(c) for c in plain.columns for f in (F.count, F.avg)]], 2)
-    whole = {n for i, n in enumerate(names) if first[2 * i] == rows}
-    means = {n: first[2 * i + 1] or 0.0 for i, n in enumerate(names)}
-    # Evaluated once per row; the sums below then only see plain columns.
-    moved = plain.select(*[(F.col(f"v{i}") - F.lit(means[n])).alias(f"d{i}") for i, n in enumerate(names)])
-    shifted = {n: F.col(f"d{i}") for i, n in enumerate(names)}
-
-    wanted: dict[tuple, Column] = {}
-    for a, b in pairs:
-        if a in whole and b in whole:
-            wanted |= {(a,): F.sum(shifted[a]), (b,): F.sum(shifted[b])}
-            wanted |= {tuple(sorted(p)): F.sum(shifted[p[0]] * shifted[p[1]]) for p in ((a, a), (b, b), (a, b))}
-            continue
-        # A product with a missing factor is missing, so these sums only see complete pairs.
-        x, y = shifted[a], shifted[b]
-        ones = F.when(x.isNotNull() & y.isNotNull(), 1)
-        wanted |= {
-            (a, b, "n"): F.count(ones),
-            (a, b, "x"): F.sum(F.when(ones == 1, x)),
-            (a, b, "y"): F.sum(F.when(ones == 1, y)),
-            (a, b, "xx"): F.sum(F.when(ones == 1, x * x)),
-            (a, b, "yy"): F.sum(F.when(ones == 1, y * y)),
-            (a, b, "xy"): F.sum(x * y),
-        }
-    sums = dict(zip(wanted, scan(moved, list(wanted.values()))))
 
+    def first(rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.full(rows.shape[1], len(rows)), (~np.isnan(rows)).sum(axis=0), np.nansum(rows, axis=0)])
+
+    size = len(names)
+    counts = _added_up(plain, (3, size), first) if names else np.zeros((3, 0))
+    rows, there = int(counts[0].max(initial=0)), counts[1]
+    center = np.divide(counts[2], there, out=np.zeros(size), where=there > 0)
+    center[~np.isfinite(center)] = 0
+    complete = bool((there == rows).all())
+
+    def products(rows: np.ndarray) -> np.ndarray:
+        held = ~np.isnan(rows)
+        moved = np.where(held, rows - center, 0.0)
+        if complete:
+            return np.stack([moved.T @ moved, np.diag(moved.sum(axis=0))])
+        mask = held.astype(np.float64)
+        return np.stack([moved.T @ moved, moved.T @ mask, (moved * moved).T @ mask, mask.T @ mask])
+
+    sums = _added_up(plain, (2 if complete else 4, size, size), products) if names else np.zeros((2, 0, 0))
+    if complete:
+        sums = np.stack([sums[0], np.repeat(np.diag(sums[1])[:, None], size, 1), np.repeat(np.diag(sums[0])[:, None], size, 1), np.full((size, size), rows)])
     known = []
-    for a, b in pairs:
-        if a in whole and b in whole:
-            n, sx, sy = rows, sums[a,], sums[b,]
-            sxx, syy, sxy = sums[a, a], sums[b, b], sums[tuple(sorted((a, b)))]
-            mx, my = means[a], means[b]
-        else:
-            n, sx, sy, sxx, syy, sxy = (sums[a, b, k] for k in ("n", "x", "y", "xx", "yy", "xy"))
-            mx, my = (means[a] + sx / n, means[b] + sy / n) if n else (None, None)
-        known.append((a, b, n, mx, my, *[float(v) if v is not None else None for v in (sx, sy, sxx, syy, sxy)]))
+    for x, y in pairs:
+        a, b = place[x], place[y]
+        n, sx, sy, sxx, syy, sxy = (float(v) for v in (sums[3, a, b], sums[1, a, b], sums[1, b, a], sums[2, a, b], sums[2, b, a], sums[0, a, b]))
+        # The mean over all of a column's rows is known already.
+        mx, my = (float(center[i]) + (s / n if n < there[i] else 0.0) for i, s in ((a, sx), (b, sy))) if n else (None, None)
+        known.append((x, y, int(n), mx, my, *((sx, sy, sxx, syy, sxy) if n else (None,) * 5)))
     schema = "x string, y string, points long, x_mean double, y_mean double, sx double, sy double, sxx double, syy double, sxy double"
     # One short row per pair; all of it is already known here.
     tall = df.sparkSession.createDataFrame(known, schema)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_double, is_missing, is_numeric, quoted, row_mean, row_sum, scaled, time_of
-from ..functions.grouping import distinct_sizes, text_columns, with_codes, with_group_value
+from ..functions.grouping import SKETCH_MARGIN, dictionary, distinct_sizes, estimated_sizes, numeric_columns, sizes_of, text_columns, with_codes, with_group_value
 from ..functions.roles import categorical_columns, read_dates, transform_date_columns
 from .sales import ASSUMED_MARGIN, Roles
 
@@ -51,28 +51,44 @@ def date_features_healthcare(df: DataFrame, dates: Sequence[str]) -> DataFrame:
 
 
 def encode_business(df: DataFrame) -> DataFrame:
-    """Codes for text and low-variety numeric columns; missing text is the category ``Unknown``."""
-    sizes = categorical_columns(df)
+    """Codes for text and low-variety numeric columns; missing text is the category ``Unknown``.
+
+    A sketch of each column tells in one scan which may have few enough values to be encoded;
+    only those columns' values are gathered, counted and sorted, all together. ``not_encoded``
+    names the categorical columns that are left out.
+    """
+    return _encode_business(df)[0]
+
+
+def not_encoded(df: DataFrame) -> list[str]:
+    """The categorical columns that ``encode_business`` leaves as they are, for too many or too few values."""
+    chosen, categories = _encode_business(df)[1:]
+    return [c for c in categories if c not in chosen]
+
+
+def _encode_business(df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
     texts = set(text_columns(df))
-    out = df.select(
-        *[(F.coalesce(quoted(c), F.lit("Unknown")) if c in texts and c in sizes else quoted(c)).alias(c) for c in df.columns]
-    )
-    if texts & set(sizes):
-        sizes = sizes | distinct_sizes(out, [c for c in sizes if c in texts])
-    chosen = {c: n for c, n in sizes.items() if ENCODE_MORE_THAN < n < ENCODE_LESS_THAN}
-    encoded = with_codes(out, {c: n for c, n in chosen.items() if c in texts})
-    numbers = {c: n for c, n in chosen.items() if c not in texts}
-    for column, size in numbers.items():
-        # A missing number is the category after all numbers.
-        encoded = with_codes(encoded, {column: size}, missing=size)
-    return encoded
+    estimates = estimated_sizes(df, [*texts, *numeric_columns(df)])[1]
+    categories = categorical_columns(df, estimates)
+    out = df.select(*[(F.coalesce(quoted(c), F.lit("Unknown")) if c in texts else quoted(c)).alias(c) for c in df.columns])
+    near = [c for c in categories if estimates[c] < ENCODE_LESS_THAN * SKETCH_MARGIN]
+    values = dictionary(out, near)
+    sizes = sizes_of(values, near)
+    chosen = [c for c in near if ENCODE_MORE_THAN < sizes[c] < ENCODE_LESS_THAN]
+    # Texts first. A missing number is the category after all numbers.
+    ordered = [c for c in chosen if c in texts] + [c for c in chosen if c not in texts]
+    missing = {c: -1 if c in texts else sizes[c] for c in ordered}
+    return with_codes(out, values, ordered, missing=missing), ordered, categories
 
 
 def encode_healthcare(df: DataFrame) -> DataFrame:
     """Codes for text columns with more than one value and fewer than half as many values as rows."""
-    rows = df.count()
-    sizes = distinct_sizes(df, text_columns(df))
-    return with_codes(df, {c: n for c, n in sizes.items() if 1 < n < rows * ENCODE_SHARE})
+    texts = text_columns(df)
+    rows, estimates = estimated_sizes(df, texts)
+    near = [c for c in texts if estimates[c] < rows * ENCODE_SHARE * SKETCH_MARGIN]
+    values = dictionary(df, near)
+    sizes = sizes_of(values, near)
+    return with_codes(df, values, [c for c in near if 1 < sizes[c] < rows * ENCODE_SHARE])
 
 
 def _numbers(df: DataFrame, columns: Sequence[str]) -> dict:

@@ -121,13 +121,24 @@ def test_pair_products_with_a_hot_owner(spark, block, least):
     assert got == {(a, b): total for (a, b), total in want.items() if b >= least}
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
+@pytest.mark.parametrize("small", [0, 4, 100_000])
 def test_codes_are_dense_and_in_order(spark, monkeypatch, small):
     monkeypatch.setattr(grouping, "SMALL_CATEGORIES", small)
-    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",)], "t string")
-    got = grouping.with_codes(df, grouping.distinct_sizes(df, ["t"])).collect()
-    assert {r["t"]: r["t_Encoded"] for r in got} == {"a": 0, "b": 1, "c": 2, None: -1}
-    assert len(got) == 5
+    df = spark.createDataFrame([("b", 10, "x"), ("a", 9, None), (None, None, "x"), ("c", 9, "z"), ("b", -1, "x")], "t string, n int, `a b` string").withColumn("d", F.lit(1))
+    values = grouping.dictionary(df, ["t", "n", "a b"])
+    assert grouping.sizes_of(values, ["t", "n", "d"]) == {"t": 3, "n": 3, "d": 0}
+    out = grouping.with_codes(df, values, ["t", "n", "a b"], missing={"t": -1, "n": 3, "a b": None})
+    assert out.columns == ["t", "n", "a b", "d", "t_Encoded", "n_Encoded", "a b_Encoded"]
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([("b", 10, "x", 1, 1, 2, 0), ("a", 9, None, 1, 0, 1, None), (None, None, "x", 1, -1, 3, 0), ("c", 9, "z", 1, 2, 1, 1), ("b", -1, "x", 1, 1, 0, 0)], key=str)
+
+
+def test_sketches_are_near_enough(spark):
+    df = spark.range(20_000).select(*[(F.xxhash64("id", F.lit(i)) % n).alias(f"c{n}_{i}") for n in (1, 20, 100, 5_000) for i in range(5)], F.lit(None).cast("string").alias("none"))
+    rows, sizes = grouping.estimated_sizes(df, df.columns)
+    exact = grouping.distinct_sizes(df, df.columns)
+    assert rows == 20_000 and sizes["none"] == 0
+    assert all(exact[c] / grouping.SKETCH_MARGIN <= sizes[c] <= exact[c] * grouping.SKETCH_MARGIN for c in df.columns)
 
 
 def test_group_value_keeps_rows_without_key(spark):

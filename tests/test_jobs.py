@@ -539,6 +539,37 @@ def test_json_forms_are_told_apart(spark, tmp_path):
         files.read_json(spark, [str(tmp_path / "l.json"), str(tmp_path / "r.json")])
 
 
+@pytest.mark.parametrize("gaps", [False, True])
+def test_wide_tables_take_few_scans(spark, monkeypatch, gaps):
+    """Two hundred columns: pairs and moments as numpy has them, in two scans each."""
+    draw = np.random.RandomState(4)
+    values = draw.normal(5, 2, (300, 200)) + draw.normal(0, 1, (300, 1)) * np.arange(200) / 50
+    if gaps:
+        values[draw.rand(300, 200) < 0.2] = np.nan
+        values[:, 7] = np.nan
+    frame = pd.DataFrame(values, columns=[f"c{i}" for i in range(200)])
+    df = spark.createDataFrame(frame).repartition(40)
+    scans = []
+    added = profile._added_up
+    monkeypatch.setattr(profile, "_added_up", lambda *a: scans.append(1) or added(*a))
+    got = {(r["x"], r["y"]): r for r in profile.pair_statistics(df, list(combinations(frame.columns, 2)), full=True).collect()}
+    assert len(scans) == 2 and len(got) == 199 * 100
+    want = frame.corr().to_numpy()
+    for (x, y), r in got.items():
+        a, b = int(x[1:]), int(y[1:])
+        if np.isnan(want[a, b]):
+            assert r["correlation"] is None
+        else:
+            assert r["correlation"] == pytest.approx(want[a, b], abs=1e-9)
+    both = frame[["c3", "c11"]].dropna()
+    assert got["c3", "c11"]["points"] == len(both) and got["c3", "c11"]["y_mean"] == pytest.approx(both["c11"].mean())
+    scans.clear()
+    summary = {r["column"]: r for r in profile.statistical_summary(df).collect()}
+    assert len(scans) == 2 and len(summary) == 200 - gaps
+    assert summary["c9"]["std"] == pytest.approx(frame["c9"].std(), abs=1e-4) and summary["c9"]["skewness"] == pytest.approx(frame["c9"].skew(), abs=1e-4)
+    assert summary["c9"]["min"] == pytest.approx(frame["c9"].min(), abs=1e-4) and summary["c9"]["q25"] == pytest.approx(frame["c9"].quantile(0.25), abs=1e-4)
+
+
 CSV_TEXT = 'a,b,"c ""q"" d"\n1,"two\nlines, ""x""",3\n4,"",6\n\n"7\n\n\n8",9,"é,\n"\n,,\nlast,"open, ""\n""",x\n'
 
 
