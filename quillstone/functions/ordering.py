@@ -8,6 +8,7 @@ over the whole table in a single task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -43,6 +44,11 @@ def number_copies(df: DataFrame, name: str = "_copy") -> DataFrame:
 
 def _in_order(df: DataFrame, order_by: Sequence[str | Column], unique: bool) -> DataFrame:
     """Sorted rows, written out, with the number of their file and the place inside it."""
+    return _marked(df, order_by, unique)[0].drop("_file")
+
+
+def _marked(df: DataFrame, order_by: Sequence[str | Column], unique: bool) -> tuple[DataFrame, DataFrame]:
+    """The same with the path of the file too, and the written table itself."""
     first = [quoted(c) if isinstance(c, str) else c for c in order_by]
     if unique:
         ordered = df.orderBy(*first)
@@ -53,7 +59,31 @@ def _in_order(df: DataFrame, order_by: Sequence[str | Column], unique: bool) ->
     name = F.col("_metadata.file_name")
     number = lambda pattern: F.regexp_extract(name, pattern, 1).cast("long")
     part = number(r"^part-(\d+)-") * 1_000_000 + number(r"-c(\d+)\.")
-    return stage_table(ordered).select("*", part.alias(_PART), F.col("_metadata.row_index").alias(_PLACE))
+    copy = stage_table(ordered)
+    return copy.select("*", part.alias(_PART), F.col("_metadata.row_index").alias(_PLACE), F.col("_metadata.file_path").alias("_file")), copy
+
+
+@dataclass(frozen=True)
+class SortedFile:
+    path: str
+    first: int  # position of its first row
+    rows: int
+
+    @property
+    def end(self) -> int:
+        return self.first + self.rows
+
+
+def sorted_files(df: DataFrame, order_by: Sequence[str | Column], unique: bool = False) -> tuple[DataFrame, list[SortedFile]]:
+    """A sorted copy in the shared folder, and its files in order with the positions they hold: a sparse
+    index, an entry per sort partition. The copy is to be released."""
+    marked, copy = _marked(df, order_by, unique)
+    sizes = marked.groupBy(_PART, F.col("_file")).agg(F.count(F.lit(1)).alias("rows")).orderBy(_PART).collect()
+    files, first = [], 0
+    for r in sizes:
+        files.append(SortedFile(r["_file"], first, r["rows"]))
+        first += r["rows"]
+    return copy, files
 
 
 def row_index(

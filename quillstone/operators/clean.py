@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import as_double, day_first, is_missing, quoted, strip, to_time
 from ..functions.grouping import numeric_columns, text_columns, top_per, value_counts
-from ..functions.ordering import fill_missing, row_index
+from ..functions.ordering import fill_missing, sorted_files
 from ..functions.quantiles import exact_quantiles
+from ..session import open_path, release, stage_table
 from .profile import _quality_row
 
 UNKNOWN = "Unknown"
+MERGED_ROWS = 8_192  # of each frame in memory together
 
 
 def merge_side_by_side(frames: Sequence[DataFrame], order_by: Sequence[Sequence[str]], unique: bool = False) -> DataFrame:
@@ -20,14 +25,76 @@ def merge_side_by_side(frames: Sequence[DataFrame], order_by: Sequence[Sequence[
 
     A column that is already there becomes ``<column>_file<i>``. Rows beyond the first frame
     are dropped, shorter frames are padded with NULL.
+
+    Each frame is sorted and written out once, which tells the positions every written file holds. A task
+    then reads one file of the first frame and the same positions of the others' files beside it, some
+    rows of each at a time; no row goes through a join.
     """
-    merged = row_index(frames[0], order_by[0], "_row", unique)
-    for i, frame in enumerate(frames[1:], start=2):
-        taken = set(merged.columns)
-        placed = row_index(frame, order_by[i - 1], "_row", unique)
-        named = [quoted(c).alias(f"{c}_file{i}" if c in taken else c) for c in frame.columns]
-        merged = merged.join(placed.select("_row", *named), "_row", "left")
-    return merged.drop("_row")
+    spark = frames[0].sparkSession
+    sorted_ = [sorted_files(frame, order, unique) for frame, order in zip(frames, order_by)]
+    fields, taken = [], set()
+    for i, frame in enumerate(frames, start=1):
+        for field in frame.schema:
+            name = f"{field.name}_file{i}" if field.name in taken else field.name
+            fields.append(T.StructField(name, field.dataType))
+        taken = {f.name for f in fields}
+    schema = T.StructType(fields)
+    kinds = [to_arrow_schema(frame.schema) for frame in frames]
+    names = [f.name for f in fields]
+    files = [[(f.path, f.first, f.end) for f in files] for _, files in sorted_]
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                _, begin, end = files[0][number]
+                readers = [_rows_of(held, kind, begin, end) for held, kind in zip(files, kinds)]
+                for parts in zip(*readers):
+                    yield pa.RecordBatch.from_arrays([c.combine_chunks() for part in parts for c in part.columns], names)
+
+    ranges = spark.range(0, len(files[0]), 1, max(1, len(files[0])))
+    merged = stage_table(ranges.mapInArrow(beside, schema))
+    release(*(copy for copy, _ in sorted_))
+    return merged
+
+
+def _rows_of(files: Sequence[tuple[str, int, int]], kind: pa.Schema, begin: int, end: int) -> Iterator[pa.Table]:
+    """The rows at positions from ``begin`` to ``end``, ``MERGED_ROWS`` at a time; rows of NULL beyond the last file."""
+    held, at = [], begin
+
+    def blocks() -> Iterator[pa.Table]:
+        for path, first, last in files:
+            if first >= end or last <= begin:
+                continue
+            system, name = open_path(path)
+            with system.open_input_file(name) as source:
+                file, place, groups = pq.ParquetFile(source), first, []
+                for group in range(file.num_row_groups):
+                    after = place + file.metadata.row_group(group).num_rows
+                    if place < end and after > begin:
+                        groups.append((group, place))
+                    place = after
+                if not groups:
+                    continue
+                place = groups[0][1]
+                for batch in file.iter_batches(MERGED_ROWS, row_groups=[g for g, _ in groups]):
+                    low, high = max(begin - place, 0), min(end - place, batch.num_rows)
+                    place += batch.num_rows
+                    if low < high:
+                        yield pa.Table.from_batches([batch.slice(low, high - low)]).cast(kind)
+
+    source = blocks()
+    while at < end:
+        want, have = min(MERGED_ROWS, end - at), sum(t.num_rows for t in held)
+        while have < want:
+            more = next(source, None)
+            if more is None:
+                more = pa.Table.from_arrays([pa.nulls(want - have, f.type) for f in kind], schema=kind)
+            held.append(more)
+            have += more.num_rows
+        every = pa.concat_tables(held)
+        yield every.slice(0, want)
+        held = [every.slice(want)] if have > want else []
+        at += want
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

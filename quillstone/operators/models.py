@@ -28,7 +28,6 @@ SEED = 42
 TEST_SHARE = 0.2
 TREES, DEPTH = 100, 10
 BOOST_ROUNDS, BOOST_DEPTH = 100, 5
-MIN_ROWS = 20
 
 
 @dataclass(frozen=True)
@@ -125,9 +124,10 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
-def _too_few(table: DataFrame, need: int = MIN_ROWS) -> DataFrame | None:
-    rows = table.count()
-    return _known(table, [("status", "insufficient_data", rows)]) if rows < need else None
+def _too_few(table: DataFrame, min_rows: int | None) -> DataFrame | None:
+    """A report in place of a fit: for fewer than ``min_rows``, where the caller set that, or for no row to learn from."""
+    rows, learned = table.agg(F.count(F.lit(1)), F.count(F.when(~F.col("held_out"), 1))).first()
+    return _known(table, [("status", "insufficient_data", rows)]) if not learned or rows < (min_rows or 0) else None
 
 
 def _one_class(table: DataFrame) -> DataFrame | None:
@@ -217,7 +217,7 @@ def _risk_bands(test_only: bool = True) -> dict[str, Callable[[], Column]]:
 # ---- sales models --------------------------------------------------------------------------------------
 
 
-def demand(df: DataFrame, roles: Roles, key: Sequence[str]) -> Trained:
+def demand(df: DataFrame, roles: Roles, key: Sequence[str], min_rows: int | None = None) -> Trained:
     """Quantity from calendar fields and price."""
     moment = _date_of(df, roles)
     dated = df.withColumn("_date", moment).filter(F.col("_date").isNotNull())
@@ -226,16 +226,16 @@ def demand(df: DataFrame, roles: Roles, key: Sequence[str]) -> Trained:
     if "price" in roles:
         numbers["price"] = quoted(roles["price"])
     table, names = feature_table(dated, key, roles["quantity"], numbers)
-    few = _too_few(table)
+    few = _too_few(table, min_rows)
     return Trained(few, None) if few is not None else _regressed(table, names)
 
 
-def churn(df: DataFrame, roles: Roles) -> Trained:
+def churn(df: DataFrame, roles: Roles, min_rows: int | None = None) -> Trained:
     """Churn from counts and sums per customer; days since the last purchase are left out, they make the label."""
     customers = labels.churn_features(df, roles)
     numbers = {n: F.col(n) for n in ("transactions", "revenue", "mean_revenue", "quantity")}
     table, names = feature_table(customers, ["customer"], "churn", numbers)
-    stop = _too_few(table)
+    stop = _too_few(table, min_rows)
     stop = _one_class(table) if stop is None else stop
     if stop is not None:
         return Trained(stop, None)
@@ -345,41 +345,41 @@ def _categories(roles: Mapping[str, str], wanted: Sequence[str]) -> list[str]:
     return [roles[r] for r in wanted if r in roles]
 
 
-def _stopped(table: DataFrame, features: Sequence[str], need: int, classes: bool) -> DataFrame | None:
+def _stopped(table: DataFrame, features: Sequence[str], min_rows: int | None, classes: bool) -> DataFrame | None:
     if not features:
         return _known(table, [("status", "insufficient_features", 0)])
-    stop = _too_few(table, need)
+    stop = _too_few(table, min_rows)
     if stop is None and classes:
         stop = _one_class(table)
     return stop
 
 
-def readmission(df: DataFrame, roles: Mapping[str, str]) -> Trained:
-    """Risk of a further admission; needs more than 100 rows."""
+def readmission(df: DataFrame, roles: Mapping[str, str], min_rows: int | None = None) -> Trained:
+    """Risk of a further admission."""
     named = "patient" in roles and "admitted" in roles
     labelled = labels.readmission_label(df, roles)
     # Without names the label is made from age, so age is no feature then.
     numbers = _numbers(df, roles, ("age", "cost", "room") if named else ("cost", "room"))
     table, names = feature_table(labelled, [roles["id"]], "readmission", numbers, _categories(roles, _PROFILE))
-    stop = _stopped(table, names, 101, True)
+    stop = _stopped(table, names, min_rows, True)
     return Trained(stop, None) if stop is not None else _classified(table, names, _forest(RandomForestClassifier), _risk_bands())
 
 
-def cost(df: DataFrame, roles: Mapping[str, str]) -> Trained:
+def cost(df: DataFrame, roles: Mapping[str, str], min_rows: int | None = None) -> Trained:
     """Cost from age, room and profile, outliers beyond three deviations left out."""
     priced = labels.without_outliers(df.withColumn("_cost", F.coalesce(labels.cost_of(df, roles), F.lit(0.0))), "_cost")
     numbers = _numbers(df, roles, ("age", "room"))
     chosen = _categories(roles, ("condition", "admission_type", "insurer", "medication"))
     table, names = feature_table(priced, [roles["id"]], "_cost", numbers, chosen)
-    stop = _stopped(table, names, MIN_ROWS, False)
+    stop = _stopped(table, names, min_rows, False)
     return Trained(stop, None) if stop is not None else _regressed(table, names)
 
 
-def risk(df: DataFrame, roles: Mapping[str, str]) -> Trained:
+def risk(df: DataFrame, roles: Mapping[str, str], min_rows: int | None = None) -> Trained:
     """Risk level in three classes, from cost, age, room and profile."""
     labelled = stage_table(labels.risk_label(df, roles, noise=labels.LEVEL_NOISE))
     table, names = feature_table(labelled, [roles["id"]], "risk_level", _numbers(df, roles, ("cost", "age", "room")), _categories(roles, _PROFILE))
-    stop = _stopped(table, names, MIN_ROWS, False)
+    stop = _stopped(table, names, min_rows, False)
     if stop is not None:
         return Trained(stop, None)
     at = lambda level: lambda: F.col("held_out") & (F.col("prediction") == level)
@@ -387,13 +387,13 @@ def risk(df: DataFrame, roles: Mapping[str, str]) -> Trained:
     return _classified(table, names, _forest(RandomForestClassifier), bands, binary=False)
 
 
-def outcome(df: DataFrame, roles: Mapping[str, str], rounds: int = BOOST_ROUNDS) -> Trained:
+def outcome(df: DataFrame, roles: Mapping[str, str], rounds: int = BOOST_ROUNDS, min_rows: int | None = None) -> Trained:
     """Treatment success by gradient boosting; the cost is left out, it makes the label."""
     labelled = labels.outcome_label(df, roles, noise=labels.OUTCOME_NOISE)
     wanted = ("age", "room") if "cost" in roles and "condition" in roles else ("age", "cost", "room")
     chosen = _categories(roles, ("gender", "condition", "admission_type", "medication", "insurer"))
     table, names = feature_table(labelled, [roles["id"]], "outcome", _numbers(df, roles, wanted), chosen)
-    stop = _stopped(table, names, MIN_ROWS, True)
+    stop = _stopped(table, names, min_rows, True)
     if stop is not None:
         return Trained(stop, None)
     boosted = GBTClassifier(
@@ -403,12 +403,12 @@ def outcome(df: DataFrame, roles: Mapping[str, str], rounds: int = BOOST_ROUNDS)
     return _classified(table, names, boosted, {"success": at(1), "failure": at(0)})
 
 
-def length_of_stay(df: DataFrame, roles: Mapping[str, str]) -> Trained:
+def length_of_stay(df: DataFrame, roles: Mapping[str, str], min_rows: int | None = None) -> Trained:
     """Days of stay from the whole profile, outliers left out, in three bands."""
     labelled = labels.without_outliers(labels.los_label(df, roles), "stay_days")
     numbers = _numbers(df, roles, ("age", "cost", "room"))
     table, names = feature_table(labelled, [roles["id"]], "stay_days", numbers, _categories(roles, _PROFILE))
-    stop = _stopped(table, names, MIN_ROWS, False)
+    stop = _stopped(table, names, min_rows, False)
     if stop is not None:
         return Trained(stop, None)
     days = lambda: F.col("prediction")
@@ -420,7 +420,7 @@ def length_of_stay(df: DataFrame, roles: Mapping[str, str]) -> Trained:
     return _regressed(table, names, bands)
 
 
-def medication(df: DataFrame, roles: Mapping[str, str], classes: int = 10, k: int = 3) -> Trained:
+def medication(df: DataFrame, roles: Mapping[str, str], classes: int = 10, k: int = 3, min_rows: int | None = None) -> Trained:
     """Medicine from the profile; recommendations are the mean class probabilities per condition."""
     medicine = quoted(roles["medication"])
     top = df.filter(medicine.isNotNull()).groupBy(medicine.alias("_medicine")).agg(F.count(F.lit(1)).alias("_n"))
@@ -432,7 +432,7 @@ def medication(df: DataFrame, roles: Mapping[str, str], classes: int = 10, k: in
     chosen = _categories(roles, ("gender", "blood_type", "condition"))
     keep = [roles["condition"]] if "condition" in roles else []
     table, names = feature_table(labelled, [roles["id"]], "_class", _numbers(df, roles, ("age", "cost")), chosen, keep)
-    stop = _stopped(table, names, MIN_ROWS, True)
+    stop = _stopped(table, names, min_rows, True)
     if stop is not None:
         return Trained(stop, None)
     trained = _classified(table, names, _forest(RandomForestClassifier), binary=False)
@@ -450,12 +450,12 @@ def medication(df: DataFrame, roles: Mapping[str, str], classes: int = 10, k: in
     return Trained(trained.report.unionByName(advice), trained.scored)
 
 
-def discharge(df: DataFrame, roles: Mapping[str, str]) -> Trained:
+def discharge(df: DataFrame, roles: Mapping[str, str], min_rows: int | None = None) -> Trained:
     """Care level after discharge in three classes."""
     labelled = labels.discharge_label(df, roles, noise=labels.LEVEL_NOISE)
     numbers = _numbers(df, roles, ("age", "cost", "room"))
     table, names = feature_table(labelled, [roles["id"]], "care_level", numbers, _categories(roles, _PROFILE))
-    stop = _stopped(table, names, MIN_ROWS, True)
+    stop = _stopped(table, names, min_rows, True)
     if stop is not None:
         return Trained(stop, None)
     at = lambda level: lambda: F.col("held_out") & (F.col("label") == level)
@@ -463,7 +463,7 @@ def discharge(df: DataFrame, roles: Mapping[str, str]) -> Trained:
     return _classified(table, names, _forest(RandomForestClassifier), bands, binary=False)
 
 
-MODELS: dict[str, Callable[[DataFrame, Mapping[str, str]], Trained]] = {
+MODELS: dict[str, Callable[..., Trained]] = {
     "readmission": readmission,
     "cost": cost,
     "risk": risk,
@@ -474,13 +474,13 @@ MODELS: dict[str, Callable[[DataFrame, Mapping[str, str]], Trained]] = {
 }
 
 
-def train(df: DataFrame, roles: Mapping[str, str], names: Sequence[str] = tuple(MODELS)) -> DataFrame:
+def train(df: DataFrame, roles: Mapping[str, str], names: Sequence[str] = tuple(MODELS), min_rows: int | None = None) -> DataFrame:
     """Reports of several models on one table, which is evaluated once."""
     table = stage_table(df)
     result = None
     for name in names:
         if name not in MODELS:
             raise ValueError(f"unknown model: {name}")
-        part = MODELS[name](table, roles).report.select(F.lit(name).alias("model"), "section", "key", "value")
+        part = MODELS[name](table, roles, min_rows=min_rows).report.select(F.lit(name).alias("model"), "section", "key", "value")
         result = part if result is None else result.unionByName(part)
     return result

@@ -148,6 +148,13 @@ def _latest(spark, folder):
     return spark.read.parquet(files.latest_dataset(spark, target))
 
 
+def _deep_page(spark, folder):
+    """The page in the middle of all order lines."""
+    lines_ = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    pages = files.Pages(lines_, ["l_quantity", "l_orderkey", "l_linenumber"], unique=True)
+    return pages.page(100, pages.rows // 200)
+
+
 def _file_names(spark, folder):
     return table(spark, folder, "part").select(
         F.expr("concat(p_type, '_', p_name, '-', p_brand, CASE p_partkey % 3 WHEN 0 THEN ' health' WHEN 1 THEN ' financial' ELSE '' END, '.csv')").alias("file")
@@ -156,12 +163,32 @@ def _file_names(spark, folder):
 
 _CUSTOMER_TEXT = "CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment"
 
+# What names alone decide is given; ranges and distinct counts decide the rest.
+_ROLES_FOUND = """WITH t AS (SELECT l_orderkey AS TransactionNo, l_linenumber AS LineNo, o_custkey AS CustomerNo, l_extendedprice / l_quantity AS Price, l_quantity AS Quantity
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+""" + ",\n".join(
+    f"""n{i} AS (SELECT '{c}' AS c, {whole} AS whole, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, count(DISTINCT {c}) AS kinds, count(*) AS n FROM t)"""
+    for i, (c, whole) in enumerate({"TransactionNo": "true", "LineNo": "true", "CustomerNo": "true", "Price": "false", "Quantity": "false"}.items())
+) + """,
+numbers AS (""" + " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(5)) + """)
+SELECT * FROM (VALUES ('date', 'Date'), ('trend_date', 'Date'), ('product_name', 'ProductName'), ('transform_date', 'Date'),
+  ('categorical', 'Flag'), ('categorical', 'Date'), ('categorical', 'Country'), ('categorical', 'ProductName'),
+  ('text', 'Flag'), ('text', 'Date'), ('text', 'Country'), ('text', 'ProductName'), ('customer_text', 'ProductName'), ('product_text', 'ProductName'),
+  ('sales_customer', 'CustomerNo'), ('sales_product', 'ProductName'), ('sales_country', 'Country'), ('sales_quantity', 'Quantity'), ('sales_price', 'Price'),
+  ('sales_date', 'Date'), ('sales_product_id', 'TransactionNo')) AS named(role, "column")
+UNION ALL SELECT 'id', c FROM numbers WHERE c LIKE '%No' OR kinds > 0.8 * n
+UNION ALL SELECT 'price', c FROM numbers WHERE c = 'Price' OR (lo >= 0 AND hi < 1000000)
+UNION ALL SELECT 'quantity', c FROM numbers WHERE c = 'Quantity' OR (whole AND hi < 10000)
+UNION ALL SELECT 'categorical', c FROM numbers WHERE kinds BETWEEN 2 AND 20"""
+
+
 def _role_rows(spark, folder):
     """What each sales role finds in order lines under plain names, as (role, column) rows."""
     t = _plain_sales(spark, folder).withColumn("Country", F.lit("x")).withColumn("ProductName", F.concat(F.lit("part "), F.col("LineNo")))
     found = {"date": [roles.sales_date_column(t)], "trend_date": [roles.trend_date_column(t)], "product_name": [roles.product_name_column(t)]}
     found |= {"transform_date": list(roles.transform_date_columns(t)), "id": roles.id_columns(t), "price": roles.price_columns(t)}
     found |= {"quantity": roles.quantity_columns(t), "categorical": list(roles.categorical_columns(t)), "text": tables.of_kind(t, lambda kind: kind.typeName() == "string").columns}
+    found |= {"customer_text": roles.customer_text_columns(t), "product_text": roles.product_text_columns(t)}
     found |= {f"sales_{r}": [c] for r, c in roles.sales_roles(t).items()}
     rows = [F.struct(F.lit(role).alias("role"), F.lit(c).alias("column")) for role, columns in found.items() for c in columns if c]
     return spark.range(1).select(F.inline(F.array(*rows)))
@@ -203,6 +230,11 @@ UNION ALL SELECT 'customer', count(*), 5 FROM customer UNION ALL SELECT 'supplie
         lambda s, d: files.page(table(s, d, "customer"), ["c_acctbal", "c_custkey"], 25, 3),
         "SELECT * FROM customer ORDER BY c_acctbal, c_custkey LIMIT 25 OFFSET 75",
     ),
+    "deep_page": Query(
+        _deep_page,
+        """SELECT * FROM (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity, l_orderkey, l_linenumber
+LIMIT 100 OFFSET (SELECT count(*) // 200 * 100 FROM lineitem))""",
+    ),
     "page_after": Query(
         lambda s, d: files.page_after(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"], 100, [50, 2]),
         """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey > 50 OR l_orderkey = 50 AND l_linenumber > 2
@@ -373,7 +405,7 @@ FROM t LEFT JOIN ({_codes('l_returnflag', 't')}) f ON f.v = t.l_returnflag LEFT
             + " FROM admissions"
         ),
     ),
-    "sales_roles_found": Query(_role_rows),
+    "sales_roles_found": Query(_role_rows, _ROLES_FOUND),
     "transform_healthcare": Query(
         lambda s, d: (lambda a: transform.transform_healthcare(a, clinical_columns(a)))(admissions(s, d))
     ),

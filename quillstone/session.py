@@ -12,10 +12,12 @@ a result still reads lives until ``release(table)`` or the end of the Python pro
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: dict[str, SparkSession] = {}
@@ -36,6 +38,11 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """For tasks: the file system of a path in the shared folder, and the path in it; also for Hadoop's file:/path."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Evaluate a short result once into the shared folder."""
     shared_folder(df.sparkSession)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import NUMBER_PATTERN, chance, quoted
-from ..session import stage_lines
+from ..functions.ordering import sorted_files
+from ..session import release, stage_lines
 from . import ranges
 
 PREVIEW_ROWS = 50
@@ -190,10 +192,36 @@ def first_rows(df: DataFrame, rows: int, order_by: Sequence[str] = ()) -> DataFr
 
 
 def page(df: DataFrame, order_by: Sequence[str], size: int, number: int) -> DataFrame:
-    """Page ``number`` (from 0) of an ordered table. Deep pages put all rows before them in order; see ``page_after``."""
+    """Page ``number`` (from 0) of an ordered table. Deep pages put all rows before them in order; see ``Pages`` and ``page_after``."""
     return df.orderBy(*[quoted(c) for c in order_by]).offset(size * number).limit(size)
 
 
+class Pages:
+    """A table's pages in one order, each read from the one or few files that hold it, however deep it is.
+
+    The table is sorted and written once; the index has the positions of each written file.
+    """
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str], unique: bool = False):
+        self.copy, self.files = sorted_files(df, order_by, unique)
+        self.order_by, self.rows = list(order_by), self.files[-1].end if self.files else 0
+
+    def page(self, size: int, number: int) -> DataFrame:
+        """Page ``number`` (from 0) with ``size`` rows, fewer on the last one, none beyond it."""
+        begin, end = size * number, size * (number + 1)
+        held = [f for f in self.files if f.first < end and f.end > begin]
+        if not held:
+            return self.copy.limit(0)
+        place = F.col("_metadata.row_index")
+        parts = [
+            self.copy.sparkSession.read.schema(self.copy.schema).parquet(f.path).filter((place >= begin - f.first) & (place < end - f.first)) for f in held
+        ]
+        return reduce(DataFrame.unionByName, parts).orderBy(*[quoted(c) for c in self.order_by])
+
+    def release(self) -> None:
+        release(self.copy)
+
+
 def page_after(df: DataFrame, order_by: Sequence[str], size: int, last: Sequence | None = None) -> DataFrame:
     """The page after the row whose ``order_by`` values are ``last``, or the first page.
 

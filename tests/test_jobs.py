@@ -230,6 +230,27 @@ def test_merge_pads_and_drops(spark):
     assert [r["v_file3"] for r in got] == [f"c{i}" for i in range(5)]
 
 
+@pytest.mark.parametrize("rows", [1, 7, 8192])
+def test_merge_reads_ranges_of_files(spark, monkeypatch, rows):
+    """Frames of different sizes and kinds, in several files; no join and no exchange after the sorts."""
+    monkeypatch.setattr(clean, "MERGED_ROWS", rows)
+    draw = np.random.RandomState(2)
+    made = []
+    for size in (300, 170, 421):
+        keys = draw.permutation(size)
+        made.append(pd.DataFrame({"k": keys, "t": pd.Timestamp("2020-01-01") + pd.to_timedelta(keys, "h"), "s": [f"t{k}" if k % 5 else None for k in keys], "f": keys / 7}))
+    frames = [spark.createDataFrame(frame).repartition(4).withColumn("l", F.array("k")) for frame in made]
+    merged = clean.merge_side_by_side(frames, [["k"], ["k"], ["k"]], unique=True)
+    assert "Join" not in merged._jdf.queryExecution().toString() and "Exchange" not in merged._jdf.queryExecution().toString()
+    got = merged.orderBy("k").collect()
+    assert len(got) == 300 and merged.columns[5:7] == ["k_file2", "t_file2"]
+    for k, r in enumerate(got):
+        assert (r["k"], r["l"], r["t"]) == (k, [k], pd.Timestamp("2020-01-01") + pd.Timedelta(k, "h"))
+        assert (r["k_file2"], r["l_file2"]) == ((k, [k]) if k < 170 else (None, None)) and r["s_file3"] == (f"t{k}" if k % 5 else None)
+    none = clean.merge_side_by_side([frames[0].limit(0), frames[1]], [["k"], ["k"]])
+    assert none.count() == 0 and len(none.columns) == 10
+
+
 def test_clean_healthcare_fills(spark):
     df = spark.createDataFrame([(1.0, " b "), (3.0, "a"), (None, None), (8.0, "a"), (8.0, " b ")], "n double, t string")
     got = sorted((r["n"], r["t"]) for r in clean.clean_healthcare(df).collect())
@@ -424,7 +445,7 @@ def test_readmission_beats_majority(stays):
 
 
 def test_all_models_report(stays, monkeypatch):
-    monkeypatch.setitem(models.MODELS, "outcome", lambda df, r: models.outcome(df, r, rounds=3))
+    monkeypatch.setitem(models.MODELS, "outcome", lambda df, r, **options: models.outcome(df, r, rounds=3, **options))
     reports = models.train(stays, CARE)
     assert {r["model"] for r in reports.select("model").distinct().collect()} == set(models.MODELS)
     with pytest.raises(ValueError):
@@ -432,7 +453,15 @@ def test_all_models_report(stays, monkeypatch):
 
 
 def test_too_little_data(stays):
-    assert _report(models.readmission(stays.limit(50), CARE)) == {("status", "insufficient_data"): 50.0}
+    assert _report(models.readmission(stays.limit(50), CARE, min_rows=101)) == {("status", "insufficient_data"): 50.0}
+    assert _report(models.cost(stays.limit(0), CARE)) == {("status", "insufficient_data"): 0.0}
+    few = _report(models.cost(stays.limit(15), CARE))
+    assert ("importance", "age") in few
+
+
+def test_text_roles(spark):
+    df = spark.createDataFrame([("a", 1, "b", "c", "d")], "Customer string, ClientNo int, `Person Name` string, ItemClass string, Note string")
+    assert roles.customer_text_columns(df) == ["Customer", "Person Name"] and roles.product_text_columns(df) == ["ItemClass"]
 
 
 def test_label_levels(stays):
@@ -665,6 +694,14 @@ def test_first_rows_and_pages(spark):
     df = spark.range(100)
     assert files.first_rows(df, 7, ["id"]).agg(F.max("id")).first()[0] == 6
     assert [r["id"] for r in files.page(df, ["id"], 10, 3).collect()] == list(range(30, 40))
+    pages = files.Pages(df.repartition(5), ["id"], unique=True)
+    assert len(pages.files) > 3
+    for size, number in ((10, 3), (1, 99), (30, 3), (7, 14), (1000, 0), (10, 10)):
+        page = pages.page(size, number)
+        assert [r["id"] for r in page.collect()] == list(range(size * number, min(100, size * (number + 1))))
+        assert size > 10 or len(page.inputFiles()) <= 2 or number == 10
+    pages.release()
+    assert files.Pages(df.limit(0), ["id"]).page(10, 0).count() == 0
     sample = files.stable_sample(df, ["id"], 20)
     assert sample.exceptAll(files.stable_sample(df.repartition(4), ["id"], 20)).count() == 0
 
