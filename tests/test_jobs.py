@@ -230,8 +230,16 @@ def test_merge_pads_and_drops(spark):
     assert [r["v_file3"] for r in got] == [f"c{i}" for i in range(5)]
 
 
+@pytest.fixture
+def several_files(spark):
+    """Sorts of small tables keep all their partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("rows", [1, 7, 8192])
-def test_merge_reads_ranges_of_files(spark, monkeypatch, rows):
+def test_merge_reads_ranges_of_files(spark, monkeypatch, several_files, rows):
     """Frames of different sizes and kinds, in several files; no join and no exchange after the sorts."""
     monkeypatch.setattr(clean, "MERGED_ROWS", rows)
     draw = np.random.RandomState(2)
@@ -690,7 +698,7 @@ def test_latest_prefers_transformed(spark, tmp_path):
     assert files.latest_dataset(spark, str(tmp_path), ("none_",)) is None
 
 
-def test_first_rows_and_pages(spark):
+def test_first_rows_and_pages(spark, several_files):
     df = spark.range(100)
     assert files.first_rows(df, 7, ["id"]).agg(F.max("id")).first()[0] == 6
     assert [r["id"] for r in files.page(df, ["id"], 10, 3).collect()] == list(range(30, 40))
