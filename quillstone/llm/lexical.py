@@ -121,10 +121,10 @@ class _Lists:
 
 
 class _Best:
-    """The k best (score, key) of each query so far; of equal scores the smaller key."""
+    """The k best (score, key) of each query so far, from ``least`` on; of equal scores the smaller key."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.least = k, np.zeros(queries, np.int64)
+    def __init__(self, least: np.ndarray, k: int):
+        self.k, self.least = k, least.copy()
         self.query, self.score, self.key = (np.empty(0, np.int64) for _ in range(3))
 
     def add(self, query: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
@@ -137,12 +137,13 @@ class _Best:
         self.query, self.score, self.key = query[rank < self.k], score[rank < self.k], key[rank < self.k]
 
 
-def _best_of(counted: DataFrame, total: tuple[int, int], queries: int, k: int, creating: _Lists, later: _Lists | None = None, rest=None, kth=None) -> DataFrame:
-    """(query, score, _key): the k best accumulators of each query in each task. Without ``later``, sums of the
-    creating terms; else whole scores of those that can still reach ``kth``."""
+def _best_of(counted: DataFrame, total: tuple[int, int], kth: np.ndarray, k: int, creating: _Lists, later: _Lists | None = None, rest=None) -> DataFrame:
+    """(query, score, _key): the k best accumulators of each query in each task, from the k-th best sum known
+    so far on. Without ``later``, sums of the creating terms; else whole scores of those that can still reach ``kth``."""
+    queries = len(kth)
 
     def worked(batches):
-        best = _Best(queries, k)
+        best = _Best(kth, k)
         for some in _postings(batches, *total, max(1, min(ROWS_AT_ONCE, SLICE_CELLS // queries))):
             sums = np.zeros((len(some.keys), queries), np.int64)
             for row, query, score in creating.scores(some):
@@ -222,7 +223,7 @@ def _search(docs: DataFrame, pairs: DataFrame, text: str, key: str, k: int) -> D
         open_ = taken < sizes
         while open_.any():
             lists = _Lists.of(open_[query] & (rank < taken[query]), term, query, weights[term], len(words))
-            best = _merged(_best_of(counted, total, len(items), k, lists), k)
+            best = _merged(_best_of(counted, total, kth, k, lists), k)
             for r in best.filter(F.col("rank") == k).collect():  # a row per query
                 kth[r["query"]] = r["score"]
             open_ &= rest() >= kth
@@ -230,7 +231,7 @@ def _search(docs: DataFrame, pairs: DataFrame, text: str, key: str, k: int) -> D
             open_ &= taken < sizes
         creating = rank < taken[query]
         lists = [_Lists.of(chosen, term, query, weights[term], len(words)) for chosen in (creating, ~creating)]
-        found = _merged(_best_of(counted, total, len(items), k, *lists, rest(), kth), k)
+        found = _merged(_best_of(counted, total, kth, k, *lists, rest()), k)
         name = F.element_at(F.lit(items).cast("array<long>"), (F.col("query") + 1).cast("int"))
         return stage_table(found.select(name.alias("_item"), "rank", "_key", "score"))
 
