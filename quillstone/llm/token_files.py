@@ -26,23 +26,32 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from ..session import stage_table
+from .bpe import byte_letters
 
 MAGIC = b"QSTOKEN1"
 TRAILER = struct.Struct("<QIIQ8s")
 BLOCK_IDS = 1 << 16
 READ_IDS = 1 << 21  # of one byte range, unless a document has more
-ROWS_AT_ONCE = 500
+BYTES_AT_ONCE = 1 << 20  # of texts whose words are in memory together, unless a text has more
 WORDS_AT_ONCE = 2_000  # of one call of the library
-CACHED_WORDS = 500_000  # per Python worker, some 100 MB
+CACHED_BYTES = 24 << 20  # of words and their ids per Python worker, some 80 MB as objects
 
 
+#: Below it no two characters make one, and small letters are the same to all.
+_LATIN_END = "\u0250"
 _CLOSING = re.compile(rb"([a-z])([.,;:!?]+)(?=\s|\Z)")
+#: A mark after a byte beyond ASCII that ends no letter from U+00C0 to U+00FF.
+_AFTER_OTHERS = re.compile(rb"(?:(?<!\xc3)[\x80-\xff]|(?<=\xc3)[\x97\xb7])[.,] ")
+#: By byte: a letter or digit, white space, a full stop or comma, a part of a character beyond ASCII, anything else.
+_KINDS = bytes(ord("u") if b > 127 else ord("a") if chr(b).isalnum() else 32 if b in b" \t\n\r\v\f" else ord(".") if b in b".," else ord("#") for b in range(256))
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -133,8 +142,8 @@ class WordEncoder:
     Then a text's ids are those of its words one after the other, so a word met before need not be
     encoded again. Only ASCII white space separates words here; the library sees any other. A run
     of punctuation after an ASCII letter is a word of its own, as it is to the tokenizer. New words
-    of nothing but letters go to the library many at a time, and the mark that ends a word in its
-    vocabulary tells their ids apart.
+    of Latin letters and ASCII signs are cut into the tokenizer's pieces here, which the library's model gets
+    without its other steps, as those change nothing more; the rest go through all of them.
     """
 
     def __init__(self, path: str):
@@ -142,44 +151,58 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        vocabulary = self._tokenizer.get_vocab()
-        self.vocabulary_size = max(vocabulary.values()) + 1
+        self._model = self._tokenizer.model
         with open(path, encoding="utf-8") as file:
-            mark = json.load(file)["model"].get("end_of_word_suffix")
-        self._ends = np.zeros(self.vocabulary_size, bool)
-        self._ends[[i for token, i in vocabulary.items() if mark and token.endswith(mark)]] = True
+            made = json.load(file)
+        self._pieces = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # Added tokens are found before all else, in the text as it is.
+        self._added = [t["content"].lower().encode() for t in made["added_tokens"]]
+        self._letters = {chr(b): letter for b, letter in byte_letters().items()}
+        self.vocabulary_size = max(self._tokenizer.get_vocab().values()) + 1
         self._known: dict[bytes, bytes] = {}
+        self._held = 0
 
     def _learn(self, new: list[bytes]) -> None:
-        text = [w.decode() for w in new]
-        one_by_one = [n for n, w in enumerate(text) if not w.isalpha()]
-        letters = [n for n, w in enumerate(text) if w.isalpha()]
-        for at in range(0, len(letters), WORDS_AT_ONCE):
-            part = letters[at : at + WORDS_AT_ONCE]
-            ids = np.array(self._encode([" ".join([text[n] for n in part])])[0].ids, dtype="<u4")
-            ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
-            if len(ends) != len(part):  # the library takes some of them for more than one word
-                one_by_one += part
+        tokenize, known, letters = self._model.tokenize, self._known, self._letters
+        others = []
+        for word in new:
+            if word.isalpha():
+                known[word] = array("I", [t.id for t in tokenize(word.decode())]).tobytes()
                 continue
-            raw, begin = ids.tobytes(), 0
-            for n, end in zip(part, ends.tolist()):
-                self._known[new[n]] = raw[begin:end]
-                begin = end
-        for at in range(0, len(one_by_one), WORDS_AT_ONCE):
-            part = one_by_one[at : at + WORDS_AT_ONCE]
-            self._known.update((new[n], array("I", e.ids).tobytes()) for n, e in zip(part, self._encode([text[n] for n in part])))
+            text = word.decode().lower()
+            if max(text) >= _LATIN_END or len(text.split()) != 1:
+                others.append(word)
+                continue
+            # The model has a letter for each byte of UTF-8.
+            pieces = ["".join(map(letters.__getitem__, p.encode().decode("latin-1"))) for p in self._pieces.findall(text)]
+            known[word] = array("I", [t.id for p in pieces for t in tokenize(p)]).tobytes()
+        for at in range(0, len(others), WORDS_AT_ONCE):
+            part = others[at : at + WORDS_AT_ONCE]
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self._encode([w.decode() for w in part])))
+        self._held += sum(len(w) + len(known[w]) for w in new)
 
     def _encode(self, texts: list[str]):
         return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        known = self._known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        split = [_CLOSING.sub(rb"\1 \2", (t or "").encode().lower()).split() for t in texts]
-        self._learn(list({w for words in split for w in words if w not in known}))
-        return [b"".join([known[w] for w in words]) for words in split]
+        if self._held > CACHED_BYTES:
+            self._known.clear()
+            self._held = 0
+        low = [(t or "").encode().lower() for t in texts]
+        whole = [n for n, t in enumerate(low) if any(a in t for a in self._added)]
+        ids = {n: array("I", e.ids).tobytes() for n, e in zip(whole, self._encode([texts[n] for n in whole]))}
+        split = [_words(t) if n not in ids else [] for n, t in enumerate(low)]
+        self._learn(list(set().union(*split).difference(self._known)))
+        known = self._known.__getitem__
+        return [ids.get(n) or b"".join(map(known, words)) for n, words in enumerate(split)]
+
+
+def _words(low: bytes) -> list[bytes]:
+    kinds = low.translate(_KINDS)
+    if b"#. " in kinds or b".. " in kinds or b"u. " in kinds and _AFTER_OTHERS.search(low):  # more than one mark may end a word
+        return _CLOSING.sub(rb"\1 \2", low).split()
+    return low.replace(b", ", b" , ").replace(b". ", b" . ").split()
 
 
 @cache
@@ -187,6 +210,16 @@ def load(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _sliced(batch: pa.RecordBatch):
+    """Some rows at a time, ``BYTES_AT_ONCE`` of text together unless a text has more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES_AT_ONCE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, text: str = "text", key: str = "doc_id", block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode the texts, each followed by ``end_id``, into shards in ``folder``, in ascending order of the key.
 
@@ -208,8 +241,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, text
                 path = f"{path}/part-{part:06d}-{uuid.uuid4().hex}.ids"
                 writer = ShardWriter(system.open_output_stream(path), bits, block_ids)
                 shard = f"{folder}/{path.rpartition('/')[2]}"
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(at, ROWS_AT_ONCE)
+            for rows in _sliced(batch):
                 ids = [i + end for i in encode(rows.column("_text").to_pylist())]
                 sizes = np.array([len(i) // 4 for i in ids], dtype=np.int64)
                 firsts = writer.n + np.concatenate([[0], sizes.cumsum()[:-1]])

@@ -55,6 +55,11 @@ def test_words_as_the_library():
     texts = _texts(4000)
     want = [np.array(e.ids, "<u4").tobytes() for e in theirs.encode_batch(texts, add_special_tokens=False)]
     assert mine(texts) == want and mine(texts) == want and mine([None]) == [b""]
+    letters = [chr(c) for c in range(1, 0x300)]
+    odd = [f"a{c}b {c} x{c}, {c}. {c}{c}, É{c}é 1{c}2, '{c}s" for c in letters] + ["<|EndOfText|> a", "a<|startoftext|>, é", "x" * 200_000]
+    draw = random.Random(5)
+    odd += ["".join(draw.choice(letters + [" ", ",", ". ", ", ", "é", "É", "'s", "$$$"] * 20) for _ in range(30)) for _ in range(2000)]
+    assert mine(odd) == [np.array(e.ids, "<u4").tobytes() for e in theirs.encode_batch(odd, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 31, 32])
