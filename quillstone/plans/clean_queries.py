@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros
@@ -11,7 +9,7 @@ from ..functions.grouping import time_columns
 from ..functions import roles
 from ..functions.roles import clinical_columns
 from ..operators import clean, tables, transform
-from ..session import shared_folder
+from ..session import new_folder
 from ..sources import files
 from ..sources.views import admissions, sales, table
 from .profile_queries import _LINES, LINE, lines
@@ -106,7 +104,7 @@ _TABLE_FILES = ("nation", "customer", "supplier")
 
 def _as_files(spark, folder, form):
     """Write three given tables as text files into the shared folder and return their paths."""
-    target = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    target = new_folder(spark, "files")
     paths = []
     for name in _TABLE_FILES:
         path = f"{target}/{name}.{form}"
@@ -126,7 +124,7 @@ def _json_customers(spark, folder):
 
 
 def _written(spark, folder, name, form):
-    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}/{name}.{form}"
+    path = f"{new_folder(spark, 'files')}/{name}.{form}"
     source = table(spark, folder, name)
     if form == "csv":
         files.write_csv(source, path)
@@ -142,7 +140,7 @@ def _file_counts(spark, folder):
 
 
 def _latest(spark, folder):
-    target = f"{shared_folder(spark)}/datasets-{uuid.uuid4().hex}"
+    target = new_folder(spark, "datasets")
     files.write_stage(table(spark, folder, "supplier"), f"{target}/merged_2")
     files.write_stage(table(spark, folder, "customer"), f"{target}/transformed_1")
     return spark.read.parquet(files.latest_dataset(spark, target))
@@ -407,6 +405,20 @@ FROM t LEFT JOIN ({_codes('l_returnflag', 't')}) f ON f.v = t.l_returnflag LEFT
     ),
     "sales_roles_found": Query(_role_rows, _ROLES_FOUND),
     "transform_healthcare": Query(
-        lambda s, d: (lambda a: transform.transform_healthcare(a, clinical_columns(a)))(admissions(s, d))
+        lambda s, d: (lambda a: transform.transform_healthcare(a, clinical_columns(a)))(admissions(s, d)),
+        on_admissions(
+            """SELECT *, CAST("Billing Amount" AS DOUBLE) AS "Healthcare_Cost", (SELECT count(DISTINCT "Medical Condition") FROM admissions) / 100.0::DOUBLE AS "Patient_Severity", """
+            + ", ".join(
+                f'{f}("{c}")::INTEGER AS "{c}_{n}"'
+                for c in ("Date of Admission", "Discharge Date")
+                for f, n in (("year", "Year"), ("month", "Month"), ("quarter", "Quarter"))
+            )
+            + ", "
+            + ", ".join(
+                f'dense_rank() OVER (ORDER BY "{c}") - 1 AS "{c}_Encoded"'
+                for c in ("Name", "AgeText", "Gender", "Blood Type", "Medical Condition", "Admission Type", "Insurance Provider", "Medication", "Test Results")
+            )
+            + " FROM admissions"
+        ),
     ),
 }

@@ -24,10 +24,15 @@ _kept: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; without it, one beside the warehouse's tables."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; without it, one beside the warehouse's tables.
+
+    Without the setting, a warehouse on the driver's own disk will do on a single machine only.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     folder = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    if not named and not context.master.startswith("local") and folder.startswith(("file:", "/")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -53,6 +58,13 @@ def new_path(spark: SparkSession, kind: str = "table") -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path for files that a job writes by itself; deleted with the process."""
+    path = new_path(spark, kind)
+    _kept[path] = spark
+    return path
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -69,9 +81,7 @@ def stage_table(df: DataFrame) -> DataFrame:
 
 def stage_lines(df: DataFrame) -> str:
     """Write texts to the shared folder, a line each, and return the path; deleted with the process."""
-    spark = df.sparkSession
-    path = new_path(spark, "lines")
-    _kept[path] = spark
+    path = new_folder(df.sparkSession, "lines")
     df.write.text(path)
     return path
 

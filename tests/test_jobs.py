@@ -511,9 +511,9 @@ def test_isolation_finds_outliers(spark):
 class _Cluster:
     """A session on a cluster, as far as the choice of the folder looks at it."""
 
-    def __init__(self, named=None, current=None):
+    def __init__(self, named=None, current=None, warehouse="hdfs:///warehouse"):
         self.made = current
-        self.conf = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": "hdfs:///warehouse"}
+        self.conf = {"spark.checkpoint.dir": named, "spark.sql.warehouse.dir": warehouse}
         self.sparkContext = self
         self.master = "spark://host:7077"
 
@@ -529,6 +529,9 @@ def test_shared_folder_of_a_cluster():
     assert shared_folder(named) == "hdfs:///stage" and named.made == "hdfs:///stage"
     assert shared_folder(_Cluster(current="hdfs:///other")) == "hdfs:///other"
     assert shared_folder(_Cluster()) == "hdfs:///warehouse/_staging"
+    for local in ("file:/home/spark/warehouse", "/home/spark/warehouse"):
+        with pytest.raises(ValueError):
+            shared_folder(_Cluster(warehouse=local))
 
 
 def test_scratch_leaves_nothing(spark):
