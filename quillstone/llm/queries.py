@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
-from ..session import new_path
+from ..session import new_folder
 from . import bpe, chat, exact_dedup, lexical, licences, mixing, neighbours, runs, simhash, token_files, toxicity, warc, winnowing
 
 
@@ -37,7 +37,7 @@ def op4_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's place and ids, read back from the shard files."""
     documents, path = _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
-    index = token_files.write_tokens(documents, path, new_path(spark, "tokens"), end_id=1)
+    index = token_files.write_tokens(documents, path, new_folder(spark, "tokens"), end_id=1)
     return token_files.read_tokens(index).select(
         F.col("_key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
@@ -55,19 +55,19 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document's fingerprint beside those of its edit and of the next document."""
+    """Each document's fingerprint, as ``position:hash`` in order, beside those of its edit and of the next document."""
     pairs = winnowing.edited_pairs(_table(spark, folder, "documents"))
 
-    def digest(marks):
-        return F.sha2(F.concat_ws(",", F.transform(marks, lambda m: F.concat_ws(":", m["pos"], m["hash"]))), 256)
+    def written(marks):
+        return F.array_join(F.transform(marks, lambda m: F.concat_ws(":", m["pos"], F.hex(m["hash"]))), " ")
 
     own = F.col("fingerprint.hash")
     return pairs.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        digest("fingerprint").alias("fingerprint"),
-        digest("edited_fingerprint").alias("edited_fingerprint"),
+        written("fingerprint").alias("fingerprint"),
+        written("edited_fingerprint").alias("edited_fingerprint"),
         winnowing.likeness(own, F.col("edited_fingerprint.hash")).alias("near_edited"),
         winnowing.likeness(own, F.col("next_fingerprint.hash")).alias("near_next"),
     )
@@ -87,7 +87,7 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Each page's record, read back from the archives."""
-    index = warc.write_archives(_table(spark, folder, "pages"), new_path(spark, "warc"))
+    index = warc.write_archives(_table(spark, folder, "pages"), new_folder(spark, "warc"))
     return warc.read_archives(index).select(
         F.col("page").cast("long").alias("page_id"),
         "payload_bytes",

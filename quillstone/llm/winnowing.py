@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is cut into pieces: runs of up to four characters that are not white space, lower-cased.
+A text is cut into pieces, lower-cased: a run of up to 24 characters that are not white space is one
+piece, a word as a rule; a longer run, and what is written in a script without spaces, goes character by
+character. So how a passage is cut does not depend on what stands before or after its runs.
 Every ``k`` pieces in a row are hashed, and of every ``w`` hashes in a row the smallest is kept,
-the rightmost of equals, with its position. So two texts that share a run of w + k - 1 pieces,
-both cut alike, share at least one hash, and nothing shorter than k pieces is ever matched.
+the rightmost of equals, with its position. So two texts that share w + k - 1 pieces in a row share
+at least one hash, wherever they stand, and nothing shorter than k pieces is ever matched.
 
 The smallest of a window is found on 31 bits of the hash with the position below them, in one
 number, so that ties go to the right; what is kept is the whole hash.
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage_table
 
-PIECE = r"\S{1,4}"
+#: Code points of scripts that put no spaces between words: Thai to Tibetan, Burmese, Khmer, Kana and Han.
+UNSPACED = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+PIECE = rf"(?<!\S)[^\s{UNSPACED}]{{1,24}}(?!\S)|\S"
 K, W = 5, 8
 ROWS_PER_BLOCK = 2_000
-MOST_BLOCKS = 100_000
+MOST_BLOCKS = 1_000_000
+INTERVALS = 256
 _LOW = 0x7FFFFFFF
 
 
@@ -60,15 +65,24 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame,
 
     The first rows of the next block are added to each block as guests (``_guest``), to be dropped
     after the lead. Keys are integers; NULL keys come last, and equal keys are ordered by a hash of
-    ``columns``. Blocks are cut evenly between the smallest and the largest key, 100 000 at most.
+    ``columns``. The keys are cut at ``INTERVALS`` quantiles, so an outlying key makes no large block, and
+    evenly in between.
     """
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
-    blocks = max(1, min(n // ROWS_PER_BLOCK, MOST_BLOCKS))
-    width = max(1.0, (float(high or 0) - float(low or 0)) / blocks + 1e-9)
+    spread = [i / INTERVALS for i in range(INTERVALS + 1)]
+    n, edges = docs.agg(F.count(F.lit(1)), F.percentile_approx(F.col(key).cast("long"), spread, 20 * INTERVALS)).first()
+    edges = sorted(set(edges or [0]))
+    each = max(1, min(n // ROWS_PER_BLOCK, MOST_BLOCKS) // INTERVALS)
+    value = F.coalesce(F.col(key).cast("long"), F.lit(edges[0]))
+    # The last edge at or below the key, and the share of the way to the next one.
+    number = F.greatest(F.size(F.filter(F.lit(edges), lambda e: e <= value)) - 1, F.lit(0))
+    exact = lambda c: c.cast("decimal(20,0)")
+    low, high = F.get(F.lit(edges), number), F.coalesce(exact(F.get(F.lit(edges), number + 1)), exact(F.lit(edges[-1])) + 1)
+    share = (exact(value) - exact(low)).cast("double") / (exact(high) - exact(low)).cast("double")
+    part = F.greatest(F.lit(0), F.least(F.floor(share * each), F.lit(each - 1))).cast("long")
     # The last key's block is where NULL keys go too.
-    block = F.floor((F.lit(float(high or 0)) - F.coalesce(F.col(key), F.lit(low or 0)).cast("double")) / width)
+    block = -(number.cast("long") * each + part)
     rows = docs.withColumn("_block", block).withColumn("_tie", F.xxhash64(*columns))
-    # One row per block, 100 000 at most.
+    # One row per block.
     heads = rows.groupBy("_block").agg(F.max(key).alias("_head"))
     order = Window.orderBy("_block")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import textwrap
 import zlib
 
@@ -79,6 +80,60 @@ def test_winnowing_keeps_the_rightmost_smallest(spark):
         assert [m["pos"] for m in row["fp"]] == places and [m["hash"] for m in row["fp"]] == [row["grams"][p] for p in places]
 
 
+def _hashes(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    rows = winnowing.with_fingerprint(df, "text", "fp").orderBy("doc_id").collect()
+    return [{m["hash"] for m in r["fp"]} for r in rows]
+
+
+def test_winnowing_finds_passages_at_any_offset(spark):
+    """A passage of w + k - 1 pieces shares a hash, spaced or not, whatever stands around it."""
+    draw = random.Random(8)
+    need = winnowing.W + winnowing.K - 1
+    han = "".join(chr(0x4E00 + draw.randrange(3000)) for _ in range(200))
+    long = "".join(draw.choice("abcdefghijklmnop0123456789+/") for _ in range(1440))
+    spaced = " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 9))) for _ in range(60))
+    for text, cut in ((han, 1), (long, 1), (spaced, None)):
+        if cut:
+            shifted = ["x" * n + text for n in (1, 2, 3, 5)] if text is long else [chr(0x5000) * n + text for n in (1, 2, 3)]
+            passages = [text[at : at + (need if text is han else 40)] for at in (0, 1, 7, 30, 100)]
+            around = [("y" * 30 + p + "z" * 30) if text is long else (chr(0x6000) * 3 + p + " b") for p in passages]
+        else:
+            words = text.split()
+            shifted = ["one more " + text, "x" + text]
+            around = ["before " + " ".join(words[at : at + need]) + " and after" for at in (0, 1, 7, 30)]
+        own, *others = _hashes(spark, [text, *shifted, *around])
+        assert all(own & other for other in others)
+        assert all(len(own & other) > 0.8 * len(own) for other in others[: len(shifted)])
+
+
+def test_likeness_of_edits_against_a_plain_version(spark):
+    draw = random.Random(4)
+    words = ["w%d" % n for n in range(50)]
+    rows = [(n, " ".join(draw.choices(words, k=draw.choice([0, 3, 30, 80])))) for n in range(40)] + [(10**15, "alone " * 30), (-5, rows_text := "b c " * 9), (-7, rows_text)]
+    got = {r["doc_id"]: r for r in winnowing.edited_pairs(spark.createDataFrame(rows, DOCS)).collect()}
+    edits = brute.edits(rows)
+    order = sorted(edits, reverse=True)
+    prints = dict(zip([d for d, _ in rows], _hashes(spark, [t for _, t in rows])))
+    edited = dict(zip(order, _hashes(spark, [edits[d][1] for d in order])))
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for n, doc in enumerate(order):
+        r = got[doc]
+        assert {m["hash"] for m in r["fingerprint"]} == prints[doc] and {m["hash"] for m in r["edited_fingerprint"]} == edited[doc]
+        assert {m["hash"] for m in r["next_fingerprint"]} == prints[order[(n + 1) % len(order)]]
+        assert r["edited"] == edits[doc][1]
+    frame = spark.createDataFrame(rows, DOCS)
+    liked = {r["doc_id"]: (r["e"], r["n"]) for r in winnowing.edited_pairs(frame).select("doc_id", winnowing.likeness(F.col("fingerprint.hash"), F.col("edited_fingerprint.hash")).alias("e"), winnowing.likeness(F.col("fingerprint.hash"), F.col("next_fingerprint.hash")).alias("n")).collect()}
+    assert all(liked[d] == (near(prints[d], edited[d]), near(prints[d], prints[order[(n + 1) % len(order)]])) for n, d in enumerate(order))
+
+
+def test_an_outlying_key_makes_no_large_block(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).union(spark.createDataFrame([(10**17, "t"), (-(10**17), "t"), (None, "t")], DOCS))
+    blocks, _ = winnowing.with_next(df, "doc_id", ["text"])
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert max(sizes) < 400 and len(sizes) > 100
+
+
 def test_edits_of_the_next_document(spark, monkeypatch):
     monkeypatch.setattr(winnowing, "ROWS_PER_BLOCK", 3)
     rows = [(n * n, "text number %d é" % n * (n % 4)) for n in range(40)] + [(-5, None)]
