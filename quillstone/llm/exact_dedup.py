@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import scratch, stage_table
 
 BLOCK_BYTES = 4096
+HOT_SHARE = 1_000  # of all rows, a group that holds one part in so many is joined by a broadcast
 _LOCAL = 1 << 40  # names per sort partition
 
 _ROW = "_row long, _place long, _blocks long"
@@ -138,8 +139,13 @@ def find_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bl
     )
     named = text_names(texts, block_bytes)
     mine = F.struct(F.col("_carry.key").alias("key"), F.col("_row").alias("row"))
-    groups = named.groupBy("_level", "_name").agg(F.max(mine).alias("_keep"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["_level", "_name"]).select(
+    groups = stage_table(named.groupBy("_level", "_name").agg(F.max(mine).alias("_keep"), F.count(F.lit(1)).alias("group_size")))
+    # Groups of a thousandth of all rows or more, a thousand at most, go to the rows; the other rows go to their groups.
+    large = F.col("group_size") * HOT_SHARE >= named.count()
+    hot = F.broadcast(groups.filter(large))
+    rest = named.join(hot.select("_level", "_name"), ["_level", "_name"], "left_anti")
+    grouped = named.join(hot, ["_level", "_name"]).unionByName(rest.join(groups.filter(~large), ["_level", "_name"]))
+    return grouped.select(
         F.col("_carry.key").alias(key),
         F.col("_keep.key").alias("keep_id"),
         "group_size",
