@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = stage_table(chosen.select("_key", "label", part.alias("part")))
     # The chosen keys are bounded by ``labelled_rows``.
     texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    labelled = stage_table(texts.join(F.broadcast(chosen), "_key").select("text", "label", "part").repartition(8, F.xxhash64("text")))
+    labelled = stage_table(texts.join(F.broadcast(chosen), "_key").repartition(8, F.xxhash64("_key")).select("text", "label", "part"))
     counts = {(r["part"], r["label"]): r["count"] for r in labelled.groupBy("part", "label").count().collect()}
     if any(not counts.get((p, y)) for p in ("trees", "calibration") for y in (0, 1)):
         toxic = sum(n for (_, y), n in counts.items() if y)
