@@ -7,6 +7,10 @@ of the corpus. On examples kept back, a temperature is fitted to its probabiliti
 probability of a family is set, so that at most one unknown paragraph in a thousand passes. A
 prediction is confirmed by comparing the paragraph with the family's own notices.
 
+The words of a text are found and hashed once. Each bucket has one number, the most that it can
+lift a family over ``unknown``. A segment whose numbers do not add up to the lift that the least
+probability takes is unknown for certain; the regression judges all others.
+
 Of the corpus, ``sampled_docs`` documents are used for training, those with the smallest hash of
 their key; the scan itself reads all paragraphs of all documents.
 """
@@ -16,8 +20,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -123,10 +128,17 @@ def _grams(found: str, n: int) -> Column:
     return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(found, i, n)))
 
 
-def _pairs(found: str) -> Column:
-    size = F.size(found)
-    firsts = F.slice(found, F.lit(1), F.greatest(size - 1, F.lit(0)))
-    return F.zip_with(firsts, F.slice(found, F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+def _hashes(found: str) -> Column:
+    return F.transform(found, lambda w: F.hash(w))
+
+
+def _bucket(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BUCKETS))
+
+
+def _pair_bucket(hashes: str, hashed: Column, i: Column) -> Column:
+    """Of the word at ``i`` and its next."""
+    return _bucket(F.hash(hashed, F.get(F.col(hashes), i + 1)))
 
 
 def segments(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -138,28 +150,67 @@ def segments(docs: DataFrame, text: str, key: str) -> DataFrame:
     return cut.select("_key", "paragraph", "first_word", F.slice("_all", F.col("first_word") + 1, F.lit(SEGMENT_WORDS)).alias("_words"))
 
 
-def wrapped(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(_key, paragraph, first_word, last_paragraph, _words): overlapping segments of the whole texts that
-    hold words of several lines; paragraph and first_word tell where a segment starts."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line, i: F.struct(words(line).alias("found"), i.alias("line")))
-    several = F.filter(lines, lambda x: F.size(x["found"]) > 0)
-    worded = docs.select(F.col(key).alias("_key"), several.alias("_lines")).filter(F.size("_lines") > 1)
-    placed = F.flatten(F.transform("_lines", lambda x: F.transform(x["found"], lambda w, i: F.struct(w.alias("word"), x["line"].alias("line"), i.alias("place")))))
-    flat = worded.select("_key", placed.alias("_all"))
-    last = F.greatest(F.size("_all") - SEGMENT_WORDS + SEGMENT_STEP - 1, F.lit(0))
-    cut = F.transform(F.sequence(F.lit(0), last, F.lit(SEGMENT_STEP)), lambda at: F.slice("_all", at + 1, F.lit(SEGMENT_WORDS)))
-    # Only segments leave this step, not the whole text with each.
-    parts = flat.select("_key", F.explode(F.filter(cut, lambda part: F.get(part, F.lit(0))["line"] < F.element_at(part, -1)["line"])).alias("_part"))
-    first = F.get("_part", F.lit(0))
-    return parts.select(
-        "_key", first["line"].alias("paragraph"), first["place"].alias("first_word"), F.element_at("_part", -1)["line"].alias("last_paragraph"),
-        F.col("_part")["word"].alias("_words"),
+def promising(docs: DataFrame, text: str, key: str, lifts: Column, least: float) -> DataFrame:
+    """(_key, paragraph, first_word, last_paragraph, _words): the segments of the lines, and overlapping segments of
+    the whole texts that hold words of several lines, whose lifts add up to ``least``. A bucket counts once a segment.
+
+    ``lifts`` has a number for each bucket, no two equal. paragraph and first_word tell where a segment starts.
+    """
+    lines = docs.select(F.col(key).alias("_key"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), words).alias("_lines"))
+    none = F.array().cast("array<int>")
+    flat = lines.select(
+        "_key",
+        F.flatten("_lines").alias("_all"),
+        F.flatten(F.transform("_lines", lambda found, i: F.array_repeat(i, F.size(found)))).alias("_line"),
+        F.flatten(F.transform("_lines", lambda found: F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(none))).alias("_place"),
+    )
+    size = F.size("_all")
+    hashed = flat.select(
+        "*",
+        _hashes("_all").alias("_hashes"),
+        F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("_place", i) == 0)).otherwise(none).alias("_firsts"),
+    )
+
+    def cut(start: Column, words: Column) -> Column:
+        last = F.greatest(words - SEGMENT_WORDS + SEGMENT_STEP - 1, F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), last, F.lit(SEGMENT_STEP)),
+            lambda at: F.struct((start + at).alias("at"), F.least(F.lit(SEGMENT_WORDS), words - at).alias("n")),
+        )
+
+    def line_of(place: Column) -> Column:
+        return F.get("_line", place)
+
+    single = F.flatten(F.transform("_firsts", lambda first, i: cut(first, F.coalesce(F.get("_firsts", i + 1), size) - first)))
+    over = F.filter(cut(F.lit(0), size), lambda s: line_of(s["at"]) < line_of(s["at"] + s["n"] - 1))
+    lifted = hashed.select(
+        "_key", "_all", "_line", "_place",
+        F.transform("_hashes", lambda h: F.get(lifts, _bucket(h))).alias("_lifts"),
+        F.transform("_hashes", lambda h, i: F.get(lifts, _pair_bucket("_hashes", h, i))).alias("_pair_lifts"),
+        F.concat(single, over).alias("_segments"),
+    )
+
+    def lift(s: Column) -> Column:
+        own, pairs = F.slice("_lifts", s["at"] + 1, s["n"]), F.slice("_pair_lifts", s["at"] + 1, s["n"] - 1)
+        return F.aggregate(F.array_distinct(F.concat(own, pairs)), F.lit(0.0), lambda a, x: a + x)
+
+    likely = F.transform(
+        F.filter("_segments", lambda s: lift(s) >= least),
+        lambda s: F.struct(
+            line_of(s["at"]).alias("paragraph"), F.get("_place", s["at"]).alias("first_word"), line_of(s["at"] + s["n"] - 1).alias("last_paragraph"),
+            F.slice("_all", s["at"] + 1, s["n"]).alias("_words"),
+        ),
     )
+    # The outer form and a filter behind it: no filter on the segments is put before this step, where all would be made twice.
+    return lifted.select("_key", F.inline_outer(likely)).filter(F.col("paragraph").isNotNull())
 
 
 def _vectors(worded: DataFrame) -> DataFrame:
-    terms = worded.withColumn("_terms", F.concat("_words", _pairs("_words")))
-    return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="_terms", outputCol="_features").transform(terms).drop("_terms")
+    hashed = worded.withColumn("_hashes", _hashes("_words"))
+    pairs = F.slice(F.transform("_hashes", lambda h, i: _pair_bucket("_hashes", h, i)), F.lit(1), F.greatest(F.size("_hashes") - 1, F.lit(0)))
+    terms = hashed.withColumn("_terms", F.concat(F.transform("_hashes", _bucket), pairs).cast("array<string>"))
+    counted = CountVectorizerModel.from_vocabulary([str(n) for n in range(BUCKETS)], inputCol="_terms", outputCol="_features").setBinary(True)
+    return counted.transform(terms).drop("_hashes", "_terms")
 
 
 def _literal(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -204,6 +255,24 @@ class Scanner:
     temperature: float
     least: float  # probability of a family
 
+    def lifts(self) -> tuple[Column, float]:
+        """How far each bucket can lift any family over ``unknown``, and the lift that a family needs.
+
+        Rounded up to numbers that differ from bucket to bucket and whose sums are exact.
+        """
+        over = self.regression.coefficientMatrix.toArray()
+        most = (over[1:] - over[0]).max(axis=0)
+        numbers = np.ceil(most * 2.0**16) / 2.0**16 + np.arange(BUCKETS) / 2.0**30
+        start = self.regression.interceptVector.toArray()
+        least = min(self.least, 1 - 1e-9)
+        needed = self.temperature * np.log(least / (1 - least)) - (start[1:] - start[0]).max()
+        written = ",".join(repr(float(x)) for x in numbers)
+        return F.split(F.lit(written), ",").cast("array<double>"), float(needed) - 1e-6
+
+    def promising(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+        """The segments that are not unknown for certain; see above."""
+        return promising(docs, text, key, *self.lifts())
+
     def predict(self, worded: DataFrame) -> DataFrame:
         """``worded`` with family and probability; what is not sure enough is unknown."""
         scored = self.regression.transform(_vectors(worded)).withColumn("_raw", vector_to_array("_margins"))
@@ -253,12 +322,12 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) ->
     looked at. A paragraph of more than 60 words is scanned in segments that overlap by 30.
     """
     scanner = fit(docs, text, key, **options)
-    single = stage_table(scanner.predict(segments(docs, text, key)).filter(F.col("family") != UNKNOWN))
-    over = scanner.predict(wrapped(docs, text, key)).filter(F.col("family") != UNKNOWN)
+    judged = stage_table(scanner.predict(scanner.promising(docs, text, key)).filter(F.col("family") != UNKNOWN))
+    single, over = judged.filter("paragraph = last_paragraph"), judged.filter("paragraph < last_paragraph")
     lines = single.select(F.col("_key").alias("_there"), F.col("paragraph").alias("_line"), F.col("family").alias("_family")).distinct()
-    same = over["_key"].eqNullSafe(lines["_there"]) & (over["family"] == lines["_family"])
-    over = over.join(lines, same & lines["_line"].between(over["paragraph"], over["last_paragraph"]), "left_anti")
-    found = single.unionByName(over.drop("last_paragraph"))
+    same = F.col("_key").eqNullSafe(F.col("_there")) & (F.col("family") == F.col("_family"))
+    over = over.join(lines, same & F.col("_line").between(F.col("paragraph"), F.col("last_paragraph")), "left_anti")
+    found = single.unionByName(over).drop("last_paragraph")
     found = found.withColumn("_grams", F.array_distinct(_grams("_words", GRAM)))
     notices = _literal(docs.sparkSession, [(f, n) for f, texts in NOTICES.items() for n in texts])
     notices = notices.select("family", words(F.col("notice")).alias("_notice")).select("family", F.array_distinct(_grams("_notice", GRAM)).alias("_own"))

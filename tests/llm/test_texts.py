@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import textwrap
 import zlib
 
@@ -243,6 +244,33 @@ def test_wrapped_notices_are_found(spark, columns):
     assert {(100 + n, f) for n, (f, _) in enumerate(long)} <= {(r["doc_id"], r["family"]) for r in got} and min(r["doc_id"] for r in got) >= 100
 
 
+def test_few_segments_are_judged_and_none_is_lost(spark):
+    given = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    long = [t for texts in licences.NOTICES.values() for t in texts]
+    odd = [None, "", "\n \n", "one", "\nÉtat 1-2.3\n\n" + "word " * 61, "word\n" * 100, " ".join(["a b c"] * 20 + long), "\n".join(long)]
+    rows = given + [(10**9 + n, t) for n, t in enumerate(odd + [textwrap.fill("some words. " * 12 + t, 50) for t in long])]
+    every = []
+    for key, text in rows:
+        lines = [re.findall(r"[^\W_]+(?:[-.][^\W_]+)*", line.lower()) for line in (text or "").split("\n")]
+        whole = [(line, place, w) for line, found in enumerate(lines) for place, w in enumerate(found)]
+        for flat, over in [([x for x in whole if x[0] == line], False) for line in range(len(lines))] + [(whole, True)]:
+            for at in range(0, max(len(flat) - 31, 0) + 1, 30):
+                part = flat[at : at + 60]
+                if part and (part[0][0] < part[-1][0]) == over:
+                    every.append((key, *part[0][:2], part[-1][0], [w for _, _, w in part]))
+    docs = spark.createDataFrame(rows, DOCS)
+    scanner = licences.fit(docs)
+    likely = scanner.promising(docs)
+
+    def keys(df):
+        return sorted((r["_key"], r["paragraph"], r["first_word"], r["last_paragraph"], tuple(r["_words"])) for r in df.collect())
+
+    plain = scanner.predict(spark.createDataFrame(every, likely.schema)).filter("family <> 'unknown'")
+    found = keys(likely)
+    assert keys(plain) == keys(scanner.predict(likely).filter("family <> 'unknown'")) != []
+    assert set(found) <= {(*e[:4], tuple(e[4])) for e in every} and len(set(found)) == len(found) < len(every) / 3
+
+
 def test_pipeline_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
