@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ def test_a_tree_over_cells_is_the_tree_over_rows(rows, monkeypatch, label, class
     table, splits, plan = _plan(train, classes)
     assert table.agg(F.sum("n")).first()[0] == 12_000 and table.count() < 9_000
     monkeypatch.setattr(trees, "_poisson", lambda n, ones, draw: n.astype(float))
-    made = trees.Averaged(plan, list(trees.grown(plan, range(len(plan.files)), [0])))
+    made = trees.Ensemble(plan, list(trees.grown(plan, range(len(plan.files)), [0])))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train)
     known = kind(numTrees=1, maxDepth=6, seed=42, bootstrap=False, featureSubsetStrategy="all").fit(vectors)
     want = known.transform(vectors).orderBy("key0").toPandas()
@@ -85,6 +85,21 @@ def test_slices_and_levels_do_not_matter(rows, monkeypatch, label):
     assert np.allclose(one.trees.values, many.trees.values) and np.allclose(one.importances, many.importances)
 
 
+@pytest.mark.parametrize("cells", [1 << 21, 10])
+def test_boosting_over_cells_is_boosting_over_rows(rows, monkeypatch, cells):
+    """In one task, and by MLlib over counted entries where the cells are too many for it."""
+    monkeypatch.setattr(forests, "FILE_ROWS", 1_000)
+    train = rows.withColumn("label", F.expr("cast(kind > 1 as double)"))
+    model = forests.Boosted(6, 4, 0.1, 42, slice_cells=cells).fit(train, FEATURES)
+    assert isinstance(model, forests.TreesModel if cells > 10 else forests.BoostedModel)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train)
+    known = GBTClassifier(maxIter=6, maxDepth=4, stepSize=0.1, seed=42).fit(vectors)
+    got, want = (m.transform(v).orderBy("key0").select("probability", "prediction").toPandas() for m, v in ((model, train), (known, vectors)))
+    assert np.allclose(np.stack([v.toArray() for v in got["probability"]]), np.stack([v.toArray() for v in want["probability"]]))
+    assert (got["prediction"] == want["prediction"]).all()
+    assert np.allclose(model.importances, known.featureImportances.toArray())
+
+
 def test_bootstrap_counts():
     n = np.array([1] * 200_000 + [7] * 200_000)
     w = trees._poisson(n, n == 1, np.random.Generator(np.random.SFC64(5)))
