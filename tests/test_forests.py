@@ -137,3 +137,29 @@ def test_demand_takes_one_entry_for_equal_days_and_prices(spark, monkeypatch):
         assert {r["section"] for r in got.report.collect()} == {"train", "test", "all", "importance"}
         sizes.append(seen[-1][0].count())
     assert sizes[0] <= 600 and sizes[1] <= 600
+
+
+def _stays(spark, n):
+    """Three ages, two conditions, thirty costs, however many rows."""
+    return spark.range(n).selectExpr(
+        "id", "concat('n', id % 500) AS name", "cast(20 + 25 * (id % 3) as int) AS age", "element_at(array('A', 'B'), cast(id % 2 as int) + 1) AS condition",
+        "cast(100 * (id % 3) + id % 10 as double) AS cost", "date'2024-01-01' AS admitted", "date_add(date'2024-01-01', cast(id % 7 as int)) AS discharged",
+    )
+
+
+CARE = {"id": "id", "patient": "name", "age": "age", "condition": "condition", "cost": "cost", "admitted": "admitted", "discharged": "discharged"}
+
+
+@pytest.mark.parametrize(("name", "most"), [("cost", 60), ("risk", 180), ("outcome", 12)])
+def test_admissions_become_few_entries(spark, monkeypatch, name, most):
+    """As many entries as there are kinds of rows and labels, and no fit over rows."""
+    seen, entries = [], forests._entries
+    monkeypatch.setattr(forests, "_entries", lambda *a: seen.append(entries(*a)) or seen[-1])
+    monkeypatch.setattr(forests, "release", lambda table: None)
+    monkeypatch.setattr(models, "TREES", 5)
+    monkeypatch.setattr(models, "BOOST_ROUNDS", 3)
+    got = models.MODELS[name](_stays(spark, 3_000), CARE).report
+    assert seen[0][0].count() <= most
+    total = seen[0][0].agg(F.sum("n")).first()[0]
+    report = {r["key"]: r["value"] for r in got.collect()}
+    assert 2_200 < total < 2_600 and (name == "cost" or report["train_rows"] == total)
