@@ -163,3 +163,15 @@ def test_admissions_become_few_entries(spark, monkeypatch, name, most):
     total = seen[0][0].agg(F.sum("n")).first()[0]
     report = {r["key"]: r["value"] for r in got.collect()}
     assert 2_200 < total < 2_600 and (name == "cost" or report["train_rows"] == total)
+
+
+def test_no_model_of_a_batch_is_fitted_over_rows(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("fitted over rows")
+
+    monkeypatch.setattr(models, "_assembled", refused)
+    monkeypatch.setattr(models, "TREES", 3)
+    monkeypatch.setattr(models, "DEPTH", 3)
+    names = ["readmission", "cost", "risk", "lengthofstay"]
+    got = models.train(_stays(spark, 600), CARE, names)
+    assert {r["model"] for r in got.filter("section = 'importance'").collect()} == set(names)
